@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def catalogs():
-    from checks import series
+    from checks import grids, samples, scores, series, times
 
-    return [series.catalog]
+    return [c.catalog for c in (series, times, grids, scores, samples)]

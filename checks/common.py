@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridsignal.session import settle
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -111,8 +113,8 @@ def scored_hours(spark: SparkSession, d: str) -> DataFrame:
     from gridsignal.operators.labels import weak_labels
     from gridsignal.operators.ordering import with_position
 
-    s = weak_labels(with_position(hourly(spark, d), grain="day"), threshold=WEAK)
-    return s.select("series_id", "ts", "pos", "label", F.least(F.col("value") / 100.0, F.lit(1.0)).alias("p"))
+    s = weak_labels(with_position(settle(hourly(spark, d)), grain="day"), threshold=WEAK)
+    return settle(s.select("series_id", "ts", "pos", "label", F.least(F.col("value") / 100.0, F.lit(1.0)).alias("p")))
 
 
 def scored_events(spark: SparkSession, d: str) -> DataFrame:

@@ -19,9 +19,9 @@ from checks.common import (
     typed,
 )
 from gridsignal.functions import columns as C
-from gridsignal.operators import labels, peaks, stats, timeops, windows
-from gridsignal.operators.asof import asof_nearest
+from gridsignal.operators import labels, peaks, stats, windows
 from gridsignal.operators.ordering import with_position
+from gridsignal.session import settle
 
 catalog = Catalog()
 add = catalog.add
@@ -31,11 +31,11 @@ T = f"{TYPED}, {sql_positions('typed')}"
 
 
 def positioned(spark, d):
-    return with_position(hourly(spark, d), grain="day")
+    return with_position(settle(hourly(spark, d)), grain="day")
 
 
 def positioned_typed(spark, d):
-    return with_position(typed(spark, d), grain="day")
+    return with_position(settle(typed(spark, d)), grain="day")
 
 
 @add("weak_state_summary", final(

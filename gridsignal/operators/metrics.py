@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 
 from gridsignal.operators.groups import attach
 from gridsignal.operators.ordering import over_blocks, running_totals, value_chunks
+from gridsignal.session import settle
 
 
 def _score_table(df: DataFrame, score: str, label: str, by: Sequence[str], chunk: str | None) -> tuple[DataFrame, str]:
+    """Positives and negatives per distinct score, written once: everything after it reads this reduced table."""
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    if chunk is None:
-        chunk = "_chunk"
-        rows = value_chunks(rows.select(*by, score, label), score, chunk)
-    folded = rows.groupBy(*by, chunk, score).agg(
-        F.sum(F.col(label).cast("long")).alias("_pos"), F.sum(1 - F.col(label).cast("long")).alias("_neg")
+    keys = [*by, score] if chunk is None else [*by, chunk, score]
+    folded = settle(
+        rows.groupBy(*keys).agg(
+            F.sum(F.col(label).cast("long")).alias("_pos"), F.sum(1 - F.col(label).cast("long")).alias("_neg")
+        )
     )
-    return folded, chunk
+    return (value_chunks(folded, score), "_chunk") if chunk is None else (folded, chunk)
 
 
 def ranking_metrics(

@@ -46,9 +46,9 @@ def value_chunks(df: DataFrame, column: str, out: str = "_chunk", n: int = VALUE
     if not splits:
         return df.withColumn(out, F.lit(0.0))
     cutter = Bucketizer(
-        splits=[-float("inf"), *splits, float("inf")], inputCol="_v", outputCol=out, handleInvalid="keep"
+        splits=[-float("inf"), *splits, float("inf")], inputCol="_cut_by", outputCol=out, handleInvalid="keep"
     )
-    return cutter.transform(df.withColumn("_v", F.col(column).cast("double"))).drop("_v")
+    return cutter.transform(df.withColumn("_cut_by", F.col(column).cast("double"))).drop("_cut_by")
 
 
 def hash_draw(*parts: Column | int | str) -> Column:
@@ -106,7 +106,11 @@ def with_position(
     grain: str | float = "month",
     pos: str = "pos",
 ) -> DataFrame:
-    """Dense 0-based position of each row in its series, in the order of ``on`` (unique inside a series)."""
+    """Dense 0-based position of each row in its series, in the order of ``on`` (unique inside a series).
+
+    The input is read twice, once for its keys only. When it comes from a costly aggregation, write that first
+    (``session.settle``).
+    """
     order = [on] if isinstance(on, str) else list(on)
     chunked = df.withColumn("_chunk", chunk_of(order[0], grain))
     out = running_totals(chunked, by, "_chunk", order, {pos: F.lit(1).cast("long")})

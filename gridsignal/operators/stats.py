@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridsignal.operators.groups import attach
 from gridsignal.operators.ordering import VALUE_CHUNKS, running_totals, value_chunks
 from gridsignal.operators.windows import ALARM_LEAD, SERIES, padded_lead
+from gridsignal.session import settle
 
 # Lead-time bin edges as published and widened to hold the longest lead, bins of the bootstrap
 # histogram, hit-rate leads.
@@ -33,7 +34,7 @@ def quantiles(
     """
     by = list(by)
     values = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
-    folded = values.groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    folded = settle(values.groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
     ranked = running_totals(value_chunks(folded, "_v", n=chunks), by, "_chunk", ["_v"], {"_cum": F.col("_c")})
     ranked = attach(ranked, by, {"_n": F.sum("_c")}, source=folded)
     picks = [F.max("_n").alias("n")]
