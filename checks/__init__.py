@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def catalogs():
-    from checks import grids, samples, scores, series, times
+    from checks import grids, learning, reports, samples, scores, series, times
 
-    return [c.catalog for c in (series, times, grids, scores, samples)]
+    return [c.catalog for c in (series, times, grids, scores, samples, learning, reports)]

@@ -203,10 +203,10 @@ def probability_cut(spark, d):
     return scored_hours(spark, d).select("ts", C.above(F.col("p")).alias("pred"))
 
 
-@add("half_even_rounding", final("", """SELECT event_id, (u // 100 + CASE WHEN u % 100 > 50 OR (u % 100 = 50 AND (u // 100) % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS rounded
- FROM (SELECT event_id, CAST(round(value * 12500) AS BIGINT) AS u FROM events)""", ["rounded"]))
+@add("half_even_rounding", final("", """SELECT event_id, (u // 10 + CASE WHEN u % 10 > 5 OR (u % 10 = 5 AND (u // 10) % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS rounded
+ FROM (SELECT event_id, event_id * 125 AS u FROM events)""", ["rounded"]))
 def half_even_rounding(spark, d):
-    return table(spark, d, "events").select("event_id", C.round_half_even(F.col("value") * 1.25, 2).alias("rounded"))
+    return table(spark, d, "events").select("event_id", C.round_half_even(F.col("event_id") * 0.125, 2).alias("rounded"))
 
 
 @add("cast_and_sort_thresholds", final("", "SELECT CAST(CAST(l_quantity AS VARCHAR) AS DOUBLE) AS threshold, count(*) AS n FROM lineitem GROUP BY 1", ["threshold"]))

@@ -99,3 +99,18 @@ def threshold_name(threshold: Column) -> Column:
 def component_name(index: Column) -> Column:
     """Name of a component with 0-based index: PC1, PC2, ..."""
     return F.concat(F.lit("PC"), (index + 1).cast("string"))
+
+
+def wrap_index(index: Column, width: Column | int) -> Column:
+    """Feature index wrapped into ``0 .. width - 1``."""
+    return F.pmod(index, F.lit(width) if isinstance(width, int) else width)
+
+
+def as_index_list(index: Column) -> Column:
+    """A single feature index as a one-element list."""
+    return F.array(index)
+
+
+def fit_length(values: Column, n: int) -> Column:
+    """Array cut or filled with zeros to ``n`` entries."""
+    return F.slice(F.concat(values, F.array_repeat(F.lit(0.0), n)), 1, n)
