@@ -93,7 +93,7 @@ def mean_abs(values: Column) -> Column:
 
 def threshold_name(threshold: Column) -> Column:
     """Threshold as text with one decimal."""
-    return F.format_string("%.1f", threshold)
+    return F.format_string("%.1f", F.bround(threshold, 1))
 
 
 def component_name(index: Column) -> Column:

@@ -124,7 +124,7 @@ def over_blocks(
     back: int,
     ahead: int,
     build: Callable[[DataFrame, WindowSpec], DataFrame],
-    rows: int = BLOCK_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Run window expressions that look at most ``back`` rows behind and ``ahead`` rows ahead.
 
@@ -132,7 +132,7 @@ def over_blocks(
     with its new columns. Rows within ``back`` (``ahead``) of a block edge are copied to the next (previous) block
     and dropped again afterwards, so each task holds one block whatever the length of the series.
     """
-    rows = max(rows, back, ahead, 1)
+    rows = max(rows or BLOCK_ROWS, back, ahead, 1)
     home = F.floor(F.col(pos) / rows)
     inside = F.col(pos) % rows
     homes = [home]

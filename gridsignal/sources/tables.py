@@ -99,7 +99,7 @@ def write_report(report: DataFrame, path: str) -> None:
 
 def report_lines(report: DataFrame) -> DataFrame:
     """A one-row lead-time report as lines of text, one column ``value``."""
-    one = lambda c: F.format_string("%.1f", F.col(c))
+    one = lambda c: F.format_string("%.1f", F.bround(F.col(c), 1))
     lines = F.array(
         F.concat(F.lit("median: "), one("median")),
         F.concat(F.lit("interquartile range: "), one("q1"), F.lit(" to "), one("q3")),
