@@ -42,7 +42,7 @@ folds AS (SELECT row_id, y, p, pred, fold, CASE WHEN pos < cut THEN 'train' ELSE
 
 @add("time_series_folds", final(FOLDS, "SELECT row_id, fold, role FROM folds"))
 def time_series_folds(spark, d):
-    s = with_position(scored_events(spark, d).select("row_id", "ts"), (), ["ts", "row_id"], "hour")
+    s = with_position(scored_events(spark, d).select("row_id", "ts"), (), ["ts", "row_id"])
     return R.time_series_folds(s).select("row_id", "fold", "role")
 
 

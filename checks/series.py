@@ -68,7 +68,7 @@ def series_positions(spark, d):
 @add("event_positions", final("", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos FROM events"))
 def event_positions(spark, d):
     events = table(spark, d, "events").select("event_type", "event_id", "ts")
-    return with_position(events, ["event_type"], ["ts", "event_id"], "hour").select("event_type", "event_id", "pos")
+    return with_position(events, ["event_type"], ["ts", "event_id"]).select("event_type", "event_id", "pos")
 
 
 @add("lag_features", final(T, """SELECT series_id, ts, value,

@@ -127,7 +127,7 @@ def asof_by_key(spark, d):
     e = table(spark, d, "events")
     right = e.where("user_id % 2 = 0").groupBy(F.col("event_type").alias("k"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("value").alias("mean"))
     left = e.select("event_id", F.col("event_type").alias("k"), "ts")
-    return asof_nearest(left, settle(right), ["mean"], by=["k"], grain="day").select("event_id", "mean")
+    return asof_nearest(left, settle(right), ["mean"], by=["k"]).select("event_id", "mean")
 
 
 @add("clip_to_overlap", final("""ref AS (SELECT min(l_shipdate) AS lo, max(l_shipdate) AS hi FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09 AND l_shipdate > TIMESTAMP '1996-03-01' AND l_shipdate < TIMESTAMP '1996-09-01'),

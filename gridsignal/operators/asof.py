@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gridsignal.operators.ordering import chunk_of
+from gridsignal.operators.ordering import chunk_of, range_chunks
 
 
 def neighbours(
-    left: DataFrame, right: DataFrame, values: Sequence[str], on: str, by: Sequence[str], grain: str | float
+    left: DataFrame, right: DataFrame, values: Sequence[str], on: str, by: Sequence[str], grain: str | float | None
 ) -> DataFrame:
     """Left rows with ``_p`` and ``_n``: the last right row at or before and the first at or after, as structs.
 
-    Both sides are put into one stream and cut into chunks of ``on``. Inside a chunk the neighbours come from two
+    Both sides are put into one stream and cut into chunks of the sort key (see ``with_position`` for ``grain``). Inside a chunk the neighbours come from two
     growing windows; neighbours beyond the chunk come from a table with the first and last right row of each chunk.
     No range join, no pair is ever formed, and a long series is spread over its chunks.
     """
@@ -24,7 +24,10 @@ def neighbours(
     row = F.struct(F.col(on).alias("_at"), *values)
     sides = left.withColumns({"_side": F.lit(1), "_r": F.lit(None).cast(right.select(row).schema[0].dataType)})
     both = sides.unionByName(right.select(*by, on, F.lit(0).alias("_side"), row.alias("_r")), allowMissingColumns=True)
-    both = both.withColumn("_chunk", chunk_of(on, grain))
+    if grain is None:
+        both = range_chunks(both, [*by, on, "_side"])
+    else:
+        both = both.withColumn("_chunk", chunk_of(on, grain))
 
     edges = both.groupBy(*by, "_chunk").agg(
         F.max_by("_r", F.col("_r._at")).alias("_last"), F.min_by("_r", F.col("_r._at")).alias("_first")
@@ -45,9 +48,8 @@ def neighbours(
         both.join(carried, [*by, "_chunk"])
         .withColumns({"_p": prev, "_n": following})
         .where(F.col("_side") == 1)
-        .withColumns(
-            {"_p": F.coalesce("_p", "_carry_prev"), "_n": F.coalesce("_n", "_carry_next")}
-        )
+        .withColumns({"_p": F.coalesce("_p", "_carry_prev"), "_n": F.coalesce("_n", "_carry_next")})
+        .withColumn("_n", F.when(F.col("_p._at") == F.col(on), F.col("_p")).otherwise(F.col("_n")))
     )
 
 
@@ -57,7 +59,7 @@ def asof_nearest(
     values: Sequence[str],
     on: str = "ts",
     by: Sequence[str] = (),
-    grain: str | float = "month",
+    grain: str | float | None = None,
     tolerance: float | None = None,
     ties: str = "later",
     extrapolate: bool = True,

@@ -15,7 +15,7 @@ from gridsignal.operators.models import SMALL_FOREST_TREES, side_by_side, train_
 from gridsignal.operators.resample import FOLDS
 from gridsignal.session import settle, shared_path
 
-MAX_LEAVES = 2_000_000  # leaves of a model that is sent to the tasks
+MAX_NODES = 2_000_000  # nodes of a model that is sent to the tasks
 
 # Background rows of the sampled explainer, features shown in the stability plot.
 BACKGROUND_ROWS = 100
@@ -29,6 +29,8 @@ def leaf_table(spark, model) -> pd.DataFrame:
     ``features``, ``low`` and ``high`` hold the box of the leaf, ``share`` the part of the training rows that follow
     the path when a feature is unknown. The model itself lives on the driver, so does this table.
     """
+    if model.totalNumNodes > MAX_NODES:
+        raise ValueError(f"{model.totalNumNodes} nodes are more than the {MAX_NODES} sent to the tasks")
     path = shared_path(spark, "model")
     model.write().save(path)
     fields = ["id", "prediction", "impurityStats", "rawCount", "leftChild", "rightChild"]
@@ -57,8 +59,6 @@ def leaf_table(spark, model) -> pd.DataFrame:
             for child, bounds in ((node.leftChild, (low, min(high, cut))), (node.rightChild, (max(low, cut), high))):
                 part = by_id[child].rawCount / node.rawCount
                 stack.append((child, {**box, feature: (*bounds, share * part)}))
-    if len(leaves) > MAX_LEAVES:
-        raise ValueError(f"{len(leaves)} leaves are more than the {MAX_LEAVES} sent to the tasks")
     return pd.DataFrame(leaves, columns=["value", "features", "low", "high", "share"])
 
 

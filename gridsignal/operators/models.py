@@ -84,7 +84,7 @@ def _table(scored: dict[object, DataFrame], key: str) -> DataFrame:
     return binary_metrics(union_all(parts), by=[key])
 
 
-def folds_of(df: DataFrame, k: int = FOLDS, order: Sequence[str] = ("ts", "row_id"), grain: str | float = "month") -> DataFrame:
+def folds_of(df: DataFrame, k: int = FOLDS, order: Sequence[str] = ("ts", "row_id"), grain: str | float | None = None) -> DataFrame:
     """Rows with time-ordered folds, written once for the fits that read them."""
     return settle(time_series_folds(with_position(df, (), list(order), grain), k))
 
@@ -125,7 +125,7 @@ def balanced(train: DataFrame, seed: int = SEED) -> DataFrame:
 
 def time_cv(
     df: DataFrame, k: int = FOLDS, fit: Fit = train_forest, balance: bool = True, order: Sequence[str] = ("ts", "row_id"),
-    grain: str | float = "month",
+    grain: str | float | None = None,
 ) -> DataFrame:
     """Metrics per expanding time fold; balancing happens inside each training part only."""
     folds = folds_of(df, k, order, grain)
@@ -134,7 +134,7 @@ def time_cv(
 
 def baseline_table(
     df: DataFrame, groups: dict[str, list[int]], k: int = FOLDS, in_sample: bool = False,
-    order: Sequence[str] = ("ts", "row_id"), grain: str | float = "month",
+    order: Sequence[str] = ("ts", "row_id"), grain: str | float | None = None,
 ) -> DataFrame:
     """Persistence, logistic and runoff-only logistic baselines: ``(model, auc, ap, precision, recall, f1)``.
 
@@ -159,7 +159,7 @@ def baseline_table(
 
 def rebalancing_table(
     df: DataFrame, k: int = FOLDS, in_sample: bool = False, rounds: int = BOOST_ROUNDS,
-    order: Sequence[str] = ("ts", "row_id"), grain: str | float = "month",
+    order: Sequence[str] = ("ts", "row_id"), grain: str | float | None = None,
 ) -> DataFrame:
     """Boosted trees with class weights against boosted trees on oversampled rows."""
 
@@ -182,7 +182,7 @@ def rebalancing_table(
 
 def ablation_table(
     rows_without: dict[str, DataFrame], k: int = FOLDS, in_sample: bool = False, trees: int = SMALL_FOREST_TREES,
-    order: Sequence[str] = ("ts", "row_id"), grain: str | float = "month",
+    order: Sequence[str] = ("ts", "row_id"), grain: str | float | None = None,
 ) -> DataFrame:
     """Forest metrics with one feature block removed: ``rows_without`` maps the block to the rows lacking it."""
     scored = {}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gridsignal.operators.ordering import hash_draw
+from gridsignal.session import settle
 
 PART_ROWS = 4096
 MAX_PIVOTS = 1024
@@ -38,6 +39,7 @@ def nearest(points: DataFrame, k: int = 5, seed: int = 42, part_rows: int = PART
     copies = W.partitionBy("x").orderBy("id")
     # A rank filter on row_number is applied on the map side too, so a vector with very many copies shuffles few rows.
     reps = points.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k + 1)
+    reps = settle(reps)
     queries = reps.where("_copy = 1").drop("_copy")
     reps = reps.drop("_copy")
 
@@ -53,7 +55,8 @@ def nearest(points: DataFrame, k: int = 5, seed: int = 42, part_rows: int = PART
         cell = d.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "dist": d[np.arange(len(x)), cell]})
 
-    placed = reps.withColumn("_at", assign("x")).select("id", "x", F.col("_at.cell").alias("cell"), F.col("_at.dist").alias("dist"))
+    placed = reps.withColumn("_at", assign("x")).select("id", "x", "_at.cell", "_at.dist")
+    placed = settle(placed)
     # One row per pivot, so at most MAX_PIVOTS rows.
     cells = placed.groupBy("cell").agg(F.max("dist").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
     radius = np.full(len(centres), -np.inf)

@@ -9,13 +9,19 @@ Everything ordered in this package goes through one of these shapes instead:
 * *halo windows*: cut positions into equal blocks, copy the few rows near a block edge into the neighbour block, and
   run any bounded window per block.
 
-Chunks are contiguous ranges of the order key: a calendar unit or fixed width for time axes and ids
-(``chunk_of``), quantile cuts for arbitrary numbers (``value_chunks``), hash prefixes for random order
-(``hash_order``).
+Chunks are contiguous ranges of the order key:
+
+* ``range_chunks``: ranges that Spark samples from the full sort key. Works for any data, also when one key or stamp
+  holds a third of all rows, and costs one written table;
+* ``chunk_of``: a calendar unit or fixed width, for axes whose resolution bounds the rows in a unit (regular series,
+  unique ids);
+* ``value_chunks``: quantile cuts, for distinct numbers;
+* hash ranges, for random order (``hash_rank``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -24,8 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from pyspark.sql.window import WindowSpec
 
+from gridsignal.session import settle
+
 BLOCK_ROWS = 1 << 16
-VALUE_CHUNKS = 200
+MAX_CHUNKS = 4096
 
 
 def chunk_of(on: str, grain: str | float) -> Column:
@@ -35,13 +43,25 @@ def chunk_of(on: str, grain: str | float) -> Column:
     return F.floor(F.col(on) / F.lit(grain)).cast("long")
 
 
-def value_chunks(df: DataFrame, column: str, out: str = "_chunk", n: int = VALUE_CHUNKS) -> DataFrame:
-    """Cut an arbitrary numeric column into about ``n`` equally filled ranges.
+def range_chunks(df: DataFrame, keys: Sequence[str], out: str = "_chunk") -> DataFrame:
+    """Cut rows into as many ranges of the sort key as the session has shuffle partitions.
+
+    The ranges come from a sample of the complete key, so a frequent leading value is split by the columns after it.
+    The result is written to the shared folder with its range number: everything after it sees the same ranges.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(df.repartitionByRange(parts, *keys).withColumn(out, F.spark_partition_id()))
+
+
+def value_chunks(df: DataFrame, column: str, out: str = "_chunk", n: int | None = None) -> DataFrame:
+    """Cut an arbitrary numeric column into equally filled ranges of about ``BLOCK_ROWS`` rows (or ``n`` ranges).
 
     The cut points are a bounded list of numbers found by one pass over the single column, so every later use of the
     chunk key sees the same ranges.
     """
-    cuts = df.approxQuantile(column, [i / n for i in range(1, n)], 0.25 / n)
+    if n is None:
+        n = min(MAX_CHUNKS, math.ceil(df.count() / BLOCK_ROWS))
+    cuts = df.approxQuantile(column, [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
     splits = sorted(set(cuts))
     if not splits:
         return df.withColumn(out, F.lit(0.0))
@@ -59,7 +79,7 @@ def hash_draw(*parts: Column | int | str) -> Column:
 
 
 HASH_SPAN = 1 << 60
-HASH_CHUNK = float(1 << 48)  # 4,096 equal ranges of the 60-bit draw
+HASH_CHUNK = float(HASH_SPAN // MAX_CHUNKS)
 
 
 def _sorted(columns: Sequence[str], descending: bool) -> list[Column]:
@@ -103,16 +123,19 @@ def with_position(
     df: DataFrame,
     by: Sequence[str] = ("series_id",),
     on: str | Sequence[str] = "ts",
-    grain: str | float = "month",
+    grain: str | float | None = None,
     pos: str = "pos",
 ) -> DataFrame:
     """Dense 0-based position of each row in its series, in the order of ``on`` (unique inside a series).
 
-    The input is read twice, once for its keys only. When it comes from a costly aggregation, write that first
-    (``session.settle``).
+    Without ``grain`` the rows are cut by sampled ranges. ``grain`` is for series whose resolution bounds the rows in
+    one unit, such as hours in a day: nothing is written then, but the input is read twice, once for its keys only.
     """
     order = [on] if isinstance(on, str) else list(on)
-    chunked = df.withColumn("_chunk", chunk_of(order[0], grain))
+    if grain is None:
+        chunked = range_chunks(df, [*by, *order])
+    else:
+        chunked = df.withColumn("_chunk", chunk_of(order[0], grain))
     out = running_totals(chunked, by, "_chunk", order, {pos: F.lit(1).cast("long")})
     return out.withColumn(pos, F.col(pos) - 1).drop("_chunk")
 
@@ -145,7 +168,9 @@ def over_blocks(
     return build(spread, window).where(F.col("_block") == home).drop("_block")
 
 
-def hash_rank(df: DataFrame, by: Sequence[str], draw: str, tie: Sequence[str], out: str) -> DataFrame:
-    """1-based rank by a ``hash_draw`` column inside each group; uniform hash ranges keep every task small."""
-    chunked = df.withColumn("_chunk", chunk_of(draw, HASH_CHUNK))
+def hash_rank(
+    df: DataFrame, by: Sequence[str], draw: str, tie: Sequence[str], out: str, chunks: int = MAX_CHUNKS
+) -> DataFrame:
+    """1-based rank by a ``hash_draw`` column inside each group; equal hash ranges keep every task small."""
+    chunked = df.withColumn("_chunk", chunk_of(draw, float(HASH_SPAN // chunks)))
     return running_totals(chunked, by, "_chunk", [draw, *tie], {out: F.lit(1).cast("long")}).drop("_chunk")

@@ -5,6 +5,7 @@ Random choices are keyed hashes of (seed, row, replicate), so they do not depend
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -15,14 +16,17 @@ from gridsignal.operators.groups import attach
 from gridsignal.operators.metrics import ranking_metrics
 from gridsignal.operators.neighbours import nearest
 from gridsignal.operators.ordering import (
+    BLOCK_ROWS,
     HASH_CHUNK,
     HASH_SPAN,
+    MAX_CHUNKS,
     chunk_of,
     hash_draw,
     hash_rank,
     value_chunks,
     with_position,
 )
+from gridsignal.session import settle
 
 # Seed, test share, folds, neighbours, replicates.
 SEED = 42
@@ -130,8 +134,8 @@ def bootstrap_auc(
     ``mode="random"`` scores the drawn rows at random, the no-skill case. Draws are generated, not collected: draw
     ``j`` of replicate ``b`` takes the row at a hashed position, met by an equi-join on the dense position.
     """
-    n = df.count()
-    rows = df.select(pos, F.col(score).cast("double").alias("_score"), F.col(label).alias("_label"))
+    rows = settle(df.select(pos, F.col(score).cast("double").alias("_score"), F.col(label).alias("_label")))
+    n = rows.count()
     rows = value_chunks(rows, "_score")
     draws = df.sparkSession.range(n * replicates).select(
         F.floor(F.col("id") / n).cast("int").alias("replicate"),
@@ -156,11 +160,15 @@ def permutation_metrics(
 
     A permutation gives the positive label to as many rows as have it now, those with the smallest hash draws.
     """
-    rows = value_chunks(df.select(row_id, score, label), score, "_range")
+    rows = settle(df.select(row_id, score, label))
+    chunks = min(MAX_CHUNKS, max(1, math.ceil(rows.count() / BLOCK_ROWS)))
+    rows = value_chunks(rows, score, "_range", chunks)
     rows = attach(rows, (), {"_p": F.sum(F.col(label).cast("long"))})
+    # Spread the rows before they are multiplied: a small table would otherwise be fanned out by one task.
+    rows = rows.repartition(max(df.sparkSession.sparkContext.defaultParallelism, chunks), row_id)
     fanned = rows.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     fanned = fanned.withColumn("_draw", hash_draw(seed, F.col("permutation"), F.col(row_id)))
-    ranked = hash_rank(fanned, ["permutation"], "_draw", [row_id], "_rank")
+    ranked = hash_rank(fanned, ["permutation"], "_draw", [row_id], "_rank", chunks)
     relabelled = ranked.withColumn("_y", (F.col("_rank") <= F.col("_p")).cast("int"))
     return ranking_metrics(relabelled, score, "_y", ["permutation"], "_range").select("permutation", "auc", "ap")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsignal.operators.groups import attach
-from gridsignal.operators.ordering import VALUE_CHUNKS, running_totals, value_chunks
+from gridsignal.operators.ordering import running_totals, value_chunks
 from gridsignal.operators.windows import ALARM_LEAD, SERIES, padded_lead
 from gridsignal.session import settle
 
@@ -25,7 +25,7 @@ def quantiles(
     column: str,
     probs: dict[str, float],
     by: Sequence[str] = (),
-    chunks: int = VALUE_CHUNKS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, and the count ``n``.
 

@@ -36,7 +36,7 @@ def align_index(times: DataFrame, index: DataFrame, tolerance: float | None = No
     """Index value nearest to every model time: ``(series_id, ts, value)``."""
     clean = index.select("ts", above_floor(F.col("value")).alias("value"))
     near = asof.asof_nearest(times.select("ts"), settle(clean), ["value"], grain="year", tolerance=tolerance, unique_left=True)
-    return near.select(F.lit("index").alias("series_id"), "ts", "value")
+    return near.select(F.lit("t").alias("series_id"), "ts", "value")
 
 
 def build_features(
@@ -60,26 +60,29 @@ def build_features(
     aligned = dict(zip(names, timeops.align_time([clean.where(F.col("var") == v) for v in names])))
     steps = settle(aligned[spatial[0]].select("ts").distinct())
 
-    near = settle(with_position(align_index(steps, index, tolerance), grain="year"))
-    if custom_labels is None:
-        marked = labels.weak_labels(near, threshold=threshold).select("ts", "label")
-    else:
-        marked = custom_labels.select("ts", "label")
+    near = settle(align_index(steps, index, tolerance))
 
     field3 = feat.concat_blocks([aligned[v] for v in spatial])
     cells = settle(grid.valid_cells(field3, spatial))
     masked = settle(grid.keep_cells(field3, cells))
-    total = grid.spatial_sum(aligned[runoff], scale=MEGA).withColumn("series_id", F.lit(runoff))
-    lagged = windows.lag_features(settle(with_position(settle(total), grain="year")), ["total"], (1, 2))
+    total = grid.spatial_sum(aligned[runoff], scale=MEGA)
     mean = grid.spatial_mean(masked.where(F.col("var") == spatial[0]))
-    single = lagged.join(mean, "ts").select(
-        "ts",
+    # The time axis is small from here on: one row per step with index, total and mean.
+    steps = settle(near.join(total, "ts").join(mean, "ts"))
+    placed = settle(with_position(steps, grain="year"))
+    single = windows.lag_features(placed, ["total"], (1, 2))
+    if custom_labels is None:
+        single = labels.weak_labels(single, threshold=threshold)
+    else:
+        single = single.join(custom_labels.select("ts", "label"), "ts")
+    single = single.select(
+        "series_id", "ts", "label",
         F.col("total").alias(RUNOFF_FEATURES[0]),
         F.col("total_lag1").alias(RUNOFF_FEATURES[1]),
         F.col("total_lag2").alias(RUNOFF_FEATURES[2]),
         interaction(F.col("total"), F.col("mean")).alias(RUNOFF_FEATURES[3]),
     )
-    single = settle(single.dropna().join(marked, "ts").withColumn("series_id", F.lit("t")))
+    single = settle(single.dropna(subset=list(RUNOFF_FEATURES)))
     times = settle(with_position(single.select("series_id", "ts", "label"), grain="year").select("pos", "ts", "label"))
 
     spatial_no = F.element_at(F.create_map(*[x for i, v in enumerate(spatial) for x in (F.lit(v), F.lit(i))]), F.col("var"))
@@ -87,7 +90,7 @@ def build_features(
         (spatial_no.cast("long") * F.lit(BLOCK_SPAN) + F.col("cell_id")).alias("feature_id"),
         F.col("var").alias("block"), "cell_id", "pos", "value",
     )
-    runoff_rows = single.drop("label").unpivot(["ts"], list(RUNOFF_FEATURES), "name", "value")
+    runoff_rows = single.unpivot(["ts"], list(RUNOFF_FEATURES), "name", "value")
     number = F.array_position(F.array(*[F.lit(n) for n in RUNOFF_FEATURES]), F.col("name")) - 1
     runoff_rows = runoff_rows.join(times.select("ts", "pos"), "ts").select(
         (F.lit(len(spatial) * BLOCK_SPAN) + number).alias("feature_id"),
@@ -207,7 +210,7 @@ def lead_time_report(
     distance: int = peaks.PEAK_DISTANCE,
     max_lead: int = peaks.MAX_LEAD,
     edges: Sequence[float] = tuple(stats.LEAD_EDGES),
-    grain: str = "year",
+    grain: str | None = None,
 ) -> dict[str, DataFrame]:
     """Leads, their summary and histogram, and the overlay series from ``(series_id, ts, label, p)``.
 
@@ -232,7 +235,7 @@ def lead_time_report(
 def post_model_report(scored: DataFrame, model=None, groups: dict[str, int] | None = None, threshold: float = 0.5) -> dict[str, DataFrame]:
     """Confusion matrix, curves, ranking metrics, grouped importances and upward crossings of ``(row_id, ts, y, p, pred)``."""
     rows = settle(scored.select("row_id", "ts", "y", "p", "pred"))
-    placed = with_position(rows, (), ["ts", "row_id"], "year")
+    placed = with_position(rows, (), ["ts", "row_id"])
     out = {
         "confusion": metrics.confusion_matrix(rows),
         "roc": metrics.roc_curve(rows, drop_intermediate=True),
@@ -288,7 +291,7 @@ def significance_tables(
 ) -> dict[str, DataFrame]:
     """Class balance of the index ``(ts, value)``, permutation test and false alarms of ``(row_id, ts, y, p)``."""
     rows = settle(scored.select("row_id", "ts", "y", "p"))
-    placed = with_position(rows, (), ["ts", "row_id"], "year").withColumn("pred", above(F.col("p")))
+    placed = with_position(rows, (), ["ts", "row_id"]).withColumn("pred", above(F.col("p")))
     return {
         "class_balance": labels.class_balance(index, thresholds),
         "permutation": resample.permutation_test(rows, n=permutations),
@@ -298,7 +301,7 @@ def significance_tables(
 
 def transport_series(
     df: DataFrame, columns: Sequence[str], floor: float = -99999.0, n: int = windows.RUNNING_ROWS, edge: str = "zero",
-    grain: str = "year",
+    grain: str | None = None,
 ) -> dict[str, DataFrame]:
     """Daily values with running means, and calendar month means, of parallel series ``(series_id, ts, columns)``."""
     clean = settle(df.select("series_id", "ts", *[above_floor(F.col(c), floor).alias(c) for c in columns]))

@@ -171,8 +171,15 @@ def test_positions_are_dense_and_independent_of_partitioning(spark):
         for n, r in enumerate(sorted(r for r in rows if r[0] == k)):
             expected[r[2]] = n
     for parts in (1, 4, 16):
-        got = {r.i: r.pos for r in with_position(df.repartition(parts), grain="month").collect()}
-        assert got == expected
+        for grain in ("month", None):
+            got = {r.i: r.pos for r in with_position(df.repartition(parts), grain=grain).collect()}
+            assert got == expected
+
+
+def test_positions_with_one_frequent_stamp(spark):
+    df = spark.range(3000).select(F.lit("a").alias("series_id"), F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).alias("t"), "id")
+    got = with_position(df.repartition(6), on=["t", "id"])
+    assert {r.id: r.pos for r in got.collect()} == {i: i for i in range(3000)}
 
 
 def test_running_totals_both_ways(spark):

@@ -24,7 +24,7 @@ def test_tie_goes_to_the_later_stamp(spark):
     assert asof_nearest(left, right, ["v"], ties="earlier").first().v == 1.0
 
 
-@pytest.mark.parametrize("grain", ["day", "month", "year"])
+@pytest.mark.parametrize("grain", ["day", "month", "year", None])
 def test_asof_equals_pandas_nearest(spark, grain):
     rng = np.random.default_rng(4)
     right_days = np.sort(rng.choice(900, 60, replace=False))
