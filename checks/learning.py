@@ -91,11 +91,37 @@ def loading_map(spark, d):
     return reduce.loading_map(cells, loadings(feature_rows(spark, d)[0]), "ssh")
 
 
+@add("select_feature_block", final(FEATURES, "SELECT DISTINCT feature_id, cell_id FROM f WHERE block = 'ssh'"))
+def select_feature_block(spark, d):
+    return X.select_block(feature_rows(spark, d)[0], "ssh").select("feature_id", "cell_id")
+
+
+@add("concat_feature_blocks", final(FEATURES, "SELECT DISTINCT feature_id, block FROM f WHERE block <> 'sss'"))
+def concat_feature_blocks(spark, d):
+    f = feature_rows(spark, d)[0]
+    return X.concat_blocks([X.select_block(f, "ssh"), X.select_block(f, "sst")]).select("feature_id", "block")
+
+
+@add("fold_mean_attribution", final("", "SELECT CAST(extract(day FROM ts) AS INTEGER) AS fold, event_type AS feature, avg(abs(value - 50)) AS mean_shap FROM events GROUP BY ALL", ["mean_shap"]))
+def fold_mean_attribution(spark, d):
+    long = table(spark, d, "events").select(F.dayofmonth("ts").alias("fold"), F.col("event_type").alias("feature"), (F.col("value") - 50).alias("phi"))
+    return E.mean_abs_shap(long)
+
+
 @add("wide_pca_variance")
 def wide_pca_variance(spark, d):
+    return _variance(spark, d, reduce.COMPONENTS)
+
+
+@add("wide_pca_exploratory")
+def wide_pca_exploratory(spark, d):
+    return _variance(spark, d, reduce.EXPLORATORY_COMPONENTS)
+
+
+def _variance(spark, d, components):
     f, times = feature_rows(spark, d)
     mask = X.train_mask(times)
-    pca = reduce.wide_pca(settle(X.standardize(f, mask)), mask)
+    pca = reduce.wide_pca(settle(X.standardize(f, mask)), mask, components)
     ratio = F.array(*[F.lit(r) for r in pca.explained_ratio])
     k = F.size("w")
     return pca.loadings.groupBy(k.alias("components")).agg(
@@ -174,3 +200,8 @@ def fold_importance_stability(spark, d):
 @add("attribution_stability")
 def attribution_stability(spark, d):
     return E.shap_stability(models.folds_of(labelled(spark, d), order=("row_id",), grain=4096.0))
+
+
+@add("rebalancing_strategies")
+def rebalancing_strategies(spark, d):
+    return models.rebalancing_table(labelled(spark, d), in_sample=True, rounds=10)

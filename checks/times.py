@@ -8,7 +8,9 @@ from checks.common import HOURLY, SCORED_HOURS, TYPED, Catalog, final, hourly, s
 from gridsignal.functions import columns as C
 from gridsignal.operators import stats, timeops
 from gridsignal.operators.asof import asof_nearest
+from gridsignal.operators.features import complete_rows, first_rows
 from gridsignal.operators.ordering import with_position
+from gridsignal.operators.windows import lag_features
 from gridsignal.session import settle
 
 catalog = Catalog()
@@ -236,6 +238,41 @@ def interaction_feature(spark, d):
     return a.join(b, "ts").select("ts", C.interaction(F.col("total"), F.col("mean")).alias("interaction"))
 
 
-@add("kernel_density")
+@add("kernel_density", final("""e AS (SELECT min(value) AS lo, max(value) AS hi, count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS h FROM events),
+ g AS (SELECT CAST(i AS INTEGER) AS point, lo + (hi - lo) * i / 199 AS x FROM e, range(200) t(i))""",
+ "SELECT point, x, sum(exp(-((x - value) / h) * ((x - value) / h) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS density FROM g, e, events GROUP BY point, x", ["x", "density"]))
 def kernel_density(spark, d):
     return stats.kde(table(spark, d, "events"), "value")
+
+
+@add("feature_index_wrap", final("", "SELECT event_id, CAST(((user_id - 40) % 30 + 30) % 30 AS BIGINT) AS wrapped FROM events"))
+def feature_index_wrap(spark, d):
+    return table(spark, d, "events").select("event_id", C.wrap_index(F.col("user_id") - 40, 30).alias("wrapped"))
+
+
+@add("fit_importance_length", final("", "SELECT vec_id, list_sum(CAST(embedding[1:50] AS DOUBLE[])) AS cut, CAST(80 AS INTEGER) AS filled, list_sum(CAST(embedding AS DOUBLE[])) AS whole FROM embeddings", ["cut", "whole"]))
+def fit_importance_length(spark, d):
+    x = F.col("embedding").cast("array<double>")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return table(spark, d, "embeddings").select("vec_id", total(C.fit_length(x, 50)).alias("cut"),
+        F.size(C.fit_length(x, 80)).alias("filled"), total(C.fit_length(x, 80)).alias("whole"))
+
+
+@add("complete_time_steps", final(f"{TYPED}, {sql_positions('typed')}, l AS (SELECT *, lag(value) OVER w AS value_lag1, lag(value, 2) OVER w AS value_lag2 FROM s WINDOW w AS (PARTITION BY series_id ORDER BY pos))",
+ "SELECT l.series_id, l.ts, l.value_lag2, CAST(l.value < 48.0 AS INTEGER) AS label FROM l WHERE value_lag1 IS NOT NULL AND value_lag2 IS NOT NULL", ["value_lag2"], ["ts"]))
+def complete_time_steps(spark, d):
+    s = settle(typed(spark, d))
+    lagged = lag_features(with_position(s, grain="day"), ["value"], (1, 2))
+    marked = s.select("series_id", "ts", C.threshold_label(F.col("value"), 48.0).alias("label"))
+    full = complete_rows(lagged, marked, ["value_lag1", "value_lag2"], ("series_id", "ts"))
+    return full.select("series_id", "ts", "value_lag2", "label")
+
+
+@add("first_rows_sample", final("", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100", ["o_totalprice"]))
+def first_rows_sample(spark, d):
+    return first_rows(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+
+
+@add("sorted_series", final(TYPED, "SELECT series_id, ts, value FROM typed", ["value"], ["ts"]))
+def sorted_series(spark, d):
+    return typed(spark, d).orderBy("series_id", "ts")

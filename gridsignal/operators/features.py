@@ -98,3 +98,13 @@ def concat_blocks(blocks: Sequence[DataFrame]) -> DataFrame:
     for block in blocks[1:]:
         out = out.unionByName(block)
     return out
+
+
+def complete_rows(features: DataFrame, labels: DataFrame, columns: Sequence[str], on: Sequence[str] = ("ts",)) -> DataFrame:
+    """Time steps with every feature present, with their label."""
+    return features.dropna(subset=list(columns)).join(labels, list(on))
+
+
+def first_rows(df: DataFrame, order: str = "row_id", n: int = 100) -> DataFrame:
+    """The first ``n`` rows by ``order``, the sample shown to an explainer as background."""
+    return df.orderBy(order).limit(n)

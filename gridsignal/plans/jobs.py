@@ -82,7 +82,7 @@ def build_features(
         F.col("total_lag2").alias(RUNOFF_FEATURES[2]),
         interaction(F.col("total"), F.col("mean")).alias(RUNOFF_FEATURES[3]),
     )
-    single = settle(single.dropna(subset=list(RUNOFF_FEATURES)))
+    single = settle(single.dropna(subset=list(RUNOFF_FEATURES)))  # the label is never missing
     times = settle(with_position(single.select("series_id", "ts", "label"), grain="year").select("pos", "ts", "label"))
 
     spatial_no = F.element_at(F.create_map(*[x for i, v in enumerate(spatial) for x in (F.lit(v), F.lit(i))]), F.col("var"))

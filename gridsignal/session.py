@@ -42,8 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path in this application's part of the shared folder, which can be removed when the application ends."""
+    return os.path.join(shared_dir(spark), f"gridsignal-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
 
 
 def settle(df: DataFrame) -> DataFrame:
