@@ -113,7 +113,7 @@ def scored_hours(spark: SparkSession, d: str) -> DataFrame:
     from gridsignal.operators.labels import weak_labels
     from gridsignal.operators.ordering import with_position
 
-    s = weak_labels(with_position(settle(hourly(spark, d)), grain="day"), threshold=WEAK)
+    s = weak_labels(with_position(hourly(spark, d)), threshold=WEAK)
     return settle(s.select("series_id", "ts", "pos", "label", F.least(F.col("value") / 100.0, F.lit(1.0)).alias("p")))
 
 

@@ -24,7 +24,7 @@ def feature_rows(spark, d):
     g = settle(grid(spark, d))
     field = G.keep_cells(g.where("var <> 'runoff'"), G.valid_cells(g, GRID_VARS))
     times = g.select("ts").distinct().withColumn("series_id", F.lit("t"))
-    times = settle(with_position(times, grain="year").withColumn("split", F.when(F.col("pos") % 3 == 2, "test").otherwise("train")))
+    times = settle(with_position(times).withColumn("split", F.when(F.col("pos") % 3 == 2, "test").otherwise("train")))
     number = F.array_position(F.array(*[F.lit(v) for v in GRID_VARS]), F.col("var")) - 1
     long = field.join(times.select("ts", "pos"), "ts").select(
         (number * 1000 + F.col("cell_id")).alias("feature_id"), F.col("var").alias("block"), "cell_id", "pos", "value")

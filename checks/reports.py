@@ -107,7 +107,7 @@ def view_index(spark, d):
 
 
 def lead_report(spark, d, index=False):
-    return jobs.lead_time_report(scored_hours(spark, d), view_index(spark, d) if index else None, grain="day")
+    return jobs.lead_time_report(scored_hours(spark, d), view_index(spark, d) if index else None)
 
 
 @add("lead_time_summary", final(LEADS, """SELECT count(*) AS n, quantile_cont(lead, 0.25) AS q1, quantile_cont(lead, 0.5) AS median,
@@ -166,13 +166,13 @@ fill AS (SELECT *, coalesce(value, avg(value) OVER (PARTITION BY "column")) AS f
 
 @add("transports_daily", final(TRANSPORT, """SELECT "column", ts, value, sum(f) OVER (PARTITION BY "column" ORDER BY ts ROWS BETWEEN 45 PRECEDING AND 44 FOLLOWING) / 90.0 AS running FROM fill""", ["value", "running"], ["ts"]))
 def transports_daily(spark, d):
-    return jobs.transport_series(transports(spark, d), ["gs", "moc", "ek", "umo"], grain="day")["daily"].drop("series_id")
+    return jobs.transport_series(transports(spark, d), ["gs", "moc", "ek", "umo"])["daily"].drop("series_id")
 
 
 @add("transports_monthly", final(WIDE, """SELECT series_id, CAST(last_day(date_trunc('month', ts)) AS TIMESTAMP) AS ts, avg(gs) AS gs, avg(moc) AS moc, avg(ek) AS ek, avg(umo) AS umo FROM wide GROUP BY 1, 2""",
  ["gs", "moc", "ek", "umo"], ["ts"]))
 def transports_monthly(spark, d):
-    return jobs.transport_series(transports(spark, d), ["gs", "moc", "ek", "umo"], grain="day")["monthly"]
+    return jobs.transport_series(transports(spark, d), ["gs", "moc", "ek", "umo"])["monthly"]
 
 
 @add("contribution_maps", final(f"{FEATURES}, allcells AS (SELECT DISTINCT cell_id FROM grid)", """SELECT a.cell_id, b.block, c AS value FROM allcells a CROSS JOIN (VALUES ('sst'), ('sss'), ('ssh')) b(block)

@@ -31,11 +31,11 @@ T = f"{TYPED}, {sql_positions('typed')}"
 
 
 def positioned(spark, d):
-    return with_position(settle(hourly(spark, d)), grain="day")
+    return with_position(hourly(spark, d))
 
 
 def positioned_typed(spark, d):
-    return with_position(settle(typed(spark, d)), grain="day")
+    return with_position(typed(spark, d))
 
 
 @add("weak_state_summary", final(
@@ -62,7 +62,7 @@ def weak_labels(spark, d):
 
 @add("series_positions", final(T, "SELECT series_id, ts, pos FROM s", [], ["ts"]))
 def series_positions(spark, d):
-    return positioned_typed(spark, d).select("series_id", "ts", "pos")
+    return with_position(settle(typed(spark, d)), grain="day").select("series_id", "ts", "pos")
 
 
 @add("event_positions", final("", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos FROM events"))

@@ -50,7 +50,7 @@ def decode_numeric_time(spark, d):
 @add("month_axis_by_position", final(f"{HOURLY}, {sql_positions('hourly')}", """SELECT pos, value,
  TIMESTAMP '1993-02-01' + to_months(CAST(pos AS INTEGER)) AS ts FROM s""", ["value"], ["ts"]))
 def month_axis_by_position(spark, d):
-    s = with_position(settle(hourly(spark, d)), grain="day")
+    s = with_position(hourly(spark, d))
     return timeops.relabel_months(s, "1993-02-01").select("pos", "value", "ts")
 
 
@@ -118,7 +118,7 @@ def asof(spark, d):
 
 @add("asof_nearest_tolerance", final(f"{MONTHS}, {NEAREST}", "SELECT ts, CASE WHEN gap <= INTERVAL 10 DAYS THEN quantity END AS quantity FROM near", ["quantity"], ["ts"]))
 def asof_tolerance(spark, d):
-    return asof_nearest(_order_days(spark, d), settle(_months(spark, d)), ["quantity"], grain="year", tolerance=10 * 86400)
+    return asof_nearest(_order_days(spark, d), settle(_months(spark, d)), ["quantity"], tolerance=10 * 86400)
 
 
 @add("asof_nearest_by_key", final("""r AS (SELECT event_type AS k, date_trunc('day', ts) AS ts, avg(value) AS mean FROM events WHERE user_id % 2 = 0 GROUP BY ALL),
@@ -156,7 +156,7 @@ def clip_period(spark, d):
 
 @add("drop_leading", final(f"{TYPED}, {sql_positions('typed')}", "SELECT series_id, ts FROM s WHERE pos >= 7", [], ["ts"]))
 def drop_leading(spark, d):
-    return timeops.drop_leading(with_position(settle(typed(spark, d)), grain="day"), 7).select("series_id", "ts")
+    return timeops.drop_leading(with_position(typed(spark, d)), 7).select("series_id", "ts")
 
 
 @add("squeeze_dimension", final("", "SELECT event_id, value FROM events", ["value"]))
@@ -262,7 +262,7 @@ def fit_importance_length(spark, d):
  "SELECT l.series_id, l.ts, l.value_lag2, CAST(l.value < 48.0 AS INTEGER) AS label FROM l WHERE value_lag1 IS NOT NULL AND value_lag2 IS NOT NULL", ["value_lag2"], ["ts"]))
 def complete_time_steps(spark, d):
     s = settle(typed(spark, d))
-    lagged = lag_features(with_position(s, grain="day"), ["value"], (1, 2))
+    lagged = lag_features(with_position(s), ["value"], (1, 2))
     marked = s.select("series_id", "ts", C.threshold_label(F.col("value"), 48.0).alias("label"))
     full = complete_rows(lagged, marked, ["value_lag1", "value_lag2"], ("series_id", "ts"))
     return full.select("series_id", "ts", "value_lag2", "label")

@@ -11,6 +11,21 @@ from pyspark.sql.window import Window as W
 from gridsignal.operators.ordering import chunk_of, range_chunks
 
 
+def _carried(both: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per chunk the last right row before it and the first after it."""
+    edges = both.groupBy(*by, "_chunk").agg(
+        F.max_by("_r", F.col("_r._at")).alias("_last"), F.min_by("_r", F.col("_r._at")).alias("_first")
+    )
+    up = W.partitionBy(*by).orderBy(F.col("_chunk").asc()).rowsBetween(W.unboundedPreceding, -1)
+    down = W.partitionBy(*by).orderBy(F.col("_chunk").desc()).rowsBetween(W.unboundedPreceding, -1)
+    return edges.select(
+        *by,
+        "_chunk",
+        F.last("_last", ignorenulls=True).over(up).alias("_carry_prev"),
+        F.last("_first", ignorenulls=True).over(down).alias("_carry_next"),
+    )
+
+
 def neighbours(
     left: DataFrame, right: DataFrame, values: Sequence[str], on: str, by: Sequence[str], grain: str | float | None
 ) -> DataFrame:
@@ -29,24 +44,19 @@ def neighbours(
     else:
         both = both.withColumn("_chunk", chunk_of(on, grain))
 
-    edges = both.groupBy(*by, "_chunk").agg(
-        F.max_by("_r", F.col("_r._at")).alias("_last"), F.min_by("_r", F.col("_r._at")).alias("_first")
-    )
-    up = W.partitionBy(*by).orderBy(F.col("_chunk").asc()).rowsBetween(W.unboundedPreceding, -1)
-    down = W.partitionBy(*by).orderBy(F.col("_chunk").desc()).rowsBetween(W.unboundedPreceding, -1)
-    carried = edges.select(
-        *by,
-        "_chunk",
-        F.last("_last", ignorenulls=True).over(up).alias("_carry_prev"),
-        F.last("_first", ignorenulls=True).over(down).alias("_carry_next"),
-    )
+    if "_chunk" in both.columns:
+        parts = [*by, "_chunk"]
+        both = both.join(_carried(both, by), parts)
+    else:  # counted: everything fits one block
+        parts = by
+        none = F.lit(None).cast(both.schema["_r"].dataType)
+        both = both.withColumns({"_carry_prev": none, "_carry_next": none})
 
-    inside = W.partitionBy(*by, "_chunk").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy(*parts).rowsBetween(W.unboundedPreceding, W.currentRow)
     prev = F.last("_r", ignorenulls=True).over(inside.orderBy(F.col(on).asc(), F.col("_side").asc()))
     following = F.last("_r", ignorenulls=True).over(inside.orderBy(F.col(on).desc(), F.col("_side").asc()))
     return (
-        both.join(carried, [*by, "_chunk"])
-        .withColumns({"_p": prev, "_n": following})
+        both.withColumns({"_p": prev, "_n": following})
         .where(F.col("_side") == 1)
         .withColumns({"_p": F.coalesce("_p", "_carry_prev"), "_n": F.coalesce("_n", "_carry_next")})
         .withColumn("_n", F.when(F.col("_p._at") == F.col(on), F.col("_p")).otherwise(F.col("_n")))

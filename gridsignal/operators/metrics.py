@@ -20,7 +20,7 @@ from gridsignal.session import settle
 def _score_table(df: DataFrame, score: str, label: str, by: Sequence[str], chunk: str | None) -> tuple[DataFrame, str]:
     """Positives and negatives per distinct score, written once: everything after it reads this reduced table."""
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    keys = [*by, score] if chunk is None else [*by, chunk, score]
+    keys = [*by, chunk, score] if chunk in df.columns else [*by, score]
     folded = settle(
         rows.groupBy(*keys).agg(
             F.sum(F.col(label).cast("long")).alias("_pos"), F.sum(1 - F.col(label).cast("long")).alias("_neg")

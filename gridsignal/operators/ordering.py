@@ -43,28 +43,34 @@ def chunk_of(on: str, grain: str | float) -> Column:
     return F.floor(F.col(on) / F.lit(grain)).cast("long")
 
 
+def block_count(df: DataFrame) -> int:
+    """Number of blocks the rows of ``df`` fill, at most ``MAX_CHUNKS``."""
+    return min(MAX_CHUNKS, math.ceil(df.count() / BLOCK_ROWS))
+
+
 def range_chunks(df: DataFrame, keys: Sequence[str], out: str = "_chunk") -> DataFrame:
     """Cut rows into as many ranges of the sort key as the session has shuffle partitions.
 
     The ranges come from a sample of the complete key, so a frequent leading value is split by the columns after it.
-    The result is written to the shared folder with its range number: everything after it sees the same ranges.
+    The result is written to the shared folder with its range number: everything after it sees the same ranges. When
+    all rows fit one block, the column is left out again.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return settle(df.repartitionByRange(parts, *keys).withColumn(out, F.spark_partition_id()))
+    cut = settle(df.repartitionByRange(parts, *keys).withColumn(out, F.spark_partition_id()))
+    return cut if block_count(cut) > 1 else cut.drop(out)
 
 
 def value_chunks(df: DataFrame, column: str, out: str = "_chunk", n: int | None = None) -> DataFrame:
     """Cut an arbitrary numeric column into equally filled ranges of about ``BLOCK_ROWS`` rows (or ``n`` ranges).
 
     The cut points are a bounded list of numbers found by one pass over the single column, so every later use of the
-    chunk key sees the same ranges.
+    chunk key sees the same ranges. When all rows fit one block, no chunk column is added.
     """
-    if n is None:
-        n = min(MAX_CHUNKS, math.ceil(df.count() / BLOCK_ROWS))
+    n = block_count(df) if n is None else n
     cuts = df.approxQuantile(column, [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
     splits = sorted(set(cuts))
     if not splits:
-        return df.withColumn(out, F.lit(0.0))
+        return df
     cutter = Bucketizer(
         splits=[-float("inf"), *splits, float("inf")], inputCol="_cut_by", outputCol=out, handleInvalid="keep"
     )
@@ -97,9 +103,13 @@ def running_totals(
     """Inclusive running sums of ``totals`` (name -> addend) per ``by`` group along ``order``.
 
     Two levels: per-chunk sums are map-side combined and accumulated over the chunk table (one row per chunk), rows
-    are only sorted inside their chunk. ``by`` and ``chunk`` must not be NULL.
+    are only sorted inside their chunk. ``by`` and ``chunk`` must not be NULL. A frame without the chunk column is one
+    that was counted and fits one block (``value_chunks``, ``hash_rank``): it needs no offsets.
     """
     by = list(by)
+    if chunk not in df.columns:
+        rows = W.partitionBy(*by).orderBy(*_sorted(order, descending)).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.withColumns({name: F.sum(addend).over(rows) for name, addend in totals.items()})
     addends = {f"_a_{name}": expr for name, expr in totals.items()}
     df = df.withColumns(addends)
     sums = df.groupBy(*by, chunk).agg(*[F.sum(a).alias(f"_s{a}") for a in addends])
@@ -128,7 +138,7 @@ def with_position(
 ) -> DataFrame:
     """Dense 0-based position of each row in its series, in the order of ``on`` (unique inside a series).
 
-    Without ``grain`` the rows are cut by sampled ranges. ``grain`` is for series whose resolution bounds the rows in
+    Without ``grain`` the rows are written in sampled ranges. ``grain`` is for series whose resolution bounds the rows in
     one unit, such as hours in a day: nothing is written then, but the input is read twice, once for its keys only.
     """
     order = [on] if isinstance(on, str) else list(on)
@@ -171,6 +181,9 @@ def over_blocks(
 def hash_rank(
     df: DataFrame, by: Sequence[str], draw: str, tie: Sequence[str], out: str, chunks: int = MAX_CHUNKS
 ) -> DataFrame:
-    """1-based rank by a ``hash_draw`` column inside each group; equal hash ranges keep every task small."""
-    chunked = df.withColumn("_chunk", chunk_of(draw, float(HASH_SPAN // chunks)))
+    """1-based rank by a ``hash_draw`` column inside each group; equal hash ranges keep every task small.
+
+    ``chunks=1`` says that a group fits one block.
+    """
+    chunked = df.withColumn("_chunk", chunk_of(draw, float(HASH_SPAN // chunks))) if chunks > 1 else df
     return running_totals(chunked, by, "_chunk", [draw, *tie], {out: F.lit(1).cast("long")}).drop("_chunk")

@@ -5,7 +5,6 @@ Random choices are keyed hashes of (seed, row, replicate), so they do not depend
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -16,10 +15,9 @@ from gridsignal.operators.groups import attach
 from gridsignal.operators.metrics import ranking_metrics
 from gridsignal.operators.neighbours import nearest
 from gridsignal.operators.ordering import (
-    BLOCK_ROWS,
     HASH_CHUNK,
     HASH_SPAN,
-    MAX_CHUNKS,
+    block_count,
     chunk_of,
     hash_draw,
     hash_rank,
@@ -144,7 +142,8 @@ def bootstrap_auc(
     )
     if mode == "random":
         noise = draws.withColumn("_score", hash_draw(seed, "noise", F.col("_draw")))
-        noise = noise.withColumn("_chunk", chunk_of("_score", HASH_CHUNK))
+        if "_chunk" in rows.columns:
+            noise = noise.withColumn("_chunk", chunk_of("_score", HASH_CHUNK))
         drawn = noise.join(rows.select(pos, "_label"), pos)
     else:
         # Repeated draws of one row in a replicate are folded before the join.
@@ -161,7 +160,7 @@ def permutation_metrics(
     A permutation gives the positive label to as many rows as have it now, those with the smallest hash draws.
     """
     rows = settle(df.select(row_id, score, label))
-    chunks = min(MAX_CHUNKS, max(1, math.ceil(rows.count() / BLOCK_ROWS)))
+    chunks = block_count(rows)
     rows = value_chunks(rows, score, "_range", chunks)
     rows = attach(rows, (), {"_p": F.sum(F.col(label).cast("long"))})
     # Spread the rows before they are multiplied: a small table would otherwise be fanned out by one task.

@@ -35,7 +35,7 @@ class Prepared:
 def align_index(times: DataFrame, index: DataFrame, tolerance: float | None = None) -> DataFrame:
     """Index value nearest to every model time: ``(series_id, ts, value)``."""
     clean = index.select("ts", above_floor(F.col("value")).alias("value"))
-    near = asof.asof_nearest(times.select("ts"), settle(clean), ["value"], grain="year", tolerance=tolerance, unique_left=True)
+    near = asof.asof_nearest(times.select("ts"), clean, ["value"], tolerance=tolerance, unique_left=True)
     return near.select(F.lit("t").alias("series_id"), "ts", "value")
 
 
@@ -68,8 +68,7 @@ def build_features(
     total = grid.spatial_sum(aligned[runoff], scale=MEGA)
     mean = grid.spatial_mean(masked.where(F.col("var") == spatial[0]))
     # The time axis is small from here on: one row per step with index, total and mean.
-    steps = settle(near.join(total, "ts").join(mean, "ts"))
-    placed = settle(with_position(steps, grain="year"))
+    placed = settle(with_position(near.join(total, "ts").join(mean, "ts")))
     single = windows.lag_features(placed, ["total"], (1, 2))
     if custom_labels is None:
         single = labels.weak_labels(single, threshold=threshold)
@@ -82,17 +81,17 @@ def build_features(
         F.col("total_lag2").alias(RUNOFF_FEATURES[2]),
         interaction(F.col("total"), F.col("mean")).alias(RUNOFF_FEATURES[3]),
     )
-    single = settle(single.dropna(subset=list(RUNOFF_FEATURES)))  # the label is never missing
-    times = settle(with_position(single.select("series_id", "ts", "label"), grain="year").select("pos", "ts", "label"))
+    single = settle(with_position(single.dropna(subset=list(RUNOFF_FEATURES))))  # the label is never missing
+    times = single.select("pos", "ts", "label")
 
     spatial_no = F.element_at(F.create_map(*[x for i, v in enumerate(spatial) for x in (F.lit(v), F.lit(i))]), F.col("var"))
     spatial_rows = masked.join(times.select("ts", "pos"), "ts").select(
         (spatial_no.cast("long") * F.lit(BLOCK_SPAN) + F.col("cell_id")).alias("feature_id"),
         F.col("var").alias("block"), "cell_id", "pos", "value",
     )
-    runoff_rows = single.unpivot(["ts"], list(RUNOFF_FEATURES), "name", "value")
+    runoff_rows = single.unpivot(["pos"], list(RUNOFF_FEATURES), "name", "value")
     number = F.array_position(F.array(*[F.lit(n) for n in RUNOFF_FEATURES]), F.col("name")) - 1
-    runoff_rows = runoff_rows.join(times.select("ts", "pos"), "ts").select(
+    runoff_rows = runoff_rows.select(
         (F.lit(len(spatial) * BLOCK_SPAN) + number).alias("feature_id"),
         F.lit(runoff).alias("block"), F.lit(None).cast("long").alias("cell_id"), "pos", "value",
     )
@@ -220,7 +219,7 @@ def lead_time_report(
     rows = scored.select("series_id", "ts", "label", "p")
     if index is not None:
         rows = timeops.clip_to_overlap(rows, index, OVERLAP_DAYS)
-    placed = settle(with_position(settle(rows), grain=grain))
+    placed = settle(with_position(rows, grain=grain))
     leads = settle(peaks.lead_times(placed, peaks.find_peaks(placed, "p", height, distance), max_lead=max_lead))
     quartiles = stats.quantiles(leads, "lead", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     summary = quartiles.withColumns({"n": F.coalesce("n", F.lit(0)), "found": F.coalesce(F.col("n") > 0, F.lit(False))})

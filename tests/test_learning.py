@@ -16,6 +16,15 @@ from gridsignal.operators.neighbours import nearest
 from gridsignal.session import settle
 
 
+@pytest.fixture(params=["one block", "small blocks"])
+def blocks(request, monkeypatch):
+    """The same results with everything in one block and with blocks of seven rows."""
+    if request.param == "small blocks":
+        from gridsignal.operators import ordering
+
+        monkeypatch.setattr(ordering, "BLOCK_ROWS", 7)
+
+
 def scored(spark, rows):
     return spark.createDataFrame([(float(p), int(y)) for p, y in rows], "p double, y int")
 
@@ -36,7 +45,7 @@ def test_single_class_has_no_auc(spark):
     assert M.ranking_metrics(scored(spark, [(0.9, 0), (0.8, 0)])).first().ap is None
 
 
-def test_auc_by_group_equals_pair_counting(spark):
+def test_auc_by_group_equals_pair_counting(spark, blocks):
     rng = np.random.default_rng(0)
     rows = [(int(i % 3), float(rng.integers(0, 30)), int(rng.random() < 0.3)) for i in range(600)]
     got = M.ranking_metrics(spark.createDataFrame(rows, "g int, p double, y int"), by=["g"]).collect()
@@ -53,7 +62,7 @@ def test_one_score_on_most_rows(spark):
     assert M.roc_auc(pdf).first().auc == pytest.approx(expected)
 
 
-def test_curves(spark):
+def test_curves(spark, blocks):
     df = scored(spark, [(0.9, 1), (0.8, 0), (0.7, 1), (0.6, 1), (0.5, 1), (0.2, 0)])
     roc = sorted((r.fpr, r.tpr) for r in M.roc_curve(df).collect())
     assert roc == [(0, 0), (0, 0.25), (0.5, 0.25), (0.5, 0.5), (0.5, 0.75), (0.5, 1.0), (1.0, 1.0)]
@@ -114,13 +123,13 @@ def test_smote_balances_with_points_on_segments(spark):
         assert any(abs(np.linalg.norm(f - a) + np.linalg.norm(f - b) - np.linalg.norm(a - b)) < 1e-9 for a, b in pairs)
 
 
-def test_permutation_p_value_of_a_perfect_score(spark):
+def test_permutation_p_value_of_a_perfect_score(spark, blocks):
     df = spark.range(40).select(F.col("id").alias("row_id"), (F.col("id") / 40).alias("p"), (F.col("id") >= 30).cast("int").alias("y"))
     got = {r.metric: r for r in R.permutation_test(df, n=60).collect()}
     assert got["AUC"].observed == 1.0 and got["AUC"].p_value == 0.0 and 0.3 < got["AUC"].null_mean < 0.7
 
 
-def test_bootstrap(spark):
+def test_bootstrap(spark, blocks):
     df = spark.range(50).select(F.col("id").alias("pos"), (F.col("id") / 50).alias("p"), (F.col("id") >= 25).cast("int").alias("y"))
     assert {r.auc for r in R.bootstrap_auc(df, replicates=20).collect()} == {1.0}
     noise = [r.auc for r in R.bootstrap_auc(df, replicates=40, mode="random").collect()]

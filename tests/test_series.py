@@ -162,7 +162,7 @@ def test_lead_of_twelve_and_the_bin_edges(spark):
     assert np.histogram([12, 1], bins=np.arange(0.5, 12.5, 1))[0].sum() == 1
 
 
-def test_positions_are_dense_and_independent_of_partitioning(spark):
+def test_positions_are_dense_and_independent_of_partitioning(spark, small_blocks):
     start = dt.datetime(2020, 1, 1)
     rows = [("ab"[i % 3 == 0], start + dt.timedelta(hours=7 * i), i) for i in range(400)]
     df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, i int")
@@ -176,7 +176,7 @@ def test_positions_are_dense_and_independent_of_partitioning(spark):
             assert got == expected
 
 
-def test_positions_with_one_frequent_stamp(spark):
+def test_positions_with_one_frequent_stamp(spark, small_blocks):
     df = spark.range(3000).select(F.lit("a").alias("series_id"), F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).alias("t"), "id")
     got = with_position(df.repartition(6), on=["t", "id"])
     assert {r.id: r.pos for r in got.collect()} == {i: i for i in range(3000)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridsignal.functions import columns as C
 from gridsignal.operators import grid as G
+from gridsignal.operators import ordering
 from gridsignal.operators.asof import asof_nearest
 
 
@@ -24,8 +25,10 @@ def test_tie_goes_to_the_later_stamp(spark):
     assert asof_nearest(left, right, ["v"], ties="earlier").first().v == 1.0
 
 
-@pytest.mark.parametrize("grain", ["day", "month", "year", None])
-def test_asof_equals_pandas_nearest(spark, grain):
+@pytest.mark.parametrize("grain,rows", [("day", None), ("month", None), ("year", None), (None, None), (None, 7)])
+def test_asof_equals_pandas_nearest(spark, grain, rows, monkeypatch):
+    if rows:
+        monkeypatch.setattr(ordering, "BLOCK_ROWS", rows)
     rng = np.random.default_rng(4)
     right_days = np.sort(rng.choice(900, 60, replace=False))
     left_days = np.sort(rng.choice(np.arange(-50, 1000), 300))
@@ -47,6 +50,16 @@ def test_asof_tolerance_and_range(spark):
     assert near(extrapolate=False) == [None, 1, 2, None]
 
 
+def test_asof_by_key_in_sampled_ranges(spark, small_blocks):
+    rng = np.random.default_rng(9)
+    right = [("ab"[i % 2], float(x), i) for i, x in enumerate(rng.choice(500, 60, replace=False))]
+    left = [(i, "abc"[i % 3], float(x)) for i, x in enumerate(rng.integers(-20, 520, 150))]
+    got = asof_nearest(spark.createDataFrame(left, "i int, k string, x double"), spark.createDataFrame(right, "k string, x double, v int"), ["v"], "x", ["k"])
+    for r in got.collect():
+        near = sorted((abs(x - r.x), -x, v) for k, x, v in right if k == r.k)
+        assert r.v == (near[0][2] if near else None)
+
+
 def test_asof_with_one_very_frequent_stamp(spark):
     left = spark.range(2000).select(F.lit(stamp(3)).cast("timestamp_ntz").alias("ts"), F.col("id"))
     right = spark.createDataFrame([(stamp(0), 1.0), (stamp(9), 2.0)], "ts timestamp_ntz, v double")
