@@ -49,14 +49,13 @@ def block_count(df: DataFrame) -> int:
 
 
 def range_chunks(df: DataFrame, keys: Sequence[str], out: str = "_chunk") -> DataFrame:
-    """Cut rows into as many ranges of the sort key as the session has shuffle partitions.
+    """Cut rows into ranges of the sort key: the session's shuffle partitions, merged by Spark where they are small.
 
     The ranges come from a sample of the complete key, so a frequent leading value is split by the columns after it.
     The result is written to the shared folder with its range number: everything after it sees the same ranges. When
     all rows fit one block, the column is left out again.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = settle(df.repartitionByRange(parts, *keys).withColumn(out, F.spark_partition_id()))
+    cut = settle(df.repartitionByRange(*keys).withColumn(out, F.spark_partition_id()))
     return cut if block_count(cut) > 1 else cut.drop(out)
 
 

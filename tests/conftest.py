@@ -16,11 +16,14 @@ def spark():
 
 
 @pytest.fixture
-def small_blocks(monkeypatch):
-    """Blocks of seven rows, so that short series cross many block edges."""
+def small_blocks(spark, monkeypatch):
+    """Blocks of seven rows and unmerged ranges, so that short series cross many edges."""
     from gridsignal.operators import ordering
 
     monkeypatch.setattr(ordering, "BLOCK_ROWS", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 @pytest.fixture

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridsignal.operators import labels, peaks, stats, timeops, windows
-from gridsignal.operators.ordering import hash_draw, hash_rank, running_totals, value_chunks, with_position
+from gridsignal.operators.ordering import hash_draw, hash_rank, range_chunks, running_totals, value_chunks, with_position
 
 
 def column(df, name, order=("series_id", "pos")):
@@ -176,6 +176,13 @@ def test_positions_are_dense_and_independent_of_partitioning(spark, small_blocks
             assert got == expected
 
 
+def test_ranges_split_one_frequent_stamp(spark, small_blocks):
+    df = spark.range(4000).select(F.lit("a").alias("series_id"), F.lit(7).alias("t"), "id").repartition(6)
+    cut = range_chunks(df, ["series_id", "t", "id"])
+    edges = cut.groupBy("_chunk").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("_chunk").collect()
+    assert len(edges) == 4 and all(a.hi < b.lo for a, b in zip(edges, edges[1:]))
+
+
 def test_positions_with_one_frequent_stamp(spark, small_blocks):
     df = spark.range(3000).select(F.lit("a").alias("series_id"), F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).alias("t"), "id")
     got = with_position(df.repartition(6), on=["t", "id"])

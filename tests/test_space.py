@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gridsignal.functions import columns as C
 from gridsignal.operators import grid as G
-from gridsignal.operators import ordering
 from gridsignal.operators.asof import asof_nearest
 
 
@@ -25,10 +24,8 @@ def test_tie_goes_to_the_later_stamp(spark):
     assert asof_nearest(left, right, ["v"], ties="earlier").first().v == 1.0
 
 
-@pytest.mark.parametrize("grain,rows", [("day", None), ("month", None), ("year", None), (None, None), (None, 7)])
-def test_asof_equals_pandas_nearest(spark, grain, rows, monkeypatch):
-    if rows:
-        monkeypatch.setattr(ordering, "BLOCK_ROWS", rows)
+@pytest.mark.parametrize("grain", ["day", "month", "year", None])
+def test_asof_equals_pandas_nearest(spark, grain, small_blocks):
     rng = np.random.default_rng(4)
     right_days = np.sort(rng.choice(900, 60, replace=False))
     left_days = np.sort(rng.choice(np.arange(-50, 1000), 300))
