@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsignal.llm import ann, topk
+from gridsignal.llm import ann, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +45,17 @@ def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
+@query(
+    "op8_warc",
+    """WITH given AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+sized AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM given),
+kept AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM sized)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to FROM kept""",
+)
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_records(warc.write_archives(table(spark, sf_dir, "pages")), keep_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
