@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsignal.llm import ann, topk, warc
+from gridsignal.llm import ann, quality, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +59,8 @@ SELECT page_id, payload_bytes, payload_digest,
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_records(warc.write_archives(table(spark, sf_dir, "pages")), keep_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
