@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsignal.llm import ann, quality, topk, warc
+from gridsignal.llm import ann, mixing, quality, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,3 +64,36 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_classifier")
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+REPEATS = 2.0
+
+MIXING_SQL = f"""WITH RECURSIVE rows_ AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+')) + 1 AS tokens FROM documents),
+totals AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS total FROM rows_ GROUP BY source),
+shares AS (SELECT *, total / CAST((SELECT sum(total) FROM totals) AS DOUBLE) AS share FROM totals),
+ends AS (SELECT max(share) AS high, min(share) AS low FROM shares),
+halving AS (SELECT 0 AS step, CAST(0 AS BIGINT) AS low, CAST({1 << mixing.STEPS} AS BIGINT) AS high
+  UNION ALL SELECT step + 1,
+    CASE WHEN pow(e.high, 1 - mid) * pow(e.low, mid - 1) <= {REPEATS} THEN h.low ELSE (h.low + h.high) // 2 END,
+    CASE WHEN pow(e.high, 1 - mid) * pow(e.low, mid - 1) <= {REPEATS} THEN (h.low + h.high) // 2 ELSE h.high END
+  FROM (SELECT *, ((low + high) // 2) / {1 << mixing.STEPS}.0::DOUBLE AS mid FROM halving) h, ends e WHERE step < {mixing.STEPS}),
+chosen AS (SELECT CASE WHEN (SELECT high = low FROM ends) THEN 0.0 ELSE (SELECT high FROM halving WHERE step = {mixing.STEPS}) / {1 << mixing.STEPS}.0::DOUBLE END AS a),
+massed AS (SELECT source, total, pow(share, a) AS mass FROM shares, chosen),
+plan AS (SELECT source, total, greatest(total, CAST(floor(mass / (SELECT sum(mass) FROM massed) *
+    ((SELECT max(total / mass) FROM massed) * (SELECT sum(mass) FROM massed)) + 0.5) AS BIGINT)) AS budget FROM massed),
+placed AS (SELECT r.*, p.total, p.budget, (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
+    * CAST(ceil(p.total / {mixing.BLOCK_TOKENS}.0) AS BIGINT)) >> 32 AS block FROM rows_ r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source),
+blocks AS (SELECT source, block, total, budget, sum(tokens) AS size FROM placed GROUP BY ALL),
+epochs AS (SELECT *, unnest(range(0, CAST(ceil(budget / CAST(total AS DOUBLE)) AS BIGINT))) AS epoch FROM blocks),
+ordered AS (SELECT *, epoch * total + sum(size) OVER (PARTITION BY source, epoch
+    ORDER BY md5('mix:' || coalesce(source, '') || ':' || block || ':' || epoch), block ROWS UNBOUNDED PRECEDING) - size AS before FROM epochs),
+copies AS (SELECT r.doc_id, r.source, r.tokens, o.epoch, r.block, r.budget, o.before + sum(r.tokens) OVER (PARTITION BY r.source, r.block, o.epoch
+    ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || o.epoch), r.tokens ROWS UNBOUNDED PRECEDING) - r.tokens AS before
+  FROM placed r JOIN ordered o ON r.source IS NOT DISTINCT FROM o.source AND r.block = o.block)
+SELECT doc_id, source, CAST(tokens AS BIGINT) AS tokens, CAST(epoch AS INTEGER) AS epoch, block, CAST(before AS DOUBLE) / CAST(budget AS DOUBLE) AS mix_order
+FROM copies WHERE before < budget"""
+
+
+@query("op1_temperature_mixing", MIXING_SQL)
+def temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), repeats=REPEATS)
