@@ -20,6 +20,7 @@ from gridsignal.session import settle
 
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 40 << 20
+RECORDS = 1000
 
 BATCHES = "batch long, raw long, blob binary"
 
@@ -48,7 +49,7 @@ def write_batches(df: DataFrame, text: str = "text", size: int = BATCH_BYTES) ->
         if held:
             yield seal(first + made, held_bytes, held)
 
-    return settle(df.mapInArrow(pack, BATCHES))
+    return settle(bounded_records(df).mapInArrow(pack, BATCHES))
 
 
 def seal(number: int, raw: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -74,6 +75,13 @@ def bucket_count(batches: DataFrame, weight: float = 1.0) -> int:
     return max(least, math.ceil(raw * weight / BUCKET_BYTES), 1)
 
 
+def bounded_records(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands at most ``RECORDS`` rows at a time to Python: rows hold whole texts here, and the
+    default of 10,000 rows would have the JVM and the worker hold so many texts at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS))
+    return df
+
+
 # ---- packed numbers ------------------------------------------------------------------------------------------------
 
 

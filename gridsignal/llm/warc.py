@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridsignal.llm.blobs import bounded_records
 from gridsignal.session import settle, shared_path
 
 FILE_BYTES = 256 << 20
@@ -120,7 +121,7 @@ def write_archives(
             if out is not None:
                 out.close()
 
-    return settle(payload_roles(given, revisit_bytes).mapInArrow(write, INDEX))
+    return settle(payload_roles(bounded_records(given), revisit_bytes).mapInArrow(write, INDEX))
 
 
 INDEX_SCHEMA = pa.schema([
