@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def write_batches(df: DataFrame, text: str = "text", size: int = BATCH_BYTES) ->
         held_bytes = 0
         for rows in tables:
             begin = 0
-            lengths = np.asarray(pa.compute.binary_length(rows.column(text)).fill_null(0), dtype=np.int64)
+            lengths = np.asarray(pc.binary_length(rows.column(text)).fill_null(0), dtype=np.int64)
             for i, n in enumerate(lengths.tolist()):
                 held_bytes += n
                 if held_bytes >= size or i - begin >= 200_000:
@@ -131,7 +132,7 @@ def bucket_edges(ordered: np.ndarray, buckets: int) -> np.ndarray:
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and the offsets of the texts (one more than texts); null is empty."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    array = pa.compute.fill_null(array, "").cast(pa.large_string())
+    array = pc.fill_null(array, "").cast(pa.large_string())
     n = len(array)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -142,7 +143,7 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
 
 def ids_of(column: pa.ChunkedArray) -> np.ndarray:
     """Document ids as longs; null counts as larger than any other."""
-    return np.asarray(pa.compute.fill_null(column.cast(pa.int64()), np.iinfo(np.int64).max), dtype=np.int64)
+    return np.asarray(pc.fill_null(column.cast(pa.int64()), np.iinfo(np.int64).max), dtype=np.int64)
 
 
 _MULTIPLY = np.uint64(0xD6E8FEB86659FD93)

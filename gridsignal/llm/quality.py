@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,7 +144,7 @@ def normal_equations(rows: DataFrame, centre: np.ndarray, spread: np.ndarray) ->
 
 
 def matrix(stats: pa.Array) -> np.ndarray:
-    return np.asarray(pa.compute.list_flatten(stats), dtype=np.float64).reshape(len(stats), -1)
+    return np.asarray(pc.list_flatten(stats), dtype=np.float64).reshape(len(stats), -1)
 
 
 def fit(stats: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> Model:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsignal.llm import ann, htmltext, mixing, packing, quality, topk, warc
+from gridsignal.llm import ann, htmltext, jaccard, mixing, packing, quality, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +108,22 @@ def retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_text")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op9_ngram_jaccard_join",
+    r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM words),
+sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
+lines AS (SELECT doc_id, n, unnest(s) AS g FROM sized),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common, any_value(a.n) AS n, any_value(b.n) AS m FROM lines a JOIN lines b ON a.g = b.g AND a.doc_id > b.doc_id
+  AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT u, v FROM pairs WHERE 100 * common >= 85 * (n + m - common)),
+both_ AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT DISTINCT u, u AS r FROM both_ UNION SELECT b.u, reach.r FROM both_ b JOIN reach ON b.v = reach.u),
+least_ AS (SELECT u, min(r) AS component_id FROM reach GROUP BY u)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM sized LEFT JOIN least_ ON doc_id = u""",
+)
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -38,7 +39,7 @@ def shard_count(rows: int, least: int, size: int = SHARD_ROWS) -> int:
 
 def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     """List column of equally long vectors as a matrix."""
-    flat = np.asarray(pa.compute.list_flatten(column), dtype=np.float64)
+    flat = np.asarray(pc.list_flatten(column), dtype=np.float64)
     return flat.reshape(rows, -1) if rows else np.zeros((0, 0))
 
 
