@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsignal.llm import ann, htmltext, jaccard, mixing, packing, quality, topk, warc
+from gridsignal.llm import ann, htmltext, jaccard, mixing, packing, quality, suffixes, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,3 +127,8 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) A
 )
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_digest(table(spark, sf_dir, "documents"))
