@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsignal.llm import ann, htmltext, jaccard, mixing, packing, quality, suffixes, topk, warc
+from gridsignal.llm import ann, htmltext, jaccard, mixing, packing, quality, spans, suffixes, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,3 +132,23 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_digest(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_sentence_spans",
+    r"""WITH lines AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
+units AS (SELECT doc_id, [trim(x, ' ' || chr(9) || chr(10) || chr(13)) FOR x IN parts IF trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> ''] AS s FROM lines),
+rows_ AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS pos FROM units),
+counted AS (SELECT *, sum(len(regexp_extract_all(s, '[^ \t\r\n]+'))) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM rows_),
+before_ AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS before FROM counted),
+ends AS (SELECT a.doc_id, a.pos, min(b.pos) AS last FROM before_ a JOIN before_ b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.upto - a.before >= 10 GROUP BY a.doc_id, a.pos),
+runs AS (SELECT e.doc_id, e.pos, e.last, md5(array_to_string(u.s[e.pos:e.last], chr(10))) AS run FROM ends e JOIN units u USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM runs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM ranked WHERE nth > 1),
+marked AS (SELECT r.*, g.pos IS NOT NULL AS out_ FROM rows_ r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.pos = g.pos)
+SELECT d.doc_id, count(m.pos) AS n_sentences, CAST(coalesce(sum(CAST(out_ AS INTEGER)), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(m.s, chr(10) ORDER BY m.pos) FILTER (WHERE NOT out_), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id""",
+)
+def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup_digest(table(spark, sf_dir, "documents"))
