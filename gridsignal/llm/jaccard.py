@@ -49,7 +49,7 @@ def sets_of(rows: pa.RecordBatch, column: int = 1, words: int = WORDS) -> list[n
     data, offsets = text_bytes(rows.column(column))
     out, begin = [], 0
     while begin < len(offsets) - 1:
-        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + (1 << 21), "right")) - 1)
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + (1 << 20), "right")) - 1)
         out += shingle_sets(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin], words)
         begin = end
     return out
@@ -83,14 +83,14 @@ class Ranges:
         return math.floor(self.spread * (below - 1))
 
     def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """Hashes of the ranges under which a set is announced: those of its own size class, and those of the next one if
-        a set of that class could link to it. Poor ranges, with few shingles, are left out as far as the count allows: of
+        """Hashes of the ranges under which a set is announced: those of its own size class, and those of larger ones
+        while a set of that class could link to it. Poor ranges, with few shingles, are left out as far as the count allows: of
         two linked sets, one shared range is announced by both."""
-        n = len(shingles)
-        _, above = self.bounds(n)
+        above = self.bounds(len(shingles))[1]
         found = [self.class_keys(shingles, above)]
-        if 100 * n >= self.percent * above:
-            found.append(self.class_keys(shingles, self.bounds(above)[1]))
+        while 100 * len(shingles) >= self.percent * above:
+            above = self.bounds(above)[1]
+            found.append(self.class_keys(shingles, above))
         return np.concatenate(found)
 
     def class_keys(self, shingles: np.ndarray, below: int) -> np.ndarray:
