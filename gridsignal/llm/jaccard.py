@@ -35,6 +35,8 @@ GROUPS = 64
 LEAF = 32
 BLOCK = 4096
 FLUSH_KEYS = 1 << 20
+BUCKET_BYTES = 40 << 20
+LEAST_BUCKETS = 128  # about the ranges of a text: more buckets do not repeat a pair more often
 
 META = "doc_id long, n long, h1 long, h2 long"
 SIGNATURES = "bucket int, keys binary, docs binary"
@@ -112,7 +114,7 @@ def candidate_edges(docs: DataFrame, percent: int, words: int) -> DataFrame:
     """``u, v``: pairs of documents that hold together all that share a range."""
     ranges = Ranges(percent)
     raw = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(raw / blobs.BUCKET_BYTES), 1)
+    buckets = max(LEAST_BUCKETS, math.ceil(raw / BUCKET_BYTES))
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -252,7 +254,8 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, words: int
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     pairs = F.filter(pairs, lambda p: p["i"] != p["j"])
-    tasks = docs.join(placed, "doc_id").withColumn("pair", F.explode(F.when(F.col("blocks") == 1, one).otherwise(pairs)))
+    # the same plan at every size: Spark would broadcast the members of a small corpus only
+    tasks = docs.join(placed.hint("shuffle_merge"), "doc_id").withColumn("pair", F.explode(F.when(F.col("blocks") == 1, one).otherwise(pairs)))
     tasks = tasks.select("family", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "doc_id", "text")
     tasks = tasks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
 
