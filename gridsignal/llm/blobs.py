@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from gridsignal.session import settle
 
-BATCH_BYTES = 8 << 20
-BUCKET_BYTES = 40 << 20
+BATCH_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 RECORDS = 1000
 
 BATCHES = "batch long, raw long, blob binary"
@@ -56,7 +56,7 @@ def write_batches(df: DataFrame, text: str = "text", size: int = BATCH_BYTES) ->
 def seal(number: int, raw: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
     table = pa.Table.from_batches(rows).combine_chunks()
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
         writer.write_table(table)
     return pa.RecordBatch.from_pydict(
         {"batch": pa.array([number], pa.int64()), "raw": pa.array([raw], pa.int64()),

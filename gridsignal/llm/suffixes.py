@@ -33,8 +33,10 @@ GRAM = 24
 BEFORE = LENGTH - GRAM  # bytes before an anchor that a string of LENGTH bytes around it can have
 SPAN = BEFORE + LENGTH
 OUTSIDE = 255  # no byte of UTF-8
-CHUNK = 1 << 16
-SORT_ROWS = 1 << 15
+CHUNK = 1 << 13
+SORT_ROWS = 1 << 14
+PIECE = 1 << 19
+SPARE_BITS = 12
 
 KEYS = "bucket int, batch long, keys binary, extra binary, bytes binary"
 MASKS = "batch long, bucket int, mask binary"
@@ -59,7 +61,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     places, keys = [], []
     begin = 0
     while begin < len(offsets) - 1:
-        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + (1 << 20), "right")) - 1)
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + PIECE, "right")) - 1)
         at, h = _anchors(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
         places.append(at + offsets[begin])
         keys.append(h)
@@ -80,17 +82,25 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         least[max(0, edge - LENGTH + 1) : edge] = 0  # runs over the end of a text
     pad = np.zeros(width - 1, np.uint32)
     chosen = np.flatnonzero(sliding(np.concatenate([pad, least, pad]), width, np.maximum) == rank)
-    return chosen, grams[chosen]
+    # chosen hashes are small ones: mixed again, they fill the buckets evenly
+    return chosen, mix(~grams[chosen])
+
+
+def key_bits(raw: int) -> int:
+    """Bits of an anchor's key: ``SPARE_BITS`` more than the corpus has bytes, so that few keys meet by chance. Those that
+    do are told apart by their bytes."""
+    return min(64, max(16, int(raw).bit_length() + SPARE_BITS))
 
 
 class Batch:
-    """Texts of a batch with their anchors."""
+    """Texts of a batch with their anchors. Keys are the upper ``bits`` of the hash; the others are 0."""
 
-    def __init__(self, blob: bytes, id: str, text: str) -> None:
+    def __init__(self, blob: bytes, id: str, text: str, bits: int = 64) -> None:
         self.table = blobs.unseal(blob)
         self.ids = ids_of(self.table[id])
         self.data, self.offsets = text_bytes(self.table[text])
         self.places, self.keys = anchors(self.data, self.offsets)
+        self.keys &= np.uint64((1 << 64) - (1 << (64 - bits)))
         self.row = np.searchsorted(self.offsets, self.places, "right") - 1
 
     def distinct_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,8 +134,9 @@ class Batch:
         """Which bytes the strings cover that ``masks`` (one per head) or a smaller copy in this batch mark."""
         owner = self.ids[self.row]
         bits = masks[self.fold]
-        smaller = owner > owner[self.head][self.fold]
-        bits = np.where(smaller, whole_strings(self.around), bits)
+        smaller = np.flatnonzero(owner > owner[self.head][self.fold])
+        for i in range(0, len(smaller), CHUNK):
+            bits[smaller[i : i + CHUNK]] = whole_strings(self.around[smaller[i : i + CHUNK]])
         change = np.zeros(len(self.data) + 1, np.int32)
         some = np.flatnonzero(bits)
         for o in range(BEFORE + 1):
@@ -135,12 +146,17 @@ class Batch:
         return np.cumsum(change[:-1]) > 0
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """One hash for the bytes of each row."""
+    out = np.zeros(len(rows), np.uint64)
+    for i in range(0, len(rows), CHUNK):
+        out[i : i + CHUNK] = (rows[i : i + CHUNK].astype(np.uint64) * WEIGHTS[: rows.shape[1]]).sum(axis=1, dtype=np.uint64)
+    return mix(out)
+
+
 def fold_equal(keys: np.ndarray, owner: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by key, bytes and owner, and marks of the first row of equal key and bytes."""
-    content = np.zeros(len(keys), np.uint64)
-    for i in range(0, len(keys), CHUNK):
-        content[i : i + CHUNK] = (around[i : i + CHUNK].astype(np.uint64) * WEIGHTS).sum(axis=1, dtype=np.uint64)
-    content = mix(content)
+    content = row_hashes(around)
     order = np.lexsort((owner, content, keys))
     k, c = keys[order], content[order]
     head = np.ones(len(k), bool)
@@ -274,33 +290,35 @@ def smaller_exists(content: np.ndarray, owner: np.ndarray, strings: np.ndarray)
     return out
 
 
-def resolve(keys: np.ndarray, owner: np.ndarray, around: np.ndarray) -> np.ndarray:
+def resolve(owner: np.ndarray, around: np.ndarray) -> np.ndarray:
     """For each row, the bits of the strings around its anchor that a row with a smaller owner has, too."""
-    order, head = fold_equal(keys, owner, around)
+    order, head = fold_equal(row_hashes(around[:, BEFORE : BEFORE + GRAM]), owner, around)
     fold = np.cumsum(head) - 1
     one = order[head]
-    masks = np.zeros(len(one), np.uint32)
-    gram = np.ascontiguousarray(around[one, BEFORE : BEFORE + GRAM])
+    gram = row_hashes(around[one, BEFORE : BEFORE + GRAM])
     change = np.ones(len(one), bool)
-    change[1:] = keys[one][1:] != keys[one][:-1]
+    change[1:] = gram[1:] != gram[:-1]
     group = np.cumsum(change)
-    first = np.flatnonzero(change)[group - 1]
-    if (gram != gram[first]).any():  # keys of different strings collide: tell them apart by the bytes
-        _, content = np.unique(gram, axis=0, return_inverse=True)
+    first = one[np.flatnonzero(change)[group - 1]] if len(one) else one
+    anchor = slice(BEFORE, BEFORE + GRAM)
+    if any((around[one[i : i + CHUNK], anchor] != around[first[i : i + CHUNK], anchor]).any() for i in range(0, len(one), CHUNK)):
+        # hashes of different anchor strings collide: tell them apart by the bytes
+        _, content = np.unique(around[one, anchor], axis=0, return_inverse=True)
         resorted = np.argsort(content.ravel(), kind="stable")
-        masks[resorted] = by_groups(content.ravel()[resorted], owner[one][resorted], around[one[resorted]])
+        masks = np.zeros(len(one), np.uint32)
+        masks[resorted] = by_groups(content.ravel()[resorted], owner[one][resorted], around, one[resorted])
     else:
-        masks = by_groups(group, owner[one], around[one])
+        masks = by_groups(group, owner[one], around, one)
     out = np.empty(len(order), np.uint32)
-    bits = masks[fold]
-    smaller = owner[order] > owner[one][fold]
-    bits[smaller] = whole_strings(around[order[smaller]])
-    out[order] = bits
+    for i in range(0, len(order), CHUNK):
+        rows, part = order[i : i + CHUNK], fold[i : i + CHUNK]
+        out[rows] = np.where(owner[rows] > owner[one[part]], whole_strings(around[rows]), masks[part])
     return out
 
 
-def by_groups(group: np.ndarray, owner: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """``equal_strings`` for as many whole groups at a time as memory allows; groups of one row have nothing to compare."""
+def by_groups(group: np.ndarray, owner: np.ndarray, around: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """``equal_strings`` for some whole groups at a time; groups of one row have nothing to compare. ``place`` is where
+    the bytes of each row lie in ``around``."""
     masks = np.zeros(len(group), np.uint32)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(group)))
@@ -310,7 +328,7 @@ def by_groups(group: np.ndarray, owner: np.ndarray, around: np.ndarray) -> np.nd
     while begin < len(rows):
         end = int(ends[min(np.searchsorted(ends, begin + SORT_ROWS), len(ends) - 1)])
         part = rows[begin:end]
-        masks[part] = equal_strings(group[part], owner[part], around[part])
+        masks[part] = equal_strings(group[part], owner[part], around[place[part]])
         begin = end
     return masks
 
@@ -318,13 +336,13 @@ def by_groups(group: np.ndarray, owner: np.ndarray, around: np.ndarray) -> np.nd
 # ---- passes --------------------------------------------------------------------------------------------------------
 
 
-def shared_masks(batches: DataFrame, id: str, text: str, buckets: int) -> DataFrame:
+def shared_masks(batches: DataFrame, id: str, text: str, buckets: int, bits: int) -> DataFrame:
     """``batch, bucket, mask``: which of a batch's distinct anchor strings, in ascending order, two documents have."""
 
     def announce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for number, blob in zip(part.column(0).to_pylist(), part.column(1)):
-                keys, twice, _ = Batch(blob.as_py(), id, text).distinct_keys()
+                keys, twice, _ = Batch(blob.as_py(), id, text, bits).distinct_keys()
                 cut = blobs.bucket_edges(keys, buckets).tolist()
                 filled = [b for b in range(buckets) if cut[b] < cut[b + 1]]
                 yield key_rows(filled, number, [(blobs.pack_sorted(keys[cut[b] : cut[b + 1]]), np.packbits(twice[cut[b] : cut[b + 1]]).tobytes(), None) for b in filled])
@@ -368,28 +386,27 @@ def bits_of(masks: list[dict] | None, keys: np.ndarray, buckets: int) -> np.ndar
     return out
 
 
-def string_masks(batches: DataFrame, shared: DataFrame, id: str, text: str, buckets: int) -> DataFrame:
+def string_masks(batches: DataFrame, shared: DataFrame, id: str, text: str, buckets: int, bits: int) -> DataFrame:
     """``batch, bucket, mask``: for each folded shared anchor of a batch, the strings that a smaller document has."""
 
     def announce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for r in part.to_pylist():
-                batch = Batch(r["blob"], id, text)
+                batch = Batch(r["blob"], id, text, bits)
                 keys, _, _ = batch.distinct_keys()
                 batch.share(bits_of(r["masks0"], keys, buckets))
-                keys, owner, around = batch.keys[batch.head], batch.ids[batch.row][batch.head], batch.around[batch.head]
+                keys, owner, around = batch.keys[batch.head], batch.ids[batch.row[batch.head]], batch.around[batch.head]
                 cut = blobs.bucket_edges(keys, buckets).tolist()
                 filled = [b for b in range(buckets) if cut[b] < cut[b + 1]]
                 spans = [slice(cut[b], cut[b + 1]) for b in filled]
-                yield key_rows(filled, r["batch"], [(blobs.pack_sorted(keys[s]), blobs.pack(owner[s]), blobs.deflate(around[s])) for s in spans])
+                yield key_rows(filled, r["batch"], [(b"", blobs.pack(owner[s]), blobs.deflate(around[s])) for s in spans])
 
     def meet(key: tuple, parts: pa.Table) -> pa.Table:
-        keys = [blobs.unpack_sorted(k) for k in parts["keys"].to_pylist()]
         owner = [blobs.unpack(e, np.int64) for e in parts["extra"].to_pylist()]
         around = np.concatenate([blobs.inflate(b, np.uint8).reshape(-1, SPAN) for b in parts["bytes"].to_pylist()])
-        bits = resolve(np.concatenate(keys), np.concatenate(owner), around)
-        cuts = np.cumsum([0, *map(len, keys)]).tolist()
-        masks = [blobs.deflate(bits[a:b]) for a, b in zip(cuts, cuts[1:])]
+        found = resolve(np.concatenate(owner), around)
+        cuts = np.cumsum([0, *map(len, owner)]).tolist()
+        masks = [blobs.deflate(found[a:b]) for a, b in zip(cuts, cuts[1:])]
         return pa.table({"batch": parts["batch"], "bucket": parts["bucket"], "mask": pa.array(masks, pa.binary())})
 
     return with_masks(batches, shared).mapInArrow(announce, KEYS).groupBy("bucket").applyInArrow(meet, MASKS)
@@ -398,22 +415,23 @@ def string_masks(batches: DataFrame, shared: DataFrame, id: str, text: str, buck
 def removals(docs: DataFrame, id: str, text: str, finish: Callable[[Batch, np.ndarray], pa.RecordBatch], schema) -> DataFrame:
     """Run ``finish`` on every batch of ``docs`` with the marks of the bytes that it loses."""
     batches = blobs.write_batches(docs, text)
-    buckets = blobs.bucket_count(batches)
-    shared = blobs.settle(shared_masks(batches, id, text, buckets))
-    strings = string_masks(batches, shared, id, text, buckets)
+    raw = batches.agg(F.sum("raw")).first()[0] or 0
+    buckets, bits = blobs.bucket_count(batches), key_bits(raw)
+    shared = blobs.settle(shared_masks(batches, id, text, buckets, bits))
+    strings = string_masks(batches, shared, id, text, buckets, bits)
 
     def apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for r in part.to_pylist():
-                batch = Batch(r["blob"], id, text)
+                batch = Batch(r["blob"], id, text, bits)
                 keys, _, _ = batch.distinct_keys()
                 batch.share(bits_of(r["masks0"], keys, buckets))
                 heads = batch.keys[batch.head]
                 cut = blobs.bucket_edges(heads, buckets)
-                bits = np.zeros(len(heads), np.uint32)
+                strings_of = np.zeros(len(heads), np.uint32)
                 for m in r["masks1"] or []:
-                    bits[int(cut[m["bucket"]]) : int(cut[m["bucket"] + 1])] = blobs.inflate(m["mask"], np.uint32)
-                yield finish(batch, batch.covered(bits))
+                    strings_of[int(cut[m["bucket"]]) : int(cut[m["bucket"] + 1])] = blobs.inflate(m["mask"], np.uint32)
+                yield finish(batch, batch.covered(strings_of))
 
     return with_masks(batches, shared, strings).mapInArrow(apply, schema)
 
