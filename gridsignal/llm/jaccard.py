@@ -324,4 +324,4 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: i
     """The documents with the smallest id of their component, with all their columns; rows without an id stay."""
     placed = join_components(docs, id, text, percent, words)
     others = placed.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id)).distinct()
-    return docs.join(others, id, "left_anti").select(*docs.columns)
+    return docs.join(others.hint("shuffle_merge"), id, "left_anti").select(*docs.columns)
