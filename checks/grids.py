@@ -81,10 +81,9 @@ wlon AS (SELECT * FROM (SELECT t.lon_idx AS to_i, s.lon_idx AS from_i, row_numbe
 
 
 @add("regrid_nearest", final(f"{GRID}, {AXES}, {NEAR}", """SELECT ts, var, wlat.to_i AS lat_idx, wlon.to_i AS lon_idx, value FROM grid
- JOIN wlat ON grid.lat_idx = wlat.from_i JOIN wlon ON grid.lon_idx = wlon.from_i WHERE var = 'sst'""", ["value"], ["ts"]))
+ JOIN wlat ON grid.lat_idx = wlat.from_i JOIN wlon ON grid.lon_idx = wlon.from_i""", ["value"], ["ts"]))
 def regrid_nearest(spark, d):
-    field = grid(spark, d).where("var = 'sst'")
-    return G.regrid(field, lat_axis(spark, d), lon_axis(spark, d), *_targets(spark, d))
+    return G.regrid(grid(spark, d), lat_axis(spark, d), lon_axis(spark, d), *_targets(spark, d))
 
 
 LINEAR = """wlat AS (SELECT t.lat_idx AS to_i, s.lat_idx AS from_i, 1 - abs(s.lat - t.lat) / 2.0 AS w FROM (SELECT lat_idx, lat + 0.7 AS lat FROM lat) t, lat s
@@ -95,10 +94,9 @@ wlon AS (SELECT t.lon_idx AS to_i, s.lon_idx AS from_i, 1 - abs(s.lon - t.lon) /
 
 @add("regrid_linear", final(f"{GRID}, {AXES}, {LINEAR}", """SELECT ts, var, wlat.to_i AS lat_idx, wlon.to_i AS lon_idx,
  CASE WHEN count(value) = 4 THEN sum(wlat.w * wlon.w * value) END AS value FROM grid
- JOIN wlat ON grid.lat_idx = wlat.from_i JOIN wlon ON grid.lon_idx = wlon.from_i WHERE var = 'sst' GROUP BY ALL""", ["value"], ["ts"]))
+ JOIN wlat ON grid.lat_idx = wlat.from_i JOIN wlon ON grid.lon_idx = wlon.from_i GROUP BY ALL""", ["value"], ["ts"]))
 def regrid_linear(spark, d):
-    field = grid(spark, d).where("var = 'sst'")
-    return G.regrid(field, lat_axis(spark, d), lon_axis(spark, d), *_targets(spark, d), method="linear")
+    return G.regrid(grid(spark, d), lat_axis(spark, d), lon_axis(spark, d), *_targets(spark, d), method="linear")
 
 
 def feature_dim(spark, d):

@@ -72,19 +72,19 @@ def reduced_components(spark, d):
 @add("train_and_evaluate")
 def train_and_evaluate(spark, d):
     p = prepared(spark, d)
-    trained = jobs.train_evaluate(jobs.reduce_features(p.features, jobs.split_times(p)), rounds=10)
+    trained = jobs.train_evaluate(jobs.reduce_features(p.features, jobs.split_times(p)))
     return trained.metrics
 
 
 @add("threshold_sensitivity")
 def threshold_sensitivity(spark, d):
-    return jobs.threshold_sweep(raw_field(spark, d), settle(order_index(spark, d)), [240000.0, INDEX_WEAK, 1e9], trees=20, rounds=5)
+    return jobs.threshold_sweep(raw_field(spark, d), settle(order_index(spark, d)), labels.sweep_thresholds(INDEX_WEAK))
 
 
 @add("robustness_bootstrap_and_cv")
 def robustness(spark, d):
     p = prepared(spark, d)
-    tables_ = jobs.robustness_tables(jobs.reduce_features(p.features, jobs.split_times(p)), p, range(4), trees=20, rounds=2)
+    tables_ = jobs.robustness_tables(jobs.reduce_features(p.features, jobs.split_times(p)), p, range(4))
     cells = [
         tables_["time_cv"].select(F.lit("time_cv").alias("table"), F.col("fold").cast("string").alias("key"), "auc", "f1"),
         tables_["baselines"].select(F.lit("baselines").alias("table"), F.col("model").alias("key"), "auc", "f1"),
@@ -149,7 +149,7 @@ def significance(spark, d):
  """SELECT threshold, count(*) FILTER (WHERE value < threshold) AS weak_n, count(*) FILTER (WHERE value >= threshold) AS strong_n,
  100.0 * count(*) FILTER (WHERE value < threshold) / count(*) AS weak_pct FROM idx, (VALUES (200000.0), (250000.0), (300000.0)) v(threshold) GROUP BY ALL""", ["threshold", "weak_pct"]))
 def significance_class_balance(spark, d):
-    return labels.class_balance(order_index(spark, d), [200000.0, INDEX_WEAK, 300000.0])
+    return significance(spark, d)["class_balance"]
 
 
 @add("significance_false_alarms", final(f"{SCORED_HOURS}, a AS (SELECT *, coalesce(lead(CAST(p > 0.5 AS INTEGER), 36) OVER (ORDER BY pos), 0) AS alarm FROM prob)",
@@ -226,13 +226,14 @@ def bundle_round_trip(spark, d):
     return b["o"].join(b["l"], F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
 
 
-@add("batches_round_trip", final("", "SELECT o_orderkey AS row_id, o_totalprice AS x FROM orders WHERE o_orderkey % 10 >= 3", ["x"]))
+@add("batches_round_trip", final("", "SELECT o_orderkey AS row_id, o_totalprice AS x, CASE WHEN o_orderkey % 10 < 3 THEN 'test' ELSE 'train' END AS split FROM orders", ["x"]))
 def batches_round_trip(spark, d):
     path = shared_path(spark, "batches")
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("x"),
         F.when(F.col("o_orderkey") % 10 < 3, "test").otherwise("train").alias("split"))
     tables.write_batches(rows, path, rows=10_000)
-    return tables.read_batches(spark, path, "train").select("row_id", "x")
+    parts = [tables.read_batches(spark, path, s).select("row_id", "x", F.lit(s).alias("split")) for s in ("train", "test")]
+    return parts[0].unionByName(parts[1])
 
 
 @add("report_round_trip", final(LEADS, "SELECT unnest(['median: ' || printf('%.1f', quantile_cont(lead, 0.5)), 'interquartile range: ' || printf('%.1f', quantile_cont(lead, 0.25)) || ' to ' || printf('%.1f', quantile_cont(lead, 0.75)), 'peaks: ' || count(*)]) AS value FROM ok"))

@@ -25,7 +25,7 @@ def convert_units(column: Column, scale: float = 1.0, offset: float = 0.0) -> Co
 
 
 def null_if_nan(column: Column) -> Column:
-    """NaN becomes NULL, so that aggregates skip it."""
+    """NaN becomes NULL, so that aggregates skip it and comparisons do not take it for a large number."""
     return F.when(~F.isnan(column), column)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from gridsignal.operators.groups import join_groups
 from gridsignal.operators.ordering import chunk_of, range_chunks
 
 
@@ -44,14 +45,8 @@ def neighbours(
     else:
         both = both.withColumn("_chunk", chunk_of(on, grain))
 
-    if "_chunk" in both.columns:
-        parts = [*by, "_chunk"]
-        both = both.join(_carried(both, by), parts)
-    else:  # counted: everything fits one block
-        parts = by
-        none = F.lit(None).cast(both.schema["_r"].dataType)
-        both = both.withColumns({"_carry_prev": none, "_carry_next": none})
-
+    parts = [*by, "_chunk"]
+    both = join_groups(both, _carried(both, by), parts)
     inside = W.partitionBy(*parts).rowsBetween(W.unboundedPreceding, W.currentRow)
     prev = F.last("_r", ignorenulls=True).over(inside.orderBy(F.col(on).asc(), F.col("_side").asc()))
     following = F.last("_r", ignorenulls=True).over(inside.orderBy(F.col(on).desc(), F.col("_side").asc()))
@@ -77,6 +72,7 @@ def asof_nearest(
 ) -> DataFrame:
     """Give every left row the ``values`` of the right row with the nearest ``on``.
 
+    * Missing keys match each other; a left row without a stamp is kept and has no match.
     * ``right`` holds one row per key and ``on``; a missing value at the nearest stamp is taken as it is, not skipped.
     * Equal distance goes to the later stamp, or to the earlier one with ``ties="earlier"``.
     * ``tolerance`` (seconds for time stamps, plain units for numbers) turns farther matches into NULL.
@@ -88,10 +84,10 @@ def asof_nearest(
     if not unique_left:
         stamps = left.select(*by, on).distinct()
         found = asof_nearest(stamps, right, values, on, by, grain, tolerance, ties, extrapolate, unique_left=True)
-        return left.join(found, [*by, on], "left").select(*left.columns, *values)
+        return join_groups(left, found, [*by, on], "left").select(*left.columns, *values)
     fields = left.columns
     timed = left.schema[on].dataType.typeName() in ("timestamp", "timestamp_ntz", "date")
-    joined = neighbours(left, right, values, on, by, grain)
+    joined = neighbours(left, right.where(F.col(on).isNotNull()), values, on, by, grain)
 
     def gap(side: str):
         if timed:
@@ -103,7 +99,7 @@ def asof_nearest(
     later = (gap("_n") <= gap("_p")) if ties == "later" else (gap("_n") < gap("_p"))
     near = F.when(F.col("_p").isNull(), F.col("_n")).when(F.col("_n").isNull(), F.col("_p"))
     near = near.when(later, F.col("_n")).otherwise(F.col("_p"))
-    picked = joined.withColumn("_near", near)
+    picked = joined.withColumn("_near", F.when(F.col(on).isNotNull(), near))
     if not extrapolate:
         within = F.col("_p").isNotNull() & F.col("_n").isNotNull()
         picked = picked.withColumn("_near", F.when(within, F.col("_near")))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsignal.functions.columns import MEGA
+from gridsignal.functions.columns import MEGA, null_if_nan
 from gridsignal.operators.asof import asof_nearest, neighbours
 from gridsignal.operators.windows import cumulative_offsets
 
@@ -19,7 +19,7 @@ def with_cell_id(df: DataFrame, nlon: int, lat_idx: str = "lat_idx", lon_idx: st
 
 
 def valid_cells(grid: DataFrame, variables: Sequence[str], when: str = "all", on: str = "ts") -> DataFrame:
-    """Cells with a value for every variable, at the first time step (``"first"``) or at every step (``"all"``).
+    """Cells with a value (not NULL, not NaN) for every variable, at the first time step (``"first"``) or at every step (``"all"``).
 
     One map-side combined aggregation per cell; a cell valid at all times is also valid at the first, so ``"all"``
     needs no second pass.
@@ -27,10 +27,10 @@ def valid_cells(grid: DataFrame, variables: Sequence[str], when: str = "all", on
     rows = grid.where(F.col("var").isin(list(variables)))
     if when == "first":
         first = rows.agg(F.min(on)).scalar()
-        filled = rows.where(F.col(on) == first).groupBy("cell_id").agg(F.count("value").alias("_n"))
+        filled = rows.where(F.col(on) == first).groupBy("cell_id").agg(F.count(null_if_nan(F.col("value"))).alias("_n"))
         return filled.where(F.col("_n") == len(variables)).select("cell_id")
     steps = rows.agg(F.count_distinct(F.col(on))).scalar()
-    filled = rows.groupBy("cell_id").agg(F.count("value").alias("_n"))
+    filled = rows.groupBy("cell_id").agg(F.count(null_if_nan(F.col("value"))).alias("_n"))
     return filled.where(F.col("_n") == steps * len(variables)).select("cell_id")
 
 
@@ -40,13 +40,13 @@ def keep_cells(grid: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def spatial_sum(grid: DataFrame, by: Sequence[str] = ("ts",), scale: float = MEGA, out: str = "total") -> DataFrame:
-    """Sum over space per time step, missing counted as 0."""
-    return grid.groupBy(*by).agg((F.coalesce(F.sum("value"), F.lit(0.0)) * F.lit(scale)).alias(out))
+    """Sum over space per time step; NULL and NaN count as 0."""
+    return grid.groupBy(*by).agg((F.coalesce(F.sum(null_if_nan(F.col("value"))), F.lit(0.0)) * F.lit(scale)).alias(out))
 
 
 def spatial_mean(grid: DataFrame, by: Sequence[str] = ("ts",), out: str = "mean") -> DataFrame:
-    """Mean over space per time step."""
-    return grid.groupBy(*by).agg(F.avg("value").alias(out))
+    """Mean over space per time step; NULL and NaN are skipped."""
+    return grid.groupBy(*by).agg(F.avg(null_if_nan(F.col("value"))).alias(out))
 
 
 def mesh(lat: DataFrame, lon: DataFrame) -> DataFrame:

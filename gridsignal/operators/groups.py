@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join of rows with a table of one row per group in which missing keys match each other."""
+    renamed = groups.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.lit(True))
+    return rows.join(renamed, same, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def attach(df: DataFrame, by: Sequence[str], aggs: dict[str, Column], source: DataFrame | None = None) -> DataFrame:
     """Add group aggregates as columns: partial aggregation and an equi-join, never a window over the whole group.
 
-    Without keys the aggregates are one row and become a scalar subquery. ``source`` is the frame to aggregate
-    (default: ``df`` itself).
+    Missing keys are a group of their own. Without keys the aggregates are one row and become a scalar subquery.
+    ``source`` is the frame to aggregate (default: ``df`` itself).
     """
     source = df if source is None else source
     if by:
-        return df.join(source.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), list(by))
+        return join_groups(df, source.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), list(by))
     row = source.agg(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("_row")).scalar()
     packed = df.withColumn("_row", row)
     return packed.withColumns({n: F.col("_row")[n] for n in aggs}).drop("_row")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsignal.functions.columns import threshold_label
+from gridsignal.functions.columns import null_if_nan, threshold_label
 from gridsignal.operators.ordering import over_blocks
 from gridsignal.operators.windows import SERIES, rolling_frame
 
@@ -38,20 +38,17 @@ def weak_labels(
 ) -> DataFrame:
     """1 where the smoothed value stayed below ``threshold`` for ``persistence`` rows, else 0.
 
-    0 where the smoothed value is missing. Smoothing or persistence of None or 1 is off. Smoothing and persistence run
+    0 where the smoothed value is missing; NULL and NaN are skipped. Smoothing or persistence of None or 1 is off. Smoothing and persistence run
     in the same blocks, so the series is shuffled once.
     """
-    smooth = smoothing is not None and int(smoothing) > 1
-    back, ahead = rolling_frame(int(smoothing), center) if smooth else (0, 0)
-    runs = int(persistence) if persistence is not None and int(persistence) > 1 else 1
+    window, runs = max(1, int(smoothing or 1)), max(1, int(persistence or 1))
+    back, ahead = rolling_frame(window, center)
+    needed = min_periods if window > 1 else 1
 
     def build(block, w):
-        if smooth:
-            frame = w.rowsBetween(-back, ahead)
-            mean = F.when(F.count(column).over(frame) >= min_periods, F.avg(column).over(frame))
-        else:
-            mean = F.col(column)
-        block = block.withColumn("_mean", mean)
+        frame = w.rowsBetween(-back, ahead)
+        value = null_if_nan(F.col(column))
+        block = block.withColumn("_mean", F.when(F.count(value).over(frame) >= needed, F.avg(value).over(frame)))
         block = block.withColumn("_weak", F.coalesce((F.col("_mean") < threshold).cast("int"), F.lit(0)))
         held = F.sum("_weak").over(w.rowsBetween(-(runs - 1), 0)) >= runs
         return block.withColumn(out, F.when(F.col("_mean").isNull(), 0).otherwise(held.cast("int"))).drop(
@@ -77,7 +74,7 @@ def class_balance(
 
     One pass with conditional counts: rows are not multiplied by the thresholds.
     """
-    x = F.col(column)
+    x = null_if_nan(F.col(column))
     counted = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.count_if(x < t).alias(f"_weak{i}") for i, t in enumerate(thresholds)],

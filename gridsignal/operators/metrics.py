@@ -13,31 +13,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsignal.operators.groups import attach
-from gridsignal.operators.ordering import over_blocks, running_totals, value_chunks
+from gridsignal.operators.ordering import over_blocks, range_chunks, running_totals
 from gridsignal.session import settle
 
 
-def _score_table(df: DataFrame, score: str, label: str, by: Sequence[str], chunk: str | None) -> tuple[DataFrame, str]:
-    """Positives and negatives per distinct score, written once: everything after it reads this reduced table."""
+def _score_table(df: DataFrame, score: str, label: str, by: Sequence[str], weight: str | None = None) -> tuple[DataFrame, str]:
+    """Positives and negatives per distinct score, written once in ranges of the score: what follows reads this table."""
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    keys = [*by, chunk, score] if chunk in df.columns else [*by, score]
-    folded = settle(
-        rows.groupBy(*keys).agg(
-            F.sum(F.col(label).cast("long")).alias("_pos"), F.sum(1 - F.col(label).cast("long")).alias("_neg")
-        )
-    )
-    return (value_chunks(folded, score), "_chunk") if chunk is None else (folded, chunk)
+    one = F.lit(1).cast("long") if weight is None else F.col(weight)
+    y = F.col(label).cast("long")
+    folded = rows.groupBy(*by, score).agg(F.sum(y * one).alias("_pos"), F.sum((1 - y) * one).alias("_neg"))
+    return range_chunks(folded, [score]), "_chunk"
 
 
 def ranking_metrics(
-    df: DataFrame, score: str = "p", label: str = "y", by: Sequence[str] = (), chunk: str | None = None
+    df: DataFrame, score: str = "p", label: str = "y", by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """``(by, positives, negatives, auc, ap)``: ties count one half, AP is the step sum; NULL with a single class.
 
-    ``chunk`` names a column with contiguous score ranges when the caller has one already.
+    ``weight`` names a column that says how many rows a row stands for.
     """
     by = list(by)
-    folded, chunk = _score_table(df, score, label, by, chunk)
+    folded, chunk = _score_table(df, score, label, by, weight)
     ranked = running_totals(
         folded, by, chunk, [score], {"_tp": F.col("_pos"), "_fp": F.col("_neg")}, descending=True
     )
@@ -70,7 +67,7 @@ def roc_curve(
     ``drop_intermediate`` leaves out points on a straight line between their neighbours.
     """
     by = list(by)
-    folded, chunk = _score_table(df, score, label, by, None)
+    folded, chunk = _score_table(df, score, label, by)
     totals = {"_tp": F.col("_pos"), "_fp": F.col("_neg")}
     if drop_intermediate:
         totals["_at"] = F.lit(1).cast("long")
@@ -98,7 +95,7 @@ def roc_curve(
 def pr_curve(df: DataFrame, score: str = "p", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Precision and recall at each distinct score, and the final point (1, 0) with no threshold."""
     by = list(by)
-    folded, chunk = _score_table(df, score, label, by, None)
+    folded, chunk = _score_table(df, score, label, by)
     points = running_totals(
         folded, by, chunk, [score], {"_tp": F.col("_pos"), "_fp": F.col("_neg")}, descending=True
     )

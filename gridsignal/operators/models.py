@@ -70,9 +70,12 @@ def train_logistic(df: DataFrame, iterations: int = LOGISTIC_ITERATIONS, n: int
 
 
 def score(model, df: DataFrame) -> DataFrame:
-    """Rows with probability ``p`` of the positive class and hard prediction ``pred``."""
+    """Rows with probability ``p`` of the positive class and hard prediction ``pred``.
+
+    ``p`` is missing for a model that has seen no positive row: its folds keep their row, without ranking metrics.
+    """
     out = model.transform(_vectors(df))
-    p = vector_to_array("probability")[1]
+    p = F.get(vector_to_array("probability"), 1)
     return out.withColumns({"p": p, "pred": F.col("prediction").cast("int")}).drop(
         "_x", "rawPrediction", "probability", "prediction"
     )

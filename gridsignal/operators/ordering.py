@@ -14,26 +14,24 @@ Chunks are contiguous ranges of the order key:
 * ``range_chunks``: ranges that Spark samples from the full sort key. Works for any data, also when one key or stamp
   holds a third of all rows, and costs one written table;
 * ``chunk_of``: a calendar unit or fixed width, for axes whose resolution bounds the rows in a unit (regular series,
-  unique ids);
-* ``value_chunks``: quantile cuts, for distinct numbers;
-* hash ranges, for random order (``hash_rank``).
+  unique ids).
+
+There is one path for every size. Missing keys and stamps are values like any other and come first.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from pyspark.sql.window import WindowSpec
 
+from gridsignal.operators.groups import join_groups
 from gridsignal.session import settle
 
 BLOCK_ROWS = 1 << 16
-MAX_CHUNKS = 4096
 
 
 def chunk_of(on: str, grain: str | float) -> Column:
@@ -43,37 +41,13 @@ def chunk_of(on: str, grain: str | float) -> Column:
     return F.floor(F.col(on) / F.lit(grain)).cast("long")
 
 
-def block_count(df: DataFrame) -> int:
-    """Number of blocks the rows of ``df`` fill, at most ``MAX_CHUNKS``."""
-    return min(MAX_CHUNKS, math.ceil(df.count() / BLOCK_ROWS))
-
-
 def range_chunks(df: DataFrame, keys: Sequence[str], out: str = "_chunk") -> DataFrame:
     """Cut rows into ranges of the sort key: the session's shuffle partitions, merged by Spark where they are small.
 
     The ranges come from a sample of the complete key, so a frequent leading value is split by the columns after it.
-    The result is written to the shared folder with its range number: everything after it sees the same ranges. When
-    all rows fit one block, the column is left out again.
+    The result is written to the shared folder with its range number: everything after it sees the same ranges.
     """
-    cut = settle(df.repartitionByRange(*keys).withColumn(out, F.spark_partition_id()))
-    return cut if block_count(cut) > 1 else cut.drop(out)
-
-
-def value_chunks(df: DataFrame, column: str, out: str = "_chunk", n: int | None = None) -> DataFrame:
-    """Cut an arbitrary numeric column into equally filled ranges of about ``BLOCK_ROWS`` rows (or ``n`` ranges).
-
-    The cut points are a bounded list of numbers found by one pass over the single column, so every later use of the
-    chunk key sees the same ranges. When all rows fit one block, no chunk column is added.
-    """
-    n = block_count(df) if n is None else n
-    cuts = df.approxQuantile(column, [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    splits = sorted(set(cuts))
-    if not splits:
-        return df
-    cutter = Bucketizer(
-        splits=[-float("inf"), *splits, float("inf")], inputCol="_cut_by", outputCol=out, handleInvalid="keep"
-    )
-    return cutter.transform(df.withColumn("_cut_by", F.col(column).cast("double"))).drop("_cut_by")
+    return settle(df.repartitionByRange(*keys).withColumn(out, F.spark_partition_id()))
 
 
 def hash_draw(*parts: Column | int | str) -> Column:
@@ -84,7 +58,6 @@ def hash_draw(*parts: Column | int | str) -> Column:
 
 
 HASH_SPAN = 1 << 60
-HASH_CHUNK = float(HASH_SPAN // MAX_CHUNKS)
 
 
 def _sorted(columns: Sequence[str], descending: bool) -> list[Column]:
@@ -102,13 +75,9 @@ def running_totals(
     """Inclusive running sums of ``totals`` (name -> addend) per ``by`` group along ``order``.
 
     Two levels: per-chunk sums are map-side combined and accumulated over the chunk table (one row per chunk), rows
-    are only sorted inside their chunk. ``by`` and ``chunk`` must not be NULL. A frame without the chunk column is one
-    that was counted and fits one block (``value_chunks``, ``hash_rank``): it needs no offsets.
+    are only sorted inside their chunk.
     """
     by = list(by)
-    if chunk not in df.columns:
-        rows = W.partitionBy(*by).orderBy(*_sorted(order, descending)).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.withColumns({name: F.sum(addend).over(rows) for name, addend in totals.items()})
     addends = {f"_a_{name}": expr for name, expr in totals.items()}
     df = df.withColumns(addends)
     sums = df.groupBy(*by, chunk).agg(*[F.sum(a).alias(f"_s{a}") for a in addends])
@@ -123,7 +92,7 @@ def running_totals(
         .orderBy(*_sorted(order, descending))
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    out = df.join(base, [*by, chunk])
+    out = join_groups(df, base, [*by, chunk])
     out = out.withColumns({name: F.sum(f"_a_{name}").over(inside) + F.col(f"_b_a_{name}") for name in totals})
     return out.drop(*addends, *[f"_b{a}" for a in addends])
 
@@ -177,12 +146,26 @@ def over_blocks(
     return build(spread, window).where(F.col("_block") == home).drop("_block")
 
 
-def hash_rank(
-    df: DataFrame, by: Sequence[str], draw: str, tie: Sequence[str], out: str, chunks: int = MAX_CHUNKS
-) -> DataFrame:
-    """1-based rank by a ``hash_draw`` column inside each group; equal hash ranges keep every task small.
+def smallest_draws(df: DataFrame, by: Sequence[str], draw: str, tie: Sequence[str], quota: DataFrame, out: str) -> DataFrame:
+    """Mark, in ``out``, the rows with the smallest ``hash_draw`` of each group, as many as ``quota`` (``by``, ``_quota``) says.
 
-    ``chunks=1`` says that a group fits one block.
+    A histogram of the draws, combined on the map side, shows in which of its ranges the quota ends. Only the rows of
+    that range are ranked, about one in ``HASH_BINS``; all others are marked where they are.
     """
-    chunked = df.withColumn("_chunk", chunk_of(draw, float(HASH_SPAN // chunks))) if chunks > 1 else df
-    return running_totals(chunked, by, "_chunk", [draw, *tie], {out: F.lit(1).cast("long")}).drop("_chunk")
+    by = list(by)
+    binned = df.withColumn("_bin", F.shiftright(draw, 60 - HASH_BITS))
+    counts = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    upto = W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = join_groups(counts.withColumn("_upto", F.sum("_c").over(upto)), quota, by)
+    ends = ends.where(F.col("_upto") >= F.col("_quota")).groupBy(*by).agg(
+        F.min("_bin").alias("_end"), F.min_by(F.col("_quota") - F.col("_upto") + F.col("_c"), "_bin").alias("_need")
+    )
+    placed = join_groups(binned, ends, by)
+    clear = placed.where(F.col("_bin") != F.col("_end")).withColumn(out, F.col("_bin") < F.col("_end"))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(draw, *tie))
+    edge = placed.where(F.col("_bin") == F.col("_end")).withColumn(out, rank <= F.col("_need"))
+    return clear.unionByName(edge).drop("_bin", "_end", "_need")
+
+
+HASH_BITS = 12
+HASH_BINS = 1 << HASH_BITS

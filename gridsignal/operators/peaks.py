@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridsignal.functions.columns import null_if_nan
 from gridsignal.operators.ordering import BLOCK_ROWS, over_blocks, running_totals
 from gridsignal.operators.windows import SERIES
 from gridsignal.session import settle
@@ -28,14 +29,15 @@ def find_peaks(
     """Peaks ``(by, pos, value)``: values above both neighbours, plateaus at their floor middle, ends excluded.
 
     Runs of equal values are first reduced to one row each; a run is a peak when it is higher than the runs next to
-    it. Two maxima are always two rows apart, so ``distance`` up to 2 removes nothing.
+    it. A missing value (NULL or NaN) is a run of its own: there is no peak at or beside it. Two maxima are always two rows apart, so ``distance`` up to 2 removes nothing.
     """
 
     def starts(block, w):
         before = F.lag(column, 1).over(w)
-        return block.withColumns({"_before": before, "_start": before.isNull() | (before != F.col(column))})
+        first = F.lag(pos, 1).over(w).isNull()
+        return block.withColumns({"_before": before, "_start": first | ~before.eqNullSafe(F.col(column))})
 
-    rows = df.select(*by, pos, column)
+    rows = df.select(*by, pos, null_if_nan(F.col(column)).alias(column))
     runs = over_blocks(rows, by, pos, 1, 0, starts).where("_start").drop("_start")
     runs = runs.withColumn("_chunk", F.floor(F.col(pos) / BLOCK_ROWS))
     runs = running_totals(runs, by, "_chunk", [pos], {"_run": F.lit(1).cast("long")}).drop("_chunk")

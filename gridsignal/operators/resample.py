@@ -14,16 +14,7 @@ from pyspark.sql.window import Window as W
 from gridsignal.operators.groups import attach
 from gridsignal.operators.metrics import ranking_metrics
 from gridsignal.operators.neighbours import nearest
-from gridsignal.operators.ordering import (
-    HASH_CHUNK,
-    HASH_SPAN,
-    block_count,
-    chunk_of,
-    hash_draw,
-    hash_rank,
-    value_chunks,
-    with_position,
-)
+from gridsignal.operators.ordering import BLOCK_ROWS, HASH_SPAN, hash_draw, smallest_draws, with_position
 from gridsignal.session import settle
 
 # Seed, test share, folds, neighbours, replicates.
@@ -41,8 +32,8 @@ def stratified_split(
 ) -> DataFrame:
     """Mark rows ``train`` or ``test`` with equal class shares; ``ceil(test * n)`` test rows in total.
 
-    Rows are ranked by a keyed hash inside their class; the class quota is the rounded-down share, and the classes with
-    the largest remainders give one more row until the total is reached.
+    The rows of a class with the smallest keyed hashes are the test rows; the class quota is the rounded-down share, and
+    the classes with the largest remainders give one more row until the total is reached. A missing class is a class.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     exact = F.col("_n") * F.lit(test)
@@ -55,9 +46,8 @@ def stratified_split(
         .select(label, "_quota")
     )
     drawn = df.withColumn("_draw", hash_draw(seed, F.col(row_id)))
-    ranked = hash_rank(drawn, [label], "_draw", [row_id], "_rank").join(quota, label)
-    side = F.when(F.col("_rank") <= F.col("_quota"), "test").otherwise("train")
-    return ranked.withColumn(out, side).drop("_draw", "_rank", "_quota")
+    chosen = smallest_draws(drawn, [label], "_draw", [row_id], quota, "_chosen")
+    return chosen.withColumn(out, F.when(F.col("_chosen"), "test").otherwise("train")).drop("_draw", "_chosen")
 
 
 def reassemble(train: DataFrame, test: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -134,7 +124,6 @@ def bootstrap_auc(
     """
     rows = settle(df.select(pos, F.col(score).cast("double").alias("_score"), F.col(label).alias("_label")))
     n = rows.count()
-    rows = value_chunks(rows, "_score")
     draws = df.sparkSession.range(n * replicates).select(
         F.floor(F.col("id") / n).cast("int").alias("replicate"),
         F.pmod(hash_draw(seed, "boot", F.col("id")), F.lit(n)).alias(pos),
@@ -142,14 +131,11 @@ def bootstrap_auc(
     )
     if mode == "random":
         noise = draws.withColumn("_score", hash_draw(seed, "noise", F.col("_draw")))
-        if "_chunk" in rows.columns:
-            noise = noise.withColumn("_chunk", chunk_of("_score", HASH_CHUNK))
-        drawn = noise.join(rows.select(pos, "_label"), pos)
+        drawn = noise.join(rows.select(pos, "_label"), pos).withColumn("_times", F.lit(1).cast("long"))
     else:
-        # Repeated draws of one row in a replicate are folded before the join.
-        folded = draws.groupBy("replicate", pos).agg(F.count(F.lit(1)).alias("_times"))
-        drawn = folded.join(rows, pos).withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
-    return ranking_metrics(drawn, "_score", "_label", ["replicate"], "_chunk").select("replicate", "auc")
+        # Repeated draws of one row in a replicate are folded and stay folded: the row counts that often.
+        drawn = draws.groupBy("replicate", pos).agg(F.count(F.lit(1)).alias("_times")).join(rows, pos)
+    return ranking_metrics(drawn, "_score", "_label", ["replicate"], "_times").select("replicate", "auc")
 
 
 def permutation_metrics(
@@ -160,16 +146,16 @@ def permutation_metrics(
     A permutation gives the positive label to as many rows as have it now, those with the smallest hash draws.
     """
     rows = settle(df.select(row_id, score, label))
-    chunks = block_count(rows)
-    rows = value_chunks(rows, score, "_range", chunks)
-    rows = attach(rows, (), {"_p": F.sum(F.col(label).cast("long"))})
+    positives = rows.agg(F.sum(F.col(label).cast("long"))).first()[0] or 0
     # Spread the rows before they are multiplied: a small table would otherwise be fanned out by one task.
-    rows = rows.repartition(max(df.sparkSession.sparkContext.defaultParallelism, chunks), row_id)
+    rows = rows.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // BLOCK_ROWS)), row_id)
     fanned = rows.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     fanned = fanned.withColumn("_draw", hash_draw(seed, F.col("permutation"), F.col(row_id)))
-    ranked = hash_rank(fanned, ["permutation"], "_draw", [row_id], "_rank", chunks)
-    relabelled = ranked.withColumn("_y", (F.col("_rank") <= F.col("_p")).cast("int"))
-    return ranking_metrics(relabelled, score, "_y", ["permutation"], "_range").select("permutation", "auc", "ap")
+    quota = df.sparkSession.range(n).select(F.col("id").cast("int").alias("permutation"), F.lit(positives).alias("_quota"))
+    relabelled = smallest_draws(fanned, ["permutation"], "_draw", [row_id], quota, "_y")
+    return ranking_metrics(relabelled.withColumn("_y", F.col("_y").cast("int")), score, "_y", ["permutation"]).select(
+        "permutation", "auc", "ap"
+    )
 
 
 def permutation_test(

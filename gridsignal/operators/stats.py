@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsignal.operators.groups import attach
-from gridsignal.operators.ordering import running_totals, value_chunks
+from gridsignal.operators.ordering import range_chunks, running_totals
 from gridsignal.operators.windows import ALARM_LEAD, SERIES, padded_lead
 from gridsignal.session import settle
 
@@ -25,7 +25,6 @@ def quantiles(
     column: str,
     probs: dict[str, float],
     by: Sequence[str] = (),
-    chunks: int | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, and the count ``n``.
 
@@ -34,8 +33,8 @@ def quantiles(
     """
     by = list(by)
     values = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
-    folded = settle(values.groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    ranked = running_totals(value_chunks(folded, "_v", n=chunks), by, "_chunk", ["_v"], {"_cum": F.col("_c")})
+    folded = range_chunks(values.groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")), ["_v"])
+    ranked = running_totals(folded, by, "_chunk", ["_v"], {"_cum": F.col("_c")})
     ranked = attach(ranked, by, {"_n": F.sum("_c")}, source=folded)
     picks = [F.max("_n").alias("n")]
     for name, q in probs.items():
@@ -136,9 +135,9 @@ def box_stats(df: DataFrame, by: Sequence[str] = ("metric",), column: str = "val
 
 
 def best_threshold(df: DataFrame, threshold: str = "threshold", score: str = "f1_score") -> DataFrame:
-    """Row with the highest score; the lowest threshold on ties."""
+    """Row with the highest score; the lowest threshold on ties. Missing scores (NULL or NaN) do not win."""
     best = F.max_by(F.struct(threshold, score), F.struct(F.col(score), -F.col(threshold)))
-    return df.where(F.col(score).isNotNull()).agg(best.alias("_best")).select("_best.*")
+    return df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score))).agg(best.alias("_best")).select("_best.*")
 
 
 def p_value(df: DataFrame, null: str, observed: str | Column, by: Sequence[str] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridsignal.functions.columns import null_if_nan
 from gridsignal.operators.groups import attach
 from gridsignal.operators.ordering import over_blocks, running_totals
 
@@ -47,13 +48,13 @@ def rolling_mean(
     pos: str = "pos",
     out: str = "smoothed",
 ) -> DataFrame:
-    """Rolling mean of the non-missing values; NULL with fewer than ``min_periods`` of them."""
+    """Rolling mean of the values that are not missing (NULL or NaN); NULL with fewer than ``min_periods`` of them."""
     back, ahead = rolling_frame(window, center)
 
     def build(block, w):
         frame = w.rowsBetween(-back, ahead)
-        enough = F.count(column).over(frame) >= min_periods
-        return block.withColumn(out, F.when(enough, F.avg(column).over(frame)))
+        value = null_if_nan(F.col(column))
+        return block.withColumn(out, F.when(F.count(value).over(frame) >= min_periods, F.avg(value).over(frame)))
 
     return over_blocks(df, by, pos, back, ahead, build)
 

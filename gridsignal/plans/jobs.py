@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import partial
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsignal.functions.columns import MEGA, above, above_floor, interaction, normalize_day
 from gridsignal.operators import asof, explain, features as feat, grid, labels, metrics, models, peaks, reduce, stats
 from gridsignal.operators import resample, timeops, windows
+from gridsignal.operators.models import union_all
 from gridsignal.operators.ordering import with_position
 from gridsignal.session import settle
 
@@ -140,7 +143,10 @@ class Trained:
 def train_evaluate(
     reduced: Reduced, trees: int = models.FOREST_TREES, rounds: int = models.BOOST_ROUNDS, seed: int = resample.SEED
 ) -> Trained:
-    """Balance the training rows, fit both ensembles, score the test rows, explain the boosted one."""
+    """Balance the training rows, fit both ensembles, score the test rows, explain the boosted one.
+
+    Attributions are against the first ``explain.BACKGROUND_ROWS`` training rows.
+    """
     train = reduced.rows.where("split = 'train'").select("row_id", "y", "features")
     test = reduced.rows.where("split = 'test'").select("row_id", "ts", "y", "features")
     balanced = models.balanced(train, seed)
@@ -152,13 +158,14 @@ def train_evaluate(
         )
     )
     contributions = reduce.mean_abs_loading(reduced.loadings)
+    background = [r.features for r in train.orderBy("row_id").limit(explain.BACKGROUND_ROWS).select("features").collect()]
     return Trained(
         forest,
         boosted,
         scored,
         metrics.weighted_metrics(scored, by=["model"]),
         reduce.block_importance(contributions),
-        explain.shap_long(explain.tree_shap(boosted, test)),
+        explain.shap_long(explain.tree_shap(boosted, test, background=background)),
     )
 
 
@@ -172,8 +179,8 @@ def threshold_sweep(
 ) -> DataFrame:
     """Weighted metrics for each threshold: ``(threshold, status, accuracy, precision, recall, f1_score)``.
 
-    Features are built once; only labels, split and models change. Thresholds that leave one class are not run, a run
-    that fails is a row with status ``failed``.
+    Features are built once; only labels, split and models change, and several thresholds run at a time. Thresholds that
+    leave one class are not run; a degenerate fit is a row whose status says why.
     """
     thresholds = list(thresholds if thresholds is not None else labels.sweep_thresholds())
     prepared = build_features(field, index)
@@ -181,25 +188,22 @@ def threshold_sweep(
     swept = settle(labels.sweep(indexed, thresholds))
     # At most one row per threshold.
     usable = {r.threshold for r in labels.two_class_groups(swept).collect()}
-    out = None
-    for th in thresholds:
-        if th not in usable:
-            continue
-        key = F.lit(float(th)).alias("threshold")
+    chosen = [float(th) for th in thresholds if th in usable]
+    if not chosen:
+        raise ValueError("no threshold leaves two classes")
+
+    def run(th: float) -> DataFrame:
+        key = F.lit(th).alias("threshold")
         try:
             mine = replace(prepared, times=swept.where(F.col("threshold") == th).select("pos", "ts", "label"))
-            reduced = reduce_features(prepared.features, split_times(mine), k)
-            trained = train_evaluate(reduced, trees, rounds)
-            row = settle(trained.metrics.where("model = 'boosted'").select(
+            trained = train_evaluate(reduce_features(prepared.features, split_times(mine), k), trees, rounds)
+            return settle(trained.metrics.where("model = 'boosted'").select(
                 key, F.lit("ok").alias("status"), "accuracy", "precision", "recall", "f1_score"))
-        except Exception as failure:  # noqa: BLE001  a failed threshold must not stop the others
+        except (ValueError, IllegalArgumentException) as failure:  # too few rows of a class
             none = [F.lit(None).cast("double").alias(c) for c in ("accuracy", "precision", "recall", "f1_score")]
-            reason = F.lit(f"failed: {type(failure).__name__}").alias("status")
-            row = swept.sparkSession.range(1).select(key, reason, *none)
-        out = row if out is None else out.unionByName(row)
-    if out is None:
-        raise ValueError("no threshold leaves two classes")
-    return out
+            return swept.sparkSession.range(1).select(key, F.lit(f"failed: {failure}").alias("status"), *none)
+
+    return union_all(models.side_by_side(swept.sparkSession, [partial(run, th) for th in chosen]))
 
 
 def lead_time_report(

@@ -27,15 +27,25 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process. ``local-cluster`` is not."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only when the session names none, as in tests, a local one is made and set.
+    Only on a local master, as in tests, one is made where the session names none. On a cluster that is an error: its
+    machines would write to their own disks and read incomplete tables.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not base:
-        base = context.getCheckpointDir() or tempfile.mkdtemp(prefix="gridsignal-")
+        base = context.getCheckpointDir()
+    if not base:
+        if not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        base = tempfile.mkdtemp(prefix="gridsignal-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(base)
     return base

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridsignal.functions.columns import null_if_nan
+
 # Table layouts, rows per stored batch.
 GRID_SCHEMA = T.StructType(
     [
@@ -31,7 +33,7 @@ SERIES_SCHEMA = T.StructType(
 METRIC_SCHEMA = T.StructType(
     [T.StructField(n, T.DoubleType()) for n in ("threshold", "accuracy", "precision", "recall", "f1_score")]
 )
-BATCH_ROWS = 100
+BATCH_ROWS = 1_000_000  # the original layout has 100 rows a file: pass rows=100 for it
 
 
 def write_grid(df: DataFrame, path: str) -> None:
@@ -40,15 +42,16 @@ def write_grid(df: DataFrame, path: str) -> None:
 
 
 def read_grid(spark: SparkSession, path: str, variables: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Chosen variables of a grid table: other variables' directories and other columns are not read."""
+    """Chosen variables of a grid table, NaN as NULL: other variables' directories and other columns are not read."""
     rows = spark.read.parquet(path).where(F.col("var").isin(list(variables)))
-    return rows.select(*columns) if columns else rows
+    rows = rows.select(*columns) if columns else rows
+    return rows.withColumn("value", null_if_nan(F.col("value"))) if "value" in rows.columns else rows
 
 
 def read_series(spark: SparkSession, path: str, ts: str = "ts", value: str = "value", series_id: str | None = None) -> DataFrame:
-    """One value column of a table as ``(series_id, ts, value)``."""
+    """One value column of a table as ``(series_id, ts, value)``, NaN as NULL."""
     name = F.lit(value) if series_id is None else F.col(series_id)
-    return spark.read.parquet(path).select(name.alias("series_id"), F.col(ts).alias("ts"), F.col(value).cast("double").alias("value"))
+    return spark.read.parquet(path).select(name.alias("series_id"), F.col(ts).alias("ts"), null_if_nan(F.col(value).cast("double")).alias("value"))
 
 
 def read_metrics_csv(spark: SparkSession, path: str, schema: T.StructType = METRIC_SCHEMA) -> DataFrame:

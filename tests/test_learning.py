@@ -257,3 +257,11 @@ def test_logistic_matches_newton(spark):
         p = 1 / (1 + np.exp(-a @ w))
         w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + penalty, a.T @ (p - y) + penalty @ w)
     assert np.allclose(np.append(model.coefficients.toArray(), model.intercept), w, atol=1e-3)
+
+
+def test_a_fold_trained_on_one_class_keeps_its_row(spark):
+    rows = [(i, i, int(i >= 20 and i % 3 == 0), [float(i % 5), float(i % 7)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, ts long, y int, features array<double>")
+    got = {r.fold: r for r in models.time_cv(df, 5, fit=models.train_logistic, balance=False).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    assert got[0].auc is None and got[4].auc is not None

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridsignal.operators import labels, peaks, stats, timeops, windows
-from gridsignal.operators.ordering import hash_draw, hash_rank, range_chunks, running_totals, value_chunks, with_position
+from gridsignal.operators.ordering import hash_draw, range_chunks, running_totals, smallest_draws, with_position
 
 
 def column(df, name, order=("series_id", "pos")):
@@ -191,17 +191,60 @@ def test_positions_with_one_frequent_stamp(spark, small_blocks):
 
 def test_running_totals_both_ways(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
-    up = running_totals(value_chunks(df, "v", n=10), ["k"], "_chunk", ["v"], {"c": F.col("v")})
-    down = running_totals(value_chunks(df, "v", n=10), ["k"], "_chunk", ["v"], {"c": F.col("v")}, descending=True)
+    up = running_totals(range_chunks(df.repartition(5), ["v"]), ["k"], "_chunk", ["v"], {"c": F.col("v")})
+    down = running_totals(range_chunks(df.repartition(5), ["v"]), ["k"], "_chunk", ["v"], {"c": F.col("v")}, descending=True)
     assert {r.v: r.c for r in up.collect()} == {v: sum(range(v % 2, v + 1, 2)) for v in range(1000)}
     assert {r.v: r.c for r in down.collect()} == {v: sum(range(v, 1000, 2)) for v in range(1000)}
 
 
-def test_hash_rank_orders_by_draw(spark):
-    df = spark.range(500).withColumn("g", F.col("id") % 3).withColumn("d", hash_draw(1, F.col("id")))
-    got = hash_rank(df, ["g"], "d", ["id"], "r").toPandas()
-    for _, rows in got.groupby("g"):
-        assert rows.sort_values("d").r.tolist() == list(range(1, len(rows) + 1))
+@pytest.mark.parametrize("bits", [0, 3, 12])
+def test_smallest_draws_fill_the_quota(spark, monkeypatch, bits):
+    monkeypatch.setattr("gridsignal.operators.ordering.HASH_BITS", bits)
+    group = F.when(F.col("id") % 3 != 2, F.col("id") % 3)
+    df = spark.range(500).withColumn("g", group).withColumn("d", hash_draw(1, F.col("id")))
+    quota = spark.createDataFrame([(0, 0), (1, 17), (None, 166)], "g long, _quota long")
+    rows = smallest_draws(df, ["g"], "d", ["id"], quota, "r").collect()
+    assert len(rows) == 500
+    for g, n in ((0, 0), (1, 17), (None, 166)):
+        own = sorted((r.d, r.r) for r in rows if r.g == g)
+        assert [r for _, r in own] == [True] * n + [False] * (len(own) - n)
+
+
+@pytest.mark.parametrize("grain", ["month", None])
+def test_positions_keep_rows_without_key_or_stamp(spark, small_blocks, grain):
+    start = dt.datetime(2020, 1, 1)
+    rows = [(None if i % 4 == 0 else "a", None if i == 5 else start + dt.timedelta(days=3 * i), i) for i in range(40)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, i int")
+    expected = {}
+    for k in (None, "a"):
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or start))
+        expected |= {r[2]: n for n, r in enumerate(own)}
+    for parts in (1, 4, 16):
+        assert {r.i: r.pos for r in with_position(df.repartition(parts), grain=grain).collect()} == expected
+
+
+def test_missing_values_have_no_peak_at_or_beside_them(series):
+    nan = float("nan")
+    found = lambda x: column(peaks.find_peaks(series({"a": x}), "value", None), "pos")
+    assert found([0.1, 0.9, None, 0.2]) == []
+    assert found([0.1, nan, 0.2, 0.9, 0.3]) == [3]
+    assert found([0.1, 0.9, nan, nan, 0.2, 0.4, 0.1]) == [5]
+
+
+def test_nan_is_missing(series, spark):
+    nan = float("nan")
+    assert column(windows.rolling_mean(series({"a": [1.0, nan, 3.0, nan, nan, nan, 5.0]}), "value", 3), "smoothed") == [1.0, 2.0, 3.0, 3.0, None, 5.0, 5.0]
+    assert column(labels.weak_labels(series({"a": [1.0, nan, 1.0, 1.0, 1.0]}), threshold=2.0, smoothing=1), "label") == [0, 0, 0, 0, 1]
+    assert column(labels.weak_labels(series({"a": [1.0, nan, 1.0, 1.0, 1.0]}), threshold=2.0), "label") == [0, 0, 1, 1, 1]
+    balance = labels.class_balance(series({"a": [1.0, nan, 3.0, None]}), [2.0]).first()
+    assert (balance.weak_n, balance.strong_n, balance.weak_pct) == (1, 1, 25.0)
+    scores = spark.createDataFrame([(1.0, nan), (2.0, 0.5), (3.0, 0.5), (4.0, None)], "threshold double, f1_score double")
+    assert tuple(stats.best_threshold(scores).first()) == (2.0, 0.5)
+
+
+def test_group_aggregates_reach_rows_without_key(series):
+    rows = series({"a": [1.0, 3.0]}).withColumn("series_id", F.when(F.col("pos") == 0, F.lit("a")))
+    assert sorted(column(timeops.impute_mean(rows, "value"), "value")) == [1.0, 3.0]
 
 
 def test_resample_keeps_empty_months(spark):
@@ -256,7 +299,7 @@ def test_quantiles_equal_numpy(spark):
     assert (got.n, got.a, got.b, got.c) == (6, 2.0, 2.5, 6.0)
     r = np.random.default_rng(5).normal(size=3000)
     df = spark.createDataFrame([(float(v), i % 2) for i, v in enumerate(r)], "x double, g int")
-    for row in stats.quantiles(df, "x", {"q": 0.1}, ["g"], chunks=20).collect():
+    for row in stats.quantiles(df, "x", {"q": 0.1}, ["g"]).collect():
         assert row.q == pytest.approx(np.percentile(r[row.g::2], 10))
 
 

@@ -148,3 +148,28 @@ def test_feature_index_helpers(spark):
         C.fit_length(F.array(F.lit(1.0), F.lit(2.0)), 3).alias("c"), C.fit_length(F.array(F.lit(1.0), F.lit(2.0)), 1).alias("d"),
     ).first()
     assert (row.a, row.b, row.c, row.d) == (29, [4], [1.0, 2.0, 0.0], [1.0])
+
+
+def test_nan_cells_are_not_valid_and_not_summed(spark):
+    nan = float("nan")
+    rows = [(t, "v", c, v) for t, vs in enumerate([[1.0, nan, 3.0], [1.0, 2.0, None]]) for c, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "ts int, var string, cell_id long, value double")
+    assert [r.cell_id for r in G.valid_cells(df, ["v"]).collect()] == [0]
+    assert sorted(r.cell_id for r in G.valid_cells(df, ["v"], "first").collect()) == [0, 2]
+    assert {r.ts: r.total for r in G.spatial_sum(df, scale=1.0).collect()} == {0: 4.0, 1: 3.0}
+    assert {r.ts: r["mean"] for r in G.spatial_mean(df).collect()} == {0: 2.0, 1: 1.5}
+
+
+@pytest.mark.parametrize("unique", [False, True])
+def test_asof_keeps_rows_without_key_or_stamp(spark, small_blocks, unique):
+    left = spark.createDataFrame([(i, None if i % 4 == 0 else "a", None if i == 5 else float(i)) for i in range(40)], "i int, k string, x double")
+    right = spark.createDataFrame([("a", 10.0, 1), (None, 3.0, 2), (None, 30.0, 3), ("a", None, 9)], "k string, x double, v int")
+    got = {r.i: r.v for r in asof_nearest(left.repartition(7), right, ["v"], "x", ["k"], unique_left=unique).collect()}
+    assert got == {i: None if i == 5 else 1 if i % 4 else 2 if i < 17 else 3 for i in range(40)}
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from gridsignal.session import is_local
+
+    assert is_local("local") and is_local("local[8]") and is_local("local[*]")
+    assert not any(map(is_local, ("yarn", "spark://host:7077", "local-cluster[3,2,3000]", "k8s://https://host")))
