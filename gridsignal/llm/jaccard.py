@@ -2,6 +2,8 @@
 
 Two texts link when their sets of word shingles have a Jaccard similarity of at least ``percent`` hundredths.
 
+* Only sets of which other documents have most shingles can link: hashes of all shingles meet in buckets first, and what
+  is left are near copies and texts made of common passages.
 * Shingles are hashed, and equal ranges of the hash space are groups. Similar sets differ in few shingles, so of somewhat
   more ranges than they may differ in, at least one range holds the same shingles in both. Every set is announced under
   its ranges; sets that share none cannot link. What shares ranges, directly or through others, is a family.
@@ -20,11 +22,13 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsignal.llm import blobs
 from gridsignal.llm.blobs import bounded_records, mix, text_bytes
+from gridsignal.llm.exchange import bits_of, cut_keys, key_bits, shared_masks, with_masks
 from gridsignal.llm.graph import components
 from gridsignal.llm.shingles import shingle_sets
 from gridsignal.session import settle
@@ -38,7 +42,7 @@ FLUSH_KEYS = 1 << 20
 BUCKET_BYTES = 40 << 20
 LEAST_BUCKETS = 128  # about the ranges of a text: more buckets do not repeat a pair more often
 
-META = "doc_id long, n long, h1 long, h2 long"
+META = "doc_id long, n long, h1 long, h2 long, text string"
 SIGNATURES = "bucket int, keys binary, docs binary"
 
 
@@ -46,7 +50,7 @@ def texts_of(docs: DataFrame, id: str, text: str) -> DataFrame:
     return bounded_records(docs).select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
-def sets_of(rows: pa.RecordBatch, column: int = 1, words: int = WORDS) -> list[np.ndarray]:
+def sets_of(rows: pa.RecordBatch | pa.Table, column: int = 1, words: int = WORDS) -> list[np.ndarray]:
     """Shingle sets of a batch, a few megabytes of text at a time."""
     data, offsets = text_bytes(rows.column(column))
     out, begin = [], 0
@@ -281,19 +285,39 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, words: int
     return tasks.mapInArrow(link, "u long, v long")
 
 
-def set_facts(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, h1, h2``: the size of every document's set, and two sums of hashes that stand for its content."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            sets = sets_of(rows, words=words)
-            total = lambda salt: [int(np.sum(mix(s ^ np.uint64(salt)), dtype=np.uint64).astype(np.int64)) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(total(0x1234567), pa.int64()), pa.array(total(0x89ABCDE), pa.int64())],
-                names=["doc_id", "n", "h1", "h2"],
-            )
-
-    return docs.mapInArrow(run, META)
+def set_facts(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """``doc_id, n, h1, h2, text``, settled: the size of every document's set and two sums of hashes that stand for its
+    content. The text is kept where other documents have enough of the set's shingles for a link."""
+    batches = blobs.write_batches(docs.select("doc_id", "text"))
+    raw = batches.agg(F.sum("raw")).first()[0] or 0
+    buckets, bits = blobs.bucket_count(batches), key_bits(raw)
+
+    def opened(blob: bytes) -> tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray]:
+        table = blobs.unseal(blob)
+        sets = sets_of(table, 1, words)
+        keys = cut_keys(mix(np.concatenate([*sets, np.zeros(0, np.uint64)])), bits)
+        return table, sets, *np.unique(keys, return_inverse=True)
+
+    def keys_of(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        _, _, distinct, number = opened(blob)
+        return distinct, np.bincount(number, minlength=len(distinct)) > 1
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            for r in part.to_pylist():
+                table, sets, distinct, number = opened(r["blob"])
+                sizes = np.array([len(s) for s in sets], np.int64)
+                shared = np.concatenate([[0], np.cumsum(bits_of(r["masks0"], distinct, buckets)[number])])
+                ends = np.cumsum(sizes)
+                enough = (sizes > 0) & (100 * (shared[ends] - shared[ends - sizes]) >= percent * sizes)
+                total = lambda salt: [int(np.sum(mix(s ^ np.uint64(salt)), dtype=np.uint64).astype(np.int64)) for s in sets]  # noqa: B023, E731
+                kept = pc.if_else(pa.array(enough), table["text"].combine_chunks(), pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays(
+                    [pc.cast(table["doc_id"].combine_chunks(), pa.int64()), pa.array(sizes), pa.array(total(0x1234567), pa.int64()), pa.array(total(0x89ABCDE), pa.int64()), kept],
+                    names=["doc_id", "n", "h1", "h2", "text"],
+                )
+
+    return settle(with_masks(batches, shared_masks(batches, keys_of, buckets)).mapInArrow(run, META))
 
 
 def join_components(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -304,18 +328,19 @@ def join_components(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     documents give no rows. Other columns are ignored.
     """
     given = texts_of(docs, id, text)
-    facts = settle(set_facts(given, words))
+    facts = set_facts(given, percent, words)
     known = facts.where("n > 0 AND doc_id IS NOT NULL")
     first = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = settle(known.join(first, ["h1", "h2", "n"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "first").distinct())
-    families = components(candidate_edges(given, percent, words))
+    likely = facts.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text").join(copies.select("doc_id"), "doc_id", "left_anti")
+    likely = settle(likely)
+    families = components(candidate_edges(likely, percent, words))
     roots = families.select("component").distinct()
     members = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).unionByName(
         roots.select(F.col("component").alias("doc_id"), F.col("component").alias("family"))
     )
-    members = settle(members.join(copies.select("doc_id"), "doc_id", "left_anti"))
-    found = components(verified_links(given, members, percent, words))
-    sure = facts.join(copies, "doc_id", "left").withColumn("node", F.coalesce("first", "doc_id"))
+    found = components(verified_links(likely, settle(members), percent, words))
+    sure = facts.drop("text").join(copies, "doc_id", "left").withColumn("node", F.coalesce("first", "doc_id"))
     placed = sure.join(found, "node", "left")
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
