@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 
 from gridsignal.llm import blobs
 from gridsignal.llm.blobs import ids_of, mix, text_bytes
+from gridsignal.llm.exchange import KEYS, MASKS, bits_of, key_rows, with_masks
 from gridsignal.llm.shingles import powers, prefix_hashes
-from gridsignal.llm.suffixes import KEYS, MASKS, bits_of, key_rows, with_masks
 
 SENTENCES = 2
 WORDS = 10

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from gridsignal.llm import blobs
 from gridsignal.llm.blobs import ids_of, mix, text_bytes
+from gridsignal.llm.exchange import KEYS, MASKS, bits_of, cut_keys, key_bits, key_rows, shared_masks, with_masks
 from gridsignal.llm.shingles import BASE, powers, prefix_hashes
 
 LENGTH = 50
@@ -36,10 +37,7 @@ OUTSIDE = 255  # no byte of UTF-8
 CHUNK = 1 << 13
 SORT_ROWS = 1 << 14
 PIECE = 1 << 19
-SPARE_BITS = 12
 
-KEYS = "bucket int, batch long, keys binary, extra binary, bytes binary"
-MASKS = "batch long, bucket int, mask binary"
 WEIGHTS = np.array([pow(int(BASE), i + 1, 1 << 64) for i in range(SPAN)], dtype=np.uint64)
 
 
@@ -86,12 +84,6 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return chosen, mix(~grams[chosen])
 
 
-def key_bits(raw: int) -> int:
-    """Bits of an anchor's key: ``SPARE_BITS`` more than the corpus has bytes, so that few keys meet by chance. Those that
-    do are told apart by their bytes."""
-    return min(64, max(16, int(raw).bit_length() + SPARE_BITS))
-
-
 class Batch:
     """Texts of a batch with their anchors. Keys are the upper ``bits`` of the hash; the others are 0."""
 
@@ -100,7 +92,7 @@ class Batch:
         self.ids = ids_of(self.table[id])
         self.data, self.offsets = text_bytes(self.table[text])
         self.places, self.keys = anchors(self.data, self.offsets)
-        self.keys &= np.uint64((1 << 64) - (1 << (64 - bits)))
+        self.keys = cut_keys(self.keys, bits)
         self.row = np.searchsorted(self.offsets, self.places, "right") - 1
 
     def distinct_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -336,56 +328,6 @@ def by_groups(group: np.ndarray, owner: np.ndarray, around: np.ndarray, place: n
 # ---- passes --------------------------------------------------------------------------------------------------------
 
 
-def shared_masks(batches: DataFrame, id: str, text: str, buckets: int, bits: int) -> DataFrame:
-    """``batch, bucket, mask``: which of a batch's distinct anchor strings, in ascending order, two documents have."""
-
-    def announce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rows:
-            for number, blob in zip(part.column(0).to_pylist(), part.column(1)):
-                keys, twice, _ = Batch(blob.as_py(), id, text, bits).distinct_keys()
-                cut = blobs.bucket_edges(keys, buckets).tolist()
-                filled = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                yield key_rows(filled, number, [(blobs.pack_sorted(keys[cut[b] : cut[b + 1]]), np.packbits(twice[cut[b] : cut[b + 1]]).tobytes(), None) for b in filled])
-
-    def meet(key: tuple, parts: pa.Table) -> pa.Table:
-        keys = [blobs.unpack_sorted(k) for k in parts["keys"].to_pylist()]
-        twice = [np.unpackbits(np.frombuffer(e, np.uint8))[: len(k)].astype(bool) for e, k in zip(parts["extra"].to_pylist(), keys)]
-        _, number, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        shared = count > 1
-        shared[number[np.concatenate(twice)]] = True
-        cuts = np.cumsum([0, *map(len, keys)]).tolist()
-        masks = [np.packbits(shared[number[a:b]]).tobytes() for a, b in zip(cuts, cuts[1:])]
-        return pa.table({"batch": parts["batch"], "bucket": parts["bucket"], "mask": pa.array(masks, pa.binary())})
-
-    return batches.select("batch", "blob").mapInArrow(announce, KEYS).groupBy("bucket").applyInArrow(meet, MASKS)
-
-
-def key_rows(filled: list[int], number: int, values: list[tuple[bytes, bytes, bytes | None]]) -> pa.RecordBatch:
-    keys, extra, content = zip(*values) if values else ((), (), ())
-    return pa.RecordBatch.from_pydict({
-        "bucket": pa.array(filled, pa.int32()), "batch": pa.array([number] * len(filled), pa.int64()), "keys": pa.array(keys, pa.binary()),
-        "extra": pa.array(extra, pa.binary()), "bytes": pa.array(content, pa.binary()),
-    })
-
-
-def with_masks(batches: DataFrame, *masks: DataFrame) -> DataFrame:
-    """Batches with the masks that belong to them, as lists of bucket and mask."""
-    out = batches.select("batch", "blob")
-    for i, mask in enumerate(masks):
-        lists = mask.groupBy("batch").agg(F.collect_list(F.struct("bucket", "mask")).alias(f"masks{i}"))
-        out = out.join(lists.hint("shuffle_hash"), "batch", "left")
-    return out
-
-
-def bits_of(masks: list[dict] | None, keys: np.ndarray, buckets: int) -> np.ndarray:
-    cut = blobs.bucket_edges(keys, buckets)
-    out = np.zeros(len(keys), bool)
-    for m in masks or []:
-        begin, end = int(cut[m["bucket"]]), int(cut[m["bucket"] + 1])
-        out[begin:end] = np.unpackbits(np.frombuffer(m["mask"], np.uint8))[: end - begin].astype(bool)
-    return out
-
-
 def string_masks(batches: DataFrame, shared: DataFrame, id: str, text: str, buckets: int, bits: int) -> DataFrame:
     """``batch, bucket, mask``: for each folded shared anchor of a batch, the strings that a smaller document has."""
 
@@ -417,7 +359,7 @@ def removals(docs: DataFrame, id: str, text: str, finish: Callable[[Batch, np.nd
     batches = blobs.write_batches(docs, text)
     raw = batches.agg(F.sum("raw")).first()[0] or 0
     buckets, bits = blobs.bucket_count(batches), key_bits(raw)
-    shared = blobs.settle(shared_masks(batches, id, text, buckets, bits))
+    shared = blobs.settle(shared_masks(batches, lambda blob: Batch(blob, id, text, bits).distinct_keys()[:2], buckets))
     strings = string_masks(batches, shared, id, text, buckets, bits)
 
     def apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from gridsignal.llm import blobs, spans, suffixes
+from gridsignal.llm import blobs, exchange, spans, suffixes
 
 SCHEMA = "doc_id long, text string, n_chars long, n_bytes string, batch string"
 LAST = 1 << 63
@@ -70,7 +70,7 @@ def documents(seed, count=60, letters="abc d"):
 @pytest.fixture(params=[12, -22])
 def few_key_bits(request, monkeypatch):
     """The second value leaves 16 bits for a key, so that many different strings meet."""
-    monkeypatch.setattr(suffixes, "SPARE_BITS", request.param)
+    monkeypatch.setattr(exchange, "SPARE_BITS", request.param)
 
 
 @pytest.mark.parametrize("seed,letters", [(1, "abc d"), (2, "ab"), (3, "éü€ a"), (4, "a")])
