@@ -204,4 +204,4 @@ def attribution_stability(spark, d):
 
 @add("rebalancing_strategies")
 def rebalancing_strategies(spark, d):
-    return models.rebalancing_table(labelled(spark, d))
+    return models.rebalancing_table(labelled(spark, d), order=("row_id",), grain=4096.0)
