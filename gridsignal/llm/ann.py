@@ -98,7 +98,7 @@ def search(index: DataFrame, facts: dict, queries: DataFrame, k: int, id: str =
                 reach = kth(score, chosen, begin, k)
                 upper = estimate[i] + length[i] * error
                 upper[chosen] = -np.inf
-                more = np.flatnonzero(upper >= reach)
+                more = np.flatnonzero((upper >= reach) & (upper > -np.inf))  # those scored already have no bound
                 if len(more):
                     chosen = np.concatenate([chosen, more])
                     score = np.concatenate([score, (unique[more] * part[i]).sum(axis=1)])
