@@ -20,9 +20,12 @@ from gridsignal.llm.blobs import bounded_records
 DEEPEST_INDENT = 20  # deeper lists and quotes are not indented further
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)(/?)>""", re.S
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)"""
+    # a quote opens a value only after "="; where such values leave no end of the tag, it ends at the first ">"
+    r"""((?:[\s/]++|(?>=?[^\s=/>]++|=)(?>\s*+=\s*+(?>"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+(?=>)|[^>]*+)>""", re.S
 )
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+ATTRIBUTE = re.compile(r"""((?>=?[^\s=/>]++|=))(?:\s*+=\s*+(?>"([^"]*)"|'([^']*)'|([^\s>]+)))?+""")
+CLOSED = re.compile(r"""(?:^|[\s"'])/\Z""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 names = lambda text: frozenset(text.split())
@@ -30,7 +33,7 @@ names = lambda text: frozenset(text.split())
 VOID = names("area base br col embed hr img input link meta param source track wbr")
 RAW = names("script style textarea title xmp iframe noembed noframes")
 UNSEEN = names(
-    "head script style template title iframe noembed noframes object video audio canvas svg datalist rp meta link base area embed"
+    "head script style template title iframe noembed noframes object video audio canvas datalist rp meta link base area embed"
 )
 HEAD_PARTS = names("base link meta noscript script style template title basefont bgsound")
 SPACED = names("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl pre blockquote table figure listing hr xmp")
@@ -42,7 +45,15 @@ TABLE_PARTS = names("table thead tbody tfoot tr")
 TABLE_TAGS = names("caption colgroup col thead tbody tfoot tr td th script style template")
 WALL = names("html table td th caption template button object marquee applet")
 CLOSES_P = BLOCKS - names("body html td th tr thead tbody tfoot caption option optgroup legend")
-RELEVANT = re.compile(r"hidden|style|colspan|rowspan|start|value|open|reversed", re.I)
+# of a drawing, only the text elements and the pages inside it show text
+UNDRAWN = names("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter")
+LEAVES_SVG = names(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var"
+)
+HOLDS_PAGE = names("foreignobject desc title")
+OUTSIDE, DRAWING, DRAWN_TEXT = range(3)
+RELEVANT = re.compile(r"hidden|display|visibility|style|colspan|rowspan|start|value|open|reversed", re.I)
 
 
 class Node:
@@ -67,6 +78,7 @@ class Builder:
     def __init__(self) -> None:
         self.root = Node("html", {})
         self.opened = [self.root]
+        self.drawings = False
 
     def text(self, text: str) -> None:
         here = self.opened[-1]
@@ -99,7 +111,22 @@ class Builder:
         while len(self.opened) > 1 and self.opened[-1].tag not in tags:
             self.opened.pop()
 
+    def drawing(self) -> int:
+        """The place of the open drawing that takes what comes next, or 0."""
+        for i in range(len(self.opened) - 1, 0, -1) if self.drawings else ():
+            tag = self.opened[i].tag
+            if tag == "svg":
+                return i
+            if tag in HOLDS_PAGE or tag in LEAVES_SVG:
+                break
+        return 0
+
     def start(self, tag: str, text: str) -> None:
+        inside = self.drawing()
+        if inside and tag in LEAVES_SVG:
+            del self.opened[inside:]
+            inside = 0
+        self.drawings = self.drawings or tag == "svg"
         if tag in ("html", "body"):
             self.close(names("head"), names("body"))
             if tag == "html" or any(n.tag == "body" for n in self.opened[:3]):
@@ -127,7 +154,7 @@ class Builder:
             self.before_table(node)
         else:
             self.opened[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and not ((inside or tag == "svg") and CLOSED.search(text)):
             self.opened.append(node)
 
     def table_part(self, tag: str) -> None:
@@ -162,7 +189,7 @@ class Builder:
 def build(page: str) -> Node:
     """The tree of a page; broken markup is read as browsers do in the common cases."""
     tree = Builder()
-    at, size = 0, len(page)
+    at, size, last = 0, len(page), page.rfind(">")
     lower = None
     while at < size:
         begin = page.find("<", at)
@@ -171,7 +198,7 @@ def build(page: str) -> Node:
             break
         if begin > at:
             tree.text(html.unescape(page[at:begin]))
-        token = TOKEN.match(page, begin)
+        token = TOKEN.match(page, begin) if begin < last or page[begin + 1 : begin + 2] in ("!", "?") else None
         if token is None:
             tree.text("<")
             at = begin + 1
@@ -252,9 +279,13 @@ def whole(text: str | None, default: int, least: int, most: int) -> int:
     return min(max(int(found[1][:12]), least), most) if found else default
 
 
-def shown(node: Node, parent_visible: bool, parent: Node | None) -> tuple[bool, bool]:
+def shown(node: Node, parent_visible: bool, parent: Node | None, drawing: int = OUTSIDE) -> tuple[bool, bool]:
     """Whether an element takes part in the layout, and whether its own text is visible."""
     given = node.attributes
+    if drawing and (node.tag in UNDRAWN or given.get("display") == "none"):
+        return False, False
+    if drawing and "visibility" in given:
+        parent_visible = given["visibility"] == "visible"
     if node.tag in UNSEEN or "hidden" in given and given["hidden"] != "until-found":
         return False, False
     if node.tag == "dialog" and "open" not in given:
@@ -321,22 +352,32 @@ class Layout:
         self.depth = 0
 
     def run(self, root: Node) -> str:
-        stack = [(root, iter(root.children), True, False)]
+        stack = [(root, iter(root.children), True, False, OUTSIDE)]
         self.enter(root)
         while stack:
-            node, children, visible, pre = stack[-1]
+            node, children, visible, pre, drawing = stack[-1]
             child = next(children, None)
             if child is None:
                 stack.pop()
                 self.leave(node)
+                if node.tag == "text" and drawing:
+                    self.flows[-1].rest(1)
             elif isinstance(child, str):
-                if visible and not (node.tag == "details" and "open" not in node.attributes) and node.tag not in TABLE_PARTS:
+                if visible and drawing != DRAWING and not (node.tag == "details" and "open" not in node.attributes) and node.tag not in TABLE_PARTS:
                     self.preformatted(child) if pre else self.flows[-1].inline(child)
             else:
-                part, seen = shown(child, visible, node)
+                part, seen = shown(child, visible, node, drawing)
                 if part:
                     self.enter(child)
-                    stack.append((child, iter(child.children), seen, pre or child.tag in ("pre", "listing", "xmp", "textarea")))
+                    if child.tag == "svg":
+                        within = DRAWING
+                    elif drawing and child.tag == "foreignobject":
+                        within = OUTSIDE
+                    else:
+                        within = DRAWN_TEXT if drawing and child.tag == "text" else drawing
+                    if within and child.tag == "text":
+                        self.flows[-1].rest(1)
+                    stack.append((child, iter(child.children), seen, pre or child.tag in ("pre", "listing", "xmp", "textarea"), within))
         return "\n".join(self.flows[0].done())
 
     def preformatted(self, text: str) -> None:

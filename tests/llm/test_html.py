@@ -30,6 +30,15 @@ CASES = {
     "empty": ("", ""),
     "null": (None, ""),
     "only tags": ("<p></p><div><br></div>", ""),
+    "quote after a value": ('<a href="x"">Link</a> some text <b class="y">bold</b>', "Link some text bold"),
+    "lone quote": ('<p title="a" ">First paragraph.</p><p id="z">Second.', "First paragraph.\n\nSecond."),
+    "quote in a bare value": ("<a href=it's>k</a> l <a title='m>n'>o</a>", "k l o"),
+    "spaced equals": ('<p title = "a>b" hidden>no<p>yes', "yes"),
+    "unclosed quote before others": ('<p class="a>text</p><p id="', 'text\n\n<p id="'),
+    "empty comments": ("<!-->visible text<!---> more<!-- no --> end", "visible text more end"),
+    "drawing": ("a<svg viewBox='0 0 1 1'><title>no</title><defs><text>no</text></defs><g>no<text x=1>Cats</text><text>Do<tspan>gs</tspan></text></g><defs/><text display=none>no</text><foreignObject><p>page</p></foreignObject></svg>b", "a\nCats\nDogs\n\npage\n\nb"),
+    "unclosed drawing": ("<svg><path d='M0'/><p>text <svg/>after", "text after"),
+    "hidden drawing": ("<span style='visibility:hidden'><svg><text>no</text><text visibility=visible>yes</text></svg></span>", "yes"),
     "unknown tag": ("<foo>a</foo>b</bar>", "ab"),
 }
 
