@@ -9,6 +9,7 @@ Document frequencies and lengths are those of all documents.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,13 +36,17 @@ LONG_WORD = 10_000
 
 # fixed value: how the byte-level vocabulary splits texts into words
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# the pattern's \s does not hold the four separators that Python counts as white space
+_WHITE, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+LONG_RUN = re.compile(rf"(?<!{_WHITE}){_WHITE}{{{LONG_WORD + 1}}}|(?<!{_SOLID}){_SOLID}{{{LONG_WORD + 1}}}")
 
 TOKENS = "doc_id long, n long, ids binary, frequencies binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary file. A word of extreme length goes to the library that copes with it."""
+    """Ids of a byte-level BPE vocabulary file. A word or white space of extreme length goes to the library
+    that copes with it."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
@@ -56,7 +61,7 @@ class Encoder:
         self.path, self.slow = path, None
 
     def ids(self, text: str) -> np.ndarray:
-        if len(text) > LONG_WORD and max(map(len, text.split()), default=0) > LONG_WORD or len(text) > LONG_WORD and text.isspace():
+        if len(text) > LONG_WORD and LONG_RUN.search(text):
             if self.slow is None:
                 self.slow = Tokenizer.from_file(self.path)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)

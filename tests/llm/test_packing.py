@@ -83,6 +83,18 @@ def test_ids_equal_those_of_the_library(library):
         assert coder.ids(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\u3000", " \t"])
+def test_white_space_of_extreme_length(library, space):
+    text = "word" + space * 1_000_001 + "word"
+    assert packing.encoder(PATH).ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_separators_are_letters_of_a_long_word(library):
+    text = "word " + "!\x1c" * 6_000 + " word"
+    assert packing.LONG_RUN.search(text) and not packing.LONG_RUN.search("word " * 6_000)
+    assert packing.encoder(PATH).ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_repeated_rows_without_id_and_empty(spark):
     df = spark.createDataFrame([(None, "a b", "", ""), (1, "c", "", ""), (1, "c", "", "")], SCHEMA)
     got = packing.pack(df, PATH).collect()
