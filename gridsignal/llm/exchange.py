@@ -13,6 +13,7 @@ from gridsignal.llm import blobs
 
 KEYS = "bucket int, batch long, keys binary, extra binary, bytes binary"
 MASKS = "batch long, bucket int, mask binary"
+HOT_MASKS = MASKS + ", hot binary, hot_rows long"
 SPARE_BITS = 12
 
 
@@ -34,19 +35,22 @@ def key_rows(filled: list[int], number: int, values: list[tuple[bytes, bytes, by
     })
 
 
-def shared_masks(batches: DataFrame, keys_of: Callable[[bytes], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+def shared_masks(batches: DataFrame, keys_of: Callable[[bytes], tuple[np.ndarray, ...]], buckets: int, most: int | None = None) -> DataFrame:
     """``batch, bucket, mask``: which of a batch's distinct keys two documents have.
 
-    ``keys_of`` gives the distinct keys of a batch, ascending, and marks of those that two of its documents have.
+    ``keys_of`` gives the distinct keys of a batch, ascending, and marks of those that two of its documents have. With
+    ``most``, it also gives how many rows of the batch have each key; ``hot`` marks the keys that more than ``most`` rows
+    of all batches have (null for none), and ``hot_rows`` counts the rows of the batch that have them.
     """
 
     def announce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for number, blob in zip(part.column(0).to_pylist(), part.column(1)):
-                keys, twice = keys_of(blob.as_py())
+                keys, twice, *rows_of = keys_of(blob.as_py())
+                counts = lambda s: blobs.pack(rows_of[0][s].astype(np.int64)) if rows_of else None
                 cut = blobs.bucket_edges(keys, buckets).tolist()
                 filled = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                yield key_rows(filled, number, [(blobs.pack_sorted(keys[cut[b] : cut[b + 1]]), np.packbits(twice[cut[b] : cut[b + 1]]).tobytes(), None) for b in filled])
+                yield key_rows(filled, number, [(blobs.pack_sorted(keys[cut[b] : cut[b + 1]]), np.packbits(twice[cut[b] : cut[b + 1]]).tobytes(), counts(slice(cut[b], cut[b + 1]))) for b in filled])
 
     def meet(key: tuple, parts: pa.Table) -> pa.Table:
         keys = [blobs.unpack_sorted(k) for k in parts["keys"].to_pylist()]
@@ -56,9 +60,18 @@ def shared_masks(batches: DataFrame, keys_of: Callable[[bytes], tuple[np.ndarray
         shared[number[np.concatenate(twice)]] = True
         cuts = np.cumsum([0, *map(len, keys)]).tolist()
         masks = [np.packbits(shared[number[a:b]]).tobytes() for a, b in zip(cuts, cuts[1:])]
-        return pa.table({"batch": parts["batch"], "bucket": parts["bucket"], "mask": pa.array(masks, pa.binary())})
-
-    return batches.select("batch", "blob").mapInArrow(announce, KEYS).groupBy("bucket").applyInArrow(meet, MASKS)
+        out = pa.table({"batch": parts["batch"], "bucket": parts["bucket"], "mask": pa.array(masks, pa.binary())})
+        if most is None:
+            return out
+        rows_of = np.concatenate([blobs.unpack(c, np.int64) for c in parts["bytes"].to_pylist()])
+        total = np.zeros(len(count), np.int64)
+        np.add.at(total, number, rows_of)
+        hot = shared[number] & (total[number] > most)
+        marks = [np.packbits(hot[a:b]).tobytes() if hot[a:b].any() else None for a, b in zip(cuts, cuts[1:])]
+        sums = [int(rows_of[a:b][hot[a:b]].sum()) for a, b in zip(cuts, cuts[1:])]
+        return out.append_column("hot", pa.array(marks, pa.binary())).append_column("hot_rows", pa.array(sums, pa.int64()))
+
+    return batches.select("batch", "blob").mapInArrow(announce, KEYS).groupBy("bucket").applyInArrow(meet, MASKS if most is None else HOT_MASKS)
 
 
 def with_masks(batches: DataFrame, *masks: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ strings of ``length`` bytes have an anchor at the same place, so it is enough to
    binary search give the common extension of two suffixes, and so their order, in logarithmic time. Common extensions to
    the right of the sorted neighbours, with hashes of the bytes to the left, tell which whole strings are equal and which
    document with the smallest id has them. Every equality is verified on the bytes.
+   Anchors of very many rows are not sorted in one piece: each whole string around them meets under its own hash.
 3. Documents learn which strings a smaller document has, and lose the bytes that these cover.
 
 Copies are folded inside a batch, so that a passage of very many documents arrives once per batch.
@@ -37,6 +38,8 @@ OUTSIDE = 255  # no byte of UTF-8
 CHUNK = 1 << 13
 SORT_ROWS = 1 << 14
 PIECE = 1 << 19
+HOT_ROWS = 1 << 16  # an anchor string with more rows than this is taken apart
+HOT_BUCKET_STRINGS = 1 << 20
 
 WEIGHTS = np.array([pow(int(BASE), i + 1, 1 << 64) for i in range(SPAN)], dtype=np.uint64)
 
@@ -104,6 +107,11 @@ class Batch:
         np.maximum.at(high, number, owner)
         return keys, low < high, number
 
+    def key_facts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys ascending, which of them two documents of the batch share, and how many anchors have each."""
+        keys, twice, number = self.distinct_keys()
+        return keys, twice, np.bincount(number, minlength=len(keys))
+
     def share(self, mask: np.ndarray) -> None:
         """Keep the anchors whose key is marked, ordered by key, surroundings and document, and fold equal surroundings:
         ``head`` marks the smallest document of each, ``fold`` is the number of an anchor's head."""
@@ -122,6 +130,39 @@ class Batch:
         self.around, self.head = around[order], head
         self.fold = np.cumsum(head) - 1
 
+    def share_cool(self, masks: list[dict] | None, hot: list[dict] | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """``share`` by the masks of buckets; the heads that do not have a hot key, and those that have."""
+        keys, _, _ = self.distinct_keys()
+        self.share(bits_of(masks, keys, buckets))
+        heads = np.flatnonzero(self.head)
+        warm = bits_of(hot, keys, buckets)[np.searchsorted(keys, self.keys[heads])] if hot else np.zeros(len(heads), bool)
+        return np.flatnonzero(~warm), np.flatnonzero(warm)
+
+    def strings(self, heads: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Whole strings around the given heads by bucket of their hash: bucket, head and distance to the anchor of each
+        string, their bytes and owners, and an order with marks of the smallest owner of each distinct string."""
+        rows = np.flatnonzero(self.head)[heads]
+        which, distance, keys = [], [], []
+        for i in range(0, len(rows), CHUNK):
+            around = self.around[rows[i : i + CHUNK]]
+            fits = whole_strings(around)
+            for o in range(BEFORE + 1):
+                found = np.flatnonzero((fits >> np.uint32(o)) & np.uint32(1))
+                which.append((found + i).astype(np.int32)), distance.append(np.full(len(found), o, np.int8))
+                keys.append(row_hashes(around[found, BEFORE - o : BEFORE - o + LENGTH]))
+        if not keys:
+            return
+        which, distance, keys = np.concatenate(which), np.concatenate(distance), np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        which, distance, keys = which[order], distance[order], keys[order]
+        cut = blobs.bucket_edges(keys, buckets).tolist()
+        for b, (begin, end) in enumerate(zip(cut, cut[1:])):
+            if begin < end:
+                w, o = which[begin:end], distance[begin:end].astype(np.int64)
+                content = self.around[rows[w][:, None], (BEFORE - o)[:, None] + np.arange(LENGTH)]
+                owner = self.ids[self.row[rows[w]]]
+                yield b, heads[w], o, content, owner, *fold_equal(keys[begin:end], owner, content)
+
     def covered(self, masks: np.ndarray) -> np.ndarray:
         """Which bytes the strings cover that ``masks`` (one per head) or a smaller copy in this batch mark."""
         owner = self.ids[self.row]
@@ -328,16 +369,17 @@ def by_groups(group: np.ndarray, owner: np.ndarray, around: np.ndarray, place: n
 # ---- passes --------------------------------------------------------------------------------------------------------
 
 
-def string_masks(batches: DataFrame, shared: DataFrame, id: str, text: str, buckets: int, bits: int) -> DataFrame:
-    """``batch, bucket, mask``: for each folded shared anchor of a batch, the strings that a smaller document has."""
+def string_masks(batches: DataFrame, shared: tuple[DataFrame, ...], id: str, text: str, buckets: int, bits: int) -> DataFrame:
+    """``batch, bucket, mask``: for each folded shared anchor of a batch that is not hot, the strings that a smaller
+    document has."""
 
     def announce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for r in part.to_pylist():
                 batch = Batch(r["blob"], id, text, bits)
-                keys, _, _ = batch.distinct_keys()
-                batch.share(bits_of(r["masks0"], keys, buckets))
-                keys, owner, around = batch.keys[batch.head], batch.ids[batch.row[batch.head]], batch.around[batch.head]
+                cool, _ = batch.share_cool(r["masks0"], r.get("masks1"), buckets)
+                rows_of = np.flatnonzero(batch.head)[cool]
+                keys, owner, around = batch.keys[rows_of], batch.ids[batch.row[rows_of]], batch.around[rows_of]
                 cut = blobs.bucket_edges(keys, buckets).tolist()
                 filled = [b for b in range(buckets) if cut[b] < cut[b + 1]]
                 spans = [slice(cut[b], cut[b + 1]) for b in filled]
@@ -351,7 +393,35 @@ def string_masks(batches: DataFrame, shared: DataFrame, id: str, text: str, buck
         masks = [blobs.deflate(found[a:b]) for a, b in zip(cuts, cuts[1:])]
         return pa.table({"batch": parts["batch"], "bucket": parts["bucket"], "mask": pa.array(masks, pa.binary())})
 
-    return with_masks(batches, shared).mapInArrow(announce, KEYS).groupBy("bucket").applyInArrow(meet, MASKS)
+    return with_masks(batches, *shared).mapInArrow(announce, KEYS).groupBy("bucket").applyInArrow(meet, MASKS)
+
+
+def hot_masks(batches: DataFrame, shared: tuple[DataFrame, ...], id: str, text: str, buckets: int, bits: int, parts_of: int) -> DataFrame:
+    """``batch, bucket, mask``: which distinct strings around hot anchors of a batch a smaller document of another batch
+    has. A batch sends each string once, so no string has more rows than there are batches."""
+
+    def announce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            for r in part.to_pylist():
+                batch = Batch(r["blob"], id, text, bits)
+                _, warm = batch.share_cool(r["masks0"], r["masks1"], buckets)
+                for b, _, _, content, owner, order, head in batch.strings(warm, parts_of):
+                    one = order[head]
+                    yield key_rows([b], r["batch"], [(b"", blobs.pack(owner[one]), blobs.deflate(content[one]))])
+
+    def meet(key: tuple, parts: pa.Table) -> pa.Table:
+        owners = [blobs.unpack(e, np.int64) for e in parts["extra"].to_pylist()]
+        owner = np.concatenate(owners)
+        content = np.concatenate([blobs.inflate(b, np.uint8).reshape(-1, LENGTH) for b in parts["bytes"].to_pylist()])
+        order, head = fold_equal(np.zeros(len(owner), np.uint64), owner, content)
+        smaller = np.empty(len(owner), bool)
+        smaller[order] = owner[order] > owner[order[head]][np.cumsum(head) - 1]
+        cuts = np.cumsum([0, *map(len, owners)]).tolist()
+        masks = [np.packbits(smaller[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
+        return pa.table({"batch": parts["batch"], "bucket": parts["bucket"], "mask": pa.array(masks, pa.binary())})
+
+    hot_only = with_masks(batches, *shared).where("masks1 IS NOT NULL")
+    return hot_only.mapInArrow(announce, KEYS).groupBy("bucket").applyInArrow(meet, MASKS)
 
 
 def removals(docs: DataFrame, id: str, text: str, finish: Callable[[Batch, np.ndarray], pa.RecordBatch], schema) -> DataFrame:
@@ -359,23 +429,37 @@ def removals(docs: DataFrame, id: str, text: str, finish: Callable[[Batch, np.nd
     batches = blobs.write_batches(docs, text)
     raw = batches.agg(F.sum("raw")).first()[0] or 0
     buckets, bits = blobs.bucket_count(batches), key_bits(raw)
-    shared = blobs.settle(shared_masks(batches, lambda blob: Batch(blob, id, text, bits).distinct_keys()[:2], buckets))
-    strings = string_masks(batches, shared, id, text, buckets, bits)
+    known = blobs.settle(shared_masks(batches, lambda blob: Batch(blob, id, text, bits).key_facts(), buckets, HOT_ROWS))
+    hot_rows = known.agg(F.sum("hot_rows")).first()[0] or 0
+    shared: tuple[DataFrame, ...] = (known.select("batch", "bucket", "mask"),)
+    parts_of = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hot_rows * (BEFORE + 1) // HOT_BUCKET_STRINGS))
+    if hot_rows:
+        shared += (known.where("hot IS NOT NULL").select("batch", "bucket", F.col("hot").alias("mask")),)
+    found = (string_masks(batches, shared, id, text, buckets, bits),)
+    if hot_rows:
+        found += (hot_masks(batches, shared, id, text, buckets, bits, parts_of),)
 
     def apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for r in part.to_pylist():
                 batch = Batch(r["blob"], id, text, bits)
-                keys, _, _ = batch.distinct_keys()
-                batch.share(bits_of(r["masks0"], keys, buckets))
+                hot, cold, parted = (r["masks1"], r["masks2"], r["masks3"]) if hot_rows else (None, r["masks1"], None)
+                cool, warm = batch.share_cool(r["masks0"], hot, buckets)
                 heads = batch.keys[batch.head]
-                cut = blobs.bucket_edges(heads, buckets)
+                cut = blobs.bucket_edges(heads[cool], buckets)
                 strings_of = np.zeros(len(heads), np.uint32)
-                for m in r["masks1"] or []:
-                    strings_of[int(cut[m["bucket"]]) : int(cut[m["bucket"] + 1])] = blobs.inflate(m["mask"], np.uint32)
+                for m in cold or []:
+                    strings_of[cool[int(cut[m["bucket"]]) : int(cut[m["bucket"] + 1])]] = blobs.inflate(m["mask"], np.uint32)
+                marks = {m["bucket"]: m["mask"] for m in parted or []}
+                for b, head_of, distance, _, owner, order, head in batch.strings(warm, parts_of):
+                    group = np.cumsum(head) - 1
+                    least = owner[order[head]][group]
+                    smaller = np.unpackbits(np.frombuffer(marks[b], np.uint8))[: int(head.sum())].astype(bool)[group] | (owner[order] > least)
+                    some = order[smaller]
+                    np.bitwise_or.at(strings_of, head_of[some], np.uint32(1) << distance[some].astype(np.uint32))
                 yield finish(batch, batch.covered(strings_of))
 
-    return with_masks(batches, shared, strings).mapInArrow(apply, schema)
+    return with_masks(batches, *shared, *found).mapInArrow(apply, schema)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

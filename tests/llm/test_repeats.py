@@ -89,6 +89,27 @@ def test_odd_rows_of_suffixes(spark, small_batches):
     assert suffixes.dedup_digest(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("most", [0, 5, 30])
+def test_hot_anchors_are_taken_apart(spark, small_batches, monkeypatch, most):
+    """A phrase with different text around it in every document comes to no task in one piece."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, passage = text(45), text(70)
+    rows = [(rng.randint(0, 500), text(rng.randint(0, 60)) + phrase + text(rng.randint(0, 60))) for _ in range(90)]
+    rows += [(i, text(9) + phrase[10:] + passage + phrase + "xy" * (i % 3)) for i in rng.sample(range(1000), 20)] + [(None, phrase + passage)]
+    plain, anchor = suffixes.resolve, slice(suffixes.BEFORE, suffixes.BEFORE + suffixes.GRAM)
+
+    def bounded(owner, around):
+        _, count = np.unique(around[:, anchor], axis=0, return_counts=True)
+        assert count.max(initial=0) <= most
+        return plain(owner, around)
+
+    monkeypatch.setattr(suffixes, "resolve", bounded)
+    monkeypatch.setattr(suffixes, "HOT_ROWS", most)
+    got = sorted((tuple(r) for r in run(spark, rows, suffixes.dedup_digest).collect()), key=str)
+    assert got == brute_digest(rows)
+
+
 def test_texts_keep_whole_characters_and_all_columns(spark, small_batches):
     shared = "é" * 60
     rows = [(1, "a" + shared), (2, shared + "tail"), (3, shared), (4, None), (5, "")]
