@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsignal.llm import ann, htmltext, jaccard, mixing, packing, quality, spans, suffixes, topk, warc
+from gridsignal.llm import ann, htmltext, jaccard, licenses, mixing, packing, quality, spans, suffixes, topk, warc
+from gridsignal.llm.license_sql import license_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -152,3 +153,8 @@ FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id""",
 )
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_license_rules", license_sql())
+def license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
