@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsignal.llm import ann, htmltext, jaccard, licenses, mixing, packing, quality, spans, suffixes, topk, warc
+from gridsignal.llm import ann, htmltext, jaccard, licenses, mixing, packing, quality, spans, suffixes, topk, warc, whitening
 from gridsignal.llm.license_sql import license_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,8 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_license_rules", license_sql())
 def license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
