@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsignal.llm import ann, htmltext, jaccard, licenses, mixing, packing, quality, spans, suffixes, topk, warc, whitening
+from gridsignal.llm import ann, htmltext, jaccard, licenses, mixing, packing, quality, spans, spelling, suffixes, topk, warc, whitening
 from gridsignal.llm.license_sql import license_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,32 @@ def license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_embedding_whitening")
 def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def crc_step(b: int) -> int:
+    """The checksum's table entry of a byte, by its rule."""
+    for _ in range(8):
+        b = (b >> 1) ^ (0xEDB88320 if b & 1 else 0)
+    return b
+
+
+SPELLING_SQL = rf"""WITH RECURSIVE step AS (SELECT {[crc_step(b) for b in range(256)]}::BIGINT[] AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS name, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS run FROM documents),
+coded AS (SELECT run, flatten([CASE WHEN c < 128 THEN [c] ELSE [192 + (c >> 6), 128 + (c & 63)] END FOR c IN [CAST(unicode(x) AS BIGINT) FOR x IN string_split(name || run, '')]]) AS bytes FROM runs),
+summed AS (SELECT run, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS INTEGER) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM coded, step),
+given AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM summed),
+words AS MATERIALIZED (SELECT word, count(*) AS n FROM given WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+shorter AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, CAST(length(word) AS BIGINT) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON s.rest = w.word UNION SELECT w.word, s.word FROM shorter s JOIN words w ON s.rest = w.word),
+ranked AS (SELECT p.word, near, w.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, near) AS r FROM pairs p JOIN words w ON p.near = w.word),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.r = 1),
+chain AS (SELECT word, form AS at FROM forms WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.at = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at AS root FROM chain c JOIN forms f ON c.at = f.word WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM forms f LEFT JOIN ends USING (word)"""
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
