@@ -2,16 +2,19 @@
 
 Letters fall into groups, and the numbers of a word's letters in each group are its path in a trie. One edit changes a path
 by at most one letter more in one group (surplus) and one less in another (deficit). A depth-first search walks the branches
-that this budget allows, and the words at the leaves are compared letter by letter.
+that this budget allows, for all words of a node of the searched words' own trie together, and the words at the leaves are
+compared letter by letter.
 
 The counts of the first groups name a cell. A word is stored in the bucket of its own cell and searched for in the buckets of
-all cells that the budget reaches; buckets with many words or searches are cut on both sides, so that every search meets
-every stored word of a reachable cell in exactly one task.
+its own and of the larger cells that the budget reaches; buckets with many words or searches are cut on both sides, so that
+every search meets every stored word of such a cell in exactly one task. A pair is found once, from the word of the smaller
+cell, or of one cell from the smaller word, and counts for both.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +27,17 @@ from gridsignal.session import settle
 LETTERS = "A-Za-z\\u00C0-\\u00FF"  # every one is a byte of Latin-1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-GROUPS = 12
+FREQUENT = "etaoinshrdlu"  # a group each; the other letters share the other groups
+GROUPS = 18
 CELL_GROUPS = 4  # groups whose counts name the cell
-BUCKET_WORDS = 1 << 13  # stored words in one task
+BUCKET_WORDS = 1 << 15  # stored words in one task
 BUCKET_SEARCHES = 1 << 17  # searches in one task
+LEAF_PAIRS = 2  # two nodes with no more pairs of words are leaves: comparing these is cheaper than the levels below
 FRONTIER = 1 << 16  # states of the search that are looked at together
 PAIR_BYTES = 1 << 24  # bytes of words that are compared together
 
-GROUP_OF = (np.arange(256) % GROUPS).astype(np.int64)
+GROUP_OF = len(FREQUENT) + np.arange(256) % (GROUPS - len(FREQUENT))
+GROUP_OF[[ord(c) for c in FREQUENT]] = np.arange(len(FREQUENT))
 
 
 # ---- words ---------------------------------------------------------------------------------------------------------
@@ -68,16 +74,18 @@ class Words:
         self.data = np.frombuffer(b"".join(coded), np.uint8)
         row = np.repeat(np.arange(len(coded)), self.size)
         self.counts = np.bincount(row * GROUPS + GROUP_OF[self.data], minlength=len(coded) * GROUPS).reshape(len(coded), GROUPS)
+        self.narrow = self.counts.astype(np.int32 if self.counts.max(initial=0) > 100 else np.int8)
 
     def letters(self, rows: np.ndarray, length: int) -> np.ndarray:
         return self.data[self.begin[rows][:, None] + np.arange(length)]
 
 
 def reachable(counts: np.ndarray) -> np.ndarray:
-    """Changes of the first counts by a surplus of at most one and a deficit of at most one, none first."""
+    """Changes of the first counts by a surplus of at most one and a deficit of at most one that lead to larger cells, in the
+    order of the counts: the surplus comes first. No change is the first of them."""
     k = counts.shape[1]
     unit = np.eye(k, dtype=np.int64)
-    return np.concatenate([np.zeros((1, k), np.int64), unit, -unit, (unit[:, None] - unit[None, :])[~np.eye(k, dtype=bool)]])
+    return np.concatenate([np.zeros((1, k), np.int64), unit, (unit[:, None] - unit[None, :])[np.triu_indices(k, 1)]])
 
 
 def cell_buckets(cells: np.ndarray, buckets: int) -> np.ndarray:
@@ -93,48 +101,58 @@ def cell_buckets(cells: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Trie:
-    """Stored words by their counts. A node of a level is a run of words with equal counts up to there; ``keys`` of a level
-    are the numbers of a node's parent and its own count, ascending."""
+    """Words by their counts. A node of a level is a run of words (in ``order``) with equal counts up to there, from
+    ``begins`` to ``ends``; ``keys`` are the numbers of its parent and its own count, ascending, and ``inner`` says where a
+    node's children begin in the next level."""
 
-    def __init__(self, words: Words, largest: int) -> None:
+    def __init__(self, words: Words, width: int) -> None:
         self.order = np.lexsort(words.counts.T[::-1])
         counts = words.counts[self.order]
-        self.width = largest + 2
-        self.keys = []
-        node = np.zeros(len(counts), np.int64)
+        self.keys, self.counts, self.begins, self.ends, self.inner = [], [], [], [], []
+        node, parents = np.zeros(len(counts), np.int64), 1
         for level in range(GROUPS):
-            key = node * self.width + counts[:, level]
+            key = node * width + counts[:, level]
             first = np.ones(len(key), bool)
             first[1:] = key[1:] != key[:-1]
+            begins = np.flatnonzero(first)
             self.keys.append(key[first])
-            node = np.cumsum(first) - 1
-            self.begins = np.flatnonzero(first)
-        self.ends = np.append(self.begins[1:], len(counts))
-
-    def leaves(self, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of a search (row of ``counts``) and a leaf within its budget, depth first."""
-        every = np.arange(len(counts))
-        nothing = np.zeros(len(counts), bool)
-        stack = [(0, every[i : i + FRONTIER], np.zeros(len(every[i : i + FRONTIER]), np.int64), nothing[i : i + FRONTIER], nothing[i : i + FRONTIER])
-                 for i in range(0, len(every), FRONTIER)]
-        while stack:
-            level, who, node, surplus, deficit = stack.pop()
-            count = counts[who, level]
-            more, less = np.flatnonzero(~surplus), np.flatnonzero(~deficit & (count > 0))
-            pick = np.concatenate([np.arange(len(who)), more, less])
-            wanted = np.concatenate([count, count[more] + 1, count[less] - 1])
-            key = node[pick] * self.width + wanted
-            at = np.minimum(np.searchsorted(self.keys[level], key), len(self.keys[level]) - 1)
-            surplus = np.concatenate([surplus, np.ones(len(more), bool), surplus[less]])
-            deficit = np.concatenate([deficit, deficit[more], np.ones(len(less), bool)])
-            hit = np.flatnonzero(self.keys[level][at] == key)
-            who, node, surplus, deficit = who[pick[hit]], at[hit], surplus[hit], deficit[hit]
-            if level + 1 == GROUPS:
-                yield who, node
-                continue
-            for i in range(0, len(who), FRONTIER):
-                part = slice(i, i + FRONTIER)
-                stack.append((level + 1, who[part], node[part], surplus[part], deficit[part]))
+            self.counts.append(counts[begins, level])
+            self.begins.append(begins)
+            self.ends.append(np.append(begins[1:], len(counts)))
+            self.inner.append(np.searchsorted(node[begins], np.arange(parents + 1)))
+            node, parents = np.cumsum(first) - 1, len(begins)
+
+
+def near_leaves(a: Trie, b: Trie, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of runs of words, begin and end in ``a`` and in ``b``, whose paths the budget lets differ, with that of ``b`` in no
+    smaller cell as far as the paths go. Both tries are walked together, depth first: what words of a node have in common is
+    looked at once for all of them."""
+    none = np.zeros(1, bool)
+    stack = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64), none, none)]
+    while stack:
+        level, left, right, surplus, deficit = stack.pop()
+        from_, to = a.inner[level][left], a.inner[level][left + 1]
+        pick = np.repeat(np.arange(len(left)), to - from_)
+        left = np.arange(len(pick)) - np.repeat(np.cumsum(to - from_) - to, to - from_)
+        right, surplus, deficit, count = right[pick], surplus[pick], deficit[pick], a.counts[level][left]
+        # within the cell's counts a deficit comes after the surplus
+        fewer = ~deficit & (count > 0) & surplus if level < CELL_GROUPS else ~deficit & (count > 0)
+        more, less = np.flatnonzero(~surplus), np.flatnonzero(fewer)
+        key = np.concatenate([right * width + count, right[more] * width + count[more] + 1, right[less] * width + count[less] - 1])
+        at = np.minimum(np.searchsorted(b.keys[level], key), len(b.keys[level]) - 1)
+        hit = np.flatnonzero(b.keys[level][at] == key)
+        left = np.concatenate([left, left[more], left[less]])[hit]
+        right = at[hit]
+        surplus = np.concatenate([surplus, np.ones(len(more), bool), surplus[less]])[hit]
+        deficit = np.concatenate([deficit, deficit[more], np.ones(len(less), bool)])[hit]
+        runs = a.begins[level][left], a.ends[level][left], b.begins[level][right], b.ends[level][right]
+        small = (runs[1] - runs[0]) * (runs[3] - runs[2]) <= LEAF_PAIRS if level + 1 < GROUPS else np.ones(len(left), bool)
+        if small.any():
+            yield tuple(r[small] for r in runs)
+        large = np.flatnonzero(~small)
+        for i in range(0, len(large), FRONTIER):
+            part = large[i : i + FRONTIER]
+            stack.append((level + 1, left[part], right[part], surplus[part], deficit[part]))
 
 
 def one_edit(a: Words, x: np.ndarray, b: Words, y: np.ndarray) -> np.ndarray:
@@ -161,37 +179,59 @@ def one_edit(a: Words, x: np.ndarray, b: Words, y: np.ndarray) -> np.ndarray:
     return near
 
 
-def search(stored: list[str], n: np.ndarray, asked: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each word of ``asked``, how many stored words are one edit away, and the place of the best of them (-1 for none):
-    that of the largest ``n``, of equal ones the first in ``stored``, which ascends."""
-    a, b = Words(asked), Words(stored)
-    found, best = np.zeros(len(asked), np.int64), np.full(len(asked), -1)
+class Best:
+    """For each word of one list, how many of the other are one edit away, and which is the best of them (-1 for none): that
+    of the largest ``n``, of equal ones the first. Lists ascend."""
+
+    def __init__(self, words: int, other_n: np.ndarray) -> None:
+        self.found = np.zeros(words, np.int64)
+        self.order = np.lexsort((np.arange(len(other_n)), -other_n))
+        self.place = np.empty(len(other_n), np.int64)
+        self.place[self.order] = np.arange(len(other_n))
+        self.least = np.full(words, len(other_n))
+
+    def add(self, mine: np.ndarray, other: np.ndarray) -> None:
+        np.add.at(self.found, mine, 1)
+        np.minimum.at(self.least, mine, self.place[other])
+
+    def best(self) -> np.ndarray:
+        return np.where(self.found > 0, np.append(self.order, -1)[np.minimum(self.least, len(self.order))], -1)
+
+
+def search(stored: list[str], stored_n: np.ndarray, asked: list[str], asked_n: np.ndarray) -> tuple[Best, Best]:
+    """Pairs of a word of ``asked`` and one of ``stored`` that one edit parts, where the first stands in the smaller cell or is
+    the smaller word of one cell: what they are for the asked and for the stored words. Both lists ascend."""
+    ours, theirs = Best(len(asked), stored_n), Best(len(stored), asked_n)
     if not len(asked) or not len(stored):
-        return found, best
-    # stored words by falling n, then ascending: the smallest place is the best
-    place = np.empty(len(stored), np.int64)
-    place[np.lexsort((np.arange(len(stored)), -n))] = np.arange(len(stored))
-    by_place = np.argsort(place)
-    least = np.full(len(asked), len(stored))
-    trie = Trie(b, int(max(a.counts.max(), b.counts.max())) + 1)
-    size = trie.ends - trie.begins
-    for who, leaf in trie.leaves(a.counts):
-        upto = np.cumsum(size[leaf])
+        return ours, theirs
+    a, b = Words(asked), Words(stored)
+    after = np.array([bisect_right(stored, w) for w in asked], np.int64)
+    width = int(max(a.counts.max(), b.counts.max())) + 2
+    mine, other = Trie(a, width), Trie(b, width)
+    for a_begin, a_end, b_begin, b_end in near_leaves(mine, other, width):
+        wide = b_end - b_begin
+        size = (a_end - a_begin) * wide
+        upto = np.cumsum(size)
         begin = 0
-        while begin < len(who):
-            # some leaves at a time; one leaf holds no more than the words of a task
+        while begin < len(size):
+            # some leaves at a time; two leaves hold no more than the words of a task, which are few with equal counts
             end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + 16 * FRONTIER, "right")))
-            w, at = who[begin:end], leaf[begin:end]
-            x = np.repeat(w, size[at])
-            ahead = np.cumsum(size[at]) - size[at]
-            y = trie.order[np.arange(len(x)) - np.repeat(ahead, size[at]) + np.repeat(trie.begins[at], size[at])]
+            n = size[begin:end]
+            run = np.repeat(np.arange(begin, end), n)
+            at = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+            x, y = mine.order[a_begin[run] + at // wide[run]], other.order[b_begin[run] + at % wide[run]]
+            more = b.narrow[y] - a.narrow[x]
+            fits = np.flatnonzero((np.abs(more).sum(axis=1, dtype=np.int64) <= 2) & (np.abs(more.sum(axis=1, dtype=np.int64)) <= 1))
+            x, y, more = x[fits], y[fits], more[fits, :CELL_GROUPS]
+            # no count differs by more than one here: the first that differs tells which cell is larger
+            larger = more.astype(np.int64) @ 3 ** np.arange(CELL_GROUPS)[::-1]
+            kept = np.flatnonzero((larger > 0) | (larger == 0) & (y >= after[x]))
+            x, y = x[kept], y[kept]
             near = one_edit(a, x, b, y)
-            np.add.at(found, x[near], 1)
-            np.minimum.at(least, x[near], place[y[near]])
+            ours.add(x[near], y[near])
+            theirs.add(y[near], x[near])
             begin = end
-    some = least < len(stored)
-    best[some] = by_place[least[some]]
-    return found, best
+    return ours, theirs
 
 
 # ---- passes --------------------------------------------------------------------------------------------------------
@@ -240,17 +280,18 @@ def near_words(words: DataFrame) -> DataFrame:
     tiles = both.select("bucket", F.explode("store").alias("store"), "ask", "home", "word", "n").select("bucket", "store", F.explode("ask").alias("ask"), "home", "word", "n")
 
     def tile(table: pa.Table) -> pa.Table:
-        home = np.asarray(table["home"].combine_chunks())
-        kept = table.filter(pa.array(home)).sort_by("word")
-        asked = table.filter(pa.array(~home))["word"].to_pylist()
-        words, n = kept["word"].to_pylist(), np.asarray(kept["n"])
         # the order of code points is that of UTF-8 bytes, by which Arrow sorts
-        found, best = search(words, n, asked)
-        some = np.flatnonzero(found)
-        return pa.table({
-            "word": pa.array([asked[i] for i in some], pa.string()), "n_near": pa.array(found[some]),
-            "near": pa.array([words[i] for i in best[some]], pa.string()), "near_n": pa.array(n[best[some]] if len(some) else np.zeros(0, np.int64)),
-        })
+        table = table.sort_by("word")
+        home = np.asarray(table["home"].combine_chunks())
+        lists = [(t["word"].to_pylist(), np.asarray(t["n"])) for t in (table.filter(pa.array(home)), table.filter(pa.array(~home)))]
+        (stored, stored_n), (asked, asked_n) = lists
+        columns: list[list] = [[], [], [], []]
+        for side, words, others, n in zip(search(stored, stored_n, asked, asked_n), (asked, stored), (stored, asked), (stored_n, asked_n)):
+            some = np.flatnonzero(side.found)
+            best = side.best()[some]
+            for column, values in zip(columns, ([words[i] for i in some], side.found[some].tolist(), [others[i] for i in best], n[best].tolist() if len(n) else [])):
+                column += values
+        return pa.table({"word": pa.array(columns[0], pa.string()), "n_near": pa.array(columns[1], pa.int64()), "near": pa.array(columns[2], pa.string()), "near_n": pa.array(columns[3], pa.int64())})
 
     found = tiles.groupBy("bucket", "store", "ask").applyInArrow(tile, "word string, n_near long, near string, near_n long")
     best = F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near")))
