@@ -13,7 +13,7 @@ from gridsignal.llm import blobs
 
 KEYS = "bucket int, batch long, keys binary, extra binary, bytes binary"
 MASKS = "batch long, bucket int, mask binary"
-HOT_MASKS = MASKS + ", hot binary, hot_rows long"
+HOT_MASKS = MASKS + ", hot binary, hot_heads long"
 SPARE_BITS = 12
 
 
@@ -39,15 +39,16 @@ def shared_masks(batches: DataFrame, keys_of: Callable[[bytes], tuple[np.ndarray
     """``batch, bucket, mask``: which of a batch's distinct keys two documents have.
 
     ``keys_of`` gives the distinct keys of a batch, ascending, and marks of those that two of its documents have. With
-    ``most``, it also gives how many rows of the batch have each key; ``hot`` marks the keys that more than ``most`` rows
-    of all batches have (null for none), and ``hot_rows`` counts the rows of the batch that have them.
+    ``most``, it also gives how many heads the batch has of each key: rows that are to meet those of other batches. ``hot``
+    marks the keys of which all batches have more than ``most`` heads (null for none), and ``hot_heads`` counts the
+    batch's heads of them.
     """
 
     def announce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for number, blob in zip(part.column(0).to_pylist(), part.column(1)):
-                keys, twice, *rows_of = keys_of(blob.as_py())
-                counts = lambda s: blobs.pack(rows_of[0][s].astype(np.int64)) if rows_of else None
+                keys, twice, *heads = keys_of(blob.as_py())
+                counts = lambda s: blobs.pack(heads[0][s].astype(np.int64)) if heads else None
                 cut = blobs.bucket_edges(keys, buckets).tolist()
                 filled = [b for b in range(buckets) if cut[b] < cut[b + 1]]
                 yield key_rows(filled, number, [(blobs.pack_sorted(keys[cut[b] : cut[b + 1]]), np.packbits(twice[cut[b] : cut[b + 1]]).tobytes(), counts(slice(cut[b], cut[b + 1]))) for b in filled])
@@ -63,31 +64,33 @@ def shared_masks(batches: DataFrame, keys_of: Callable[[bytes], tuple[np.ndarray
         out = pa.table({"batch": parts["batch"], "bucket": parts["bucket"], "mask": pa.array(masks, pa.binary())})
         if most is None:
             return out
-        rows_of = np.concatenate([blobs.unpack(c, np.int64) for c in parts["bytes"].to_pylist()])
+        heads = np.concatenate([blobs.unpack(c, np.int64) for c in parts["bytes"].to_pylist()])
         total = np.zeros(len(count), np.int64)
-        np.add.at(total, number, rows_of)
+        np.add.at(total, number, heads)
         hot = shared[number] & (total[number] > most)
         marks = [np.packbits(hot[a:b]).tobytes() if hot[a:b].any() else None for a, b in zip(cuts, cuts[1:])]
-        sums = [int(rows_of[a:b][hot[a:b]].sum()) for a, b in zip(cuts, cuts[1:])]
-        return out.append_column("hot", pa.array(marks, pa.binary())).append_column("hot_rows", pa.array(sums, pa.int64()))
+        sums = [int(heads[a:b][hot[a:b]].sum()) for a, b in zip(cuts, cuts[1:])]
+        return out.append_column("hot", pa.array(marks, pa.binary())).append_column("hot_heads", pa.array(sums, pa.int64()))
 
     return batches.select("batch", "blob").mapInArrow(announce, KEYS).groupBy("bucket").applyInArrow(meet, MASKS if most is None else HOT_MASKS)
 
 
 def with_masks(batches: DataFrame, *masks: DataFrame) -> DataFrame:
-    """Batches with the masks that belong to them, as lists of bucket and mask."""
+    """Batches with the masks that belong to them, as lists of bucket, mask and what other columns there are."""
     out = batches.select("batch", "blob")
     for i, mask in enumerate(masks):
-        lists = mask.groupBy("batch").agg(F.collect_list(F.struct("bucket", "mask")).alias(f"masks{i}"))
+        lists = mask.groupBy("batch").agg(F.collect_list(F.struct(*[c for c in mask.columns if c != "batch"])).alias(f"masks{i}"))
         out = out.join(lists.hint("shuffle_hash"), "batch", "left")
     return out
 
 
-def bits_of(masks: list[dict] | None, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The masks of a batch's buckets as marks of its distinct keys."""
+def bits_of(masks: list[dict] | None, keys: np.ndarray, buckets: int, field: str = "mask") -> np.ndarray:
+    """The masks of a batch's buckets as marks of its distinct keys; a mask that is null marks none."""
     cut = blobs.bucket_edges(keys, buckets)
     out = np.zeros(len(keys), bool)
     for m in masks or []:
+        if m[field] is None:
+            continue
         begin, end = int(cut[m["bucket"]]), int(cut[m["bucket"] + 1])
-        out[begin:end] = np.unpackbits(np.frombuffer(m["mask"], np.uint8))[: end - begin].astype(bool)
+        out[begin:end] = np.unpackbits(np.frombuffer(m[field], np.uint8))[: end - begin].astype(bool)
     return out

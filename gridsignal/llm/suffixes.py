@@ -8,7 +8,8 @@ strings of ``length`` bytes have an anchor at the same place, so it is enough to
    binary search give the common extension of two suffixes, and so their order, in logarithmic time. Common extensions to
    the right of the sorted neighbours, with hashes of the bytes to the left, tell which whole strings are equal and which
    document with the smallest id has them. Every equality is verified on the bytes.
-   Anchors of very many rows are not sorted in one piece: each whole string around them meets under its own hash.
+   Anchors that meet with very many different surroundings are not sorted in one piece: each whole string around them
+   meets under its own hash, in the same exchange.
 3. Documents learn which strings a smaller document has, and lose the bytes that these cover.
 
 Copies are folded inside a batch, so that a passage of very many documents arrives once per batch.
@@ -38,7 +39,7 @@ OUTSIDE = 255  # no byte of UTF-8
 CHUNK = 1 << 13
 SORT_ROWS = 1 << 14
 PIECE = 1 << 19
-HOT_ROWS = 1 << 16  # an anchor string with more rows than this is taken apart
+HOT_HEADS = 1 << 16  # an anchor string with more different surroundings than this, counted batch by batch, is taken apart
 HOT_BUCKET_STRINGS = 1 << 20
 
 WEIGHTS = np.array([pow(int(BASE), i + 1, 1 << 64) for i in range(SPAN)], dtype=np.uint64)
@@ -57,22 +58,26 @@ def sliding(values: np.ndarray, width: int, choose: Callable) -> np.ndarray:
     return choose(values[:-rest], values[rest:]) if rest else values
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose string has the smallest hash of some ``LENGTH`` bytes of its text, and hashes of these strings."""
-    places, keys = [], []
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose string has the smallest hash of some ``LENGTH`` bytes of its text, hashes of these strings, and hashes of
+    their surroundings."""
+    places, keys, around = [], [], []
     begin = 0
     while begin < len(offsets) - 1:
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + PIECE, "right")) - 1)
-        at, h = _anchors(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
+        at, h, w = _anchors(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
         places.append(at + offsets[begin])
         keys.append(h)
+        around.append(w)
         begin = end
-    return (np.concatenate(places), np.concatenate(keys)) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return np.concatenate(places), np.concatenate(keys), np.concatenate(around)
 
 
-def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     prefix = prefix_hashes(data)
     _, down = powers(len(data))
     grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: len(data) - GRAM + 1])
@@ -83,8 +88,12 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         least[max(0, edge - LENGTH + 1) : edge] = 0  # runs over the end of a text
     pad = np.zeros(width - 1, np.uint32)
     chosen = np.flatnonzero(sliding(np.concatenate([pad, least, pad]), width, np.maximum) == rank)
+    row = np.searchsorted(offsets, chosen, "right") - 1
+    begin, end = np.maximum(chosen - BEFORE, offsets[row]), np.minimum(chosen + LENGTH, offsets[row + 1])
+    _, down = powers(len(data) + 1)
+    around = mix((prefix[end] - prefix[begin]) * down[begin] + mix(((chosen - begin) * SPAN + end - chosen).astype(np.uint64)))
     # chosen hashes are small ones: mixed again, they fill the buckets evenly
-    return chosen, mix(~grams[chosen])
+    return chosen, mix(~grams[chosen]), around
 
 
 class Batch:
@@ -94,7 +103,7 @@ class Batch:
         self.table = blobs.unseal(blob)
         self.ids = ids_of(self.table[id])
         self.data, self.offsets = text_bytes(self.table[text])
-        self.places, self.keys = anchors(self.data, self.offsets)
+        self.places, self.keys, self.content = anchors(self.data, self.offsets)
         self.keys = cut_keys(self.keys, bits)
         self.row = np.searchsorted(self.offsets, self.places, "right") - 1
 
@@ -108,9 +117,13 @@ class Batch:
         return keys, low < high, number
 
     def key_facts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys ascending, which of them two documents of the batch share, and how many anchors have each."""
+        """Distinct keys ascending, which of them two documents of the batch share, and how many surroundings each has."""
         keys, twice, number = self.distinct_keys()
-        return keys, twice, np.bincount(number, minlength=len(keys))
+        order = np.lexsort((self.content, number))
+        number, content = number[order], self.content[order]
+        new = np.ones(len(number), bool)
+        new[1:] = (number[1:] != number[:-1]) | (content[1:] != content[:-1])
+        return keys, twice, np.bincount(number[new], minlength=len(keys))
 
     def share(self, mask: np.ndarray) -> None:
         """Keep the anchors whose key is marked, ordered by key, surroundings and document, and fold equal surroundings:
@@ -130,12 +143,11 @@ class Batch:
         self.around, self.head = around[order], head
         self.fold = np.cumsum(head) - 1
 
-    def share_cool(self, masks: list[dict] | None, hot: list[dict] | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    def share_cool(self, masks: list[dict] | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """``share`` by the masks of buckets; the heads that do not have a hot key, and those that have."""
         keys, _, _ = self.distinct_keys()
         self.share(bits_of(masks, keys, buckets))
-        heads = np.flatnonzero(self.head)
-        warm = bits_of(hot, keys, buckets)[np.searchsorted(keys, self.keys[heads])] if hot else np.zeros(len(heads), bool)
+        warm = bits_of(masks, keys, buckets, "hot")[np.searchsorted(keys, self.keys[self.head])]
         return np.flatnonzero(~warm), np.flatnonzero(warm)
 
     def strings(self, heads: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -369,59 +381,45 @@ def by_groups(group: np.ndarray, owner: np.ndarray, around: np.ndarray, place: n
 # ---- passes --------------------------------------------------------------------------------------------------------
 
 
-def string_masks(batches: DataFrame, shared: tuple[DataFrame, ...], id: str, text: str, buckets: int, bits: int) -> DataFrame:
-    """``batch, bucket, mask``: for each folded shared anchor of a batch that is not hot, the strings that a smaller
-    document has."""
+def string_masks(batches: DataFrame, shared: DataFrame, id: str, text: str, buckets: int, strings: int, bits: int) -> DataFrame:
+    """``batch, bucket, mask``: which strings around its shared anchors a smaller document of another batch has.
+
+    The first ``buckets`` buckets are those of anchors: their surroundings meet, and the mask has bits for each folded
+    anchor. The ``strings`` buckets after them are those of whole strings around hot anchors, with a mark for each
+    distinct one; a batch sends a string once, so no string has more rows than there are batches.
+    """
 
     def announce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for r in part.to_pylist():
                 batch = Batch(r["blob"], id, text, bits)
-                cool, _ = batch.share_cool(r["masks0"], r.get("masks1"), buckets)
+                cool, warm = batch.share_cool(r["masks0"], buckets)
                 rows_of = np.flatnonzero(batch.head)[cool]
                 keys, owner, around = batch.keys[rows_of], batch.ids[batch.row[rows_of]], batch.around[rows_of]
                 cut = blobs.bucket_edges(keys, buckets).tolist()
                 filled = [b for b in range(buckets) if cut[b] < cut[b + 1]]
                 spans = [slice(cut[b], cut[b + 1]) for b in filled]
                 yield key_rows(filled, r["batch"], [(b"", blobs.pack(owner[s]), blobs.deflate(around[s])) for s in spans])
-
-    def meet(key: tuple, parts: pa.Table) -> pa.Table:
-        owner = [blobs.unpack(e, np.int64) for e in parts["extra"].to_pylist()]
-        around = np.concatenate([blobs.inflate(b, np.uint8).reshape(-1, SPAN) for b in parts["bytes"].to_pylist()])
-        found = resolve(np.concatenate(owner), around)
-        cuts = np.cumsum([0, *map(len, owner)]).tolist()
-        masks = [blobs.deflate(found[a:b]) for a, b in zip(cuts, cuts[1:])]
-        return pa.table({"batch": parts["batch"], "bucket": parts["bucket"], "mask": pa.array(masks, pa.binary())})
-
-    return with_masks(batches, *shared).mapInArrow(announce, KEYS).groupBy("bucket").applyInArrow(meet, MASKS)
-
-
-def hot_masks(batches: DataFrame, shared: tuple[DataFrame, ...], id: str, text: str, buckets: int, bits: int, parts_of: int) -> DataFrame:
-    """``batch, bucket, mask``: which distinct strings around hot anchors of a batch a smaller document of another batch
-    has. A batch sends each string once, so no string has more rows than there are batches."""
-
-    def announce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rows:
-            for r in part.to_pylist():
-                batch = Batch(r["blob"], id, text, bits)
-                _, warm = batch.share_cool(r["masks0"], r["masks1"], buckets)
-                for b, _, _, content, owner, order, head in batch.strings(warm, parts_of):
+                for b, _, _, content, owner, order, head in batch.strings(warm, strings):
                     one = order[head]
-                    yield key_rows([b], r["batch"], [(b"", blobs.pack(owner[one]), blobs.deflate(content[one]))])
+                    yield key_rows([buckets + b], r["batch"], [(b"", blobs.pack(owner[one]), blobs.deflate(content[one]))])
 
     def meet(key: tuple, parts: pa.Table) -> pa.Table:
         owners = [blobs.unpack(e, np.int64) for e in parts["extra"].to_pylist()]
         owner = np.concatenate(owners)
-        content = np.concatenate([blobs.inflate(b, np.uint8).reshape(-1, LENGTH) for b in parts["bytes"].to_pylist()])
-        order, head = fold_equal(np.zeros(len(owner), np.uint64), owner, content)
-        smaller = np.empty(len(owner), bool)
-        smaller[order] = owner[order] > owner[order[head]][np.cumsum(head) - 1]
+        whole = key[0].as_py() >= buckets
+        content = np.concatenate([blobs.inflate(b, np.uint8).reshape(-1, LENGTH if whole else SPAN) for b in parts["bytes"].to_pylist()])
+        if whole:
+            order, head = fold_equal(np.zeros(len(owner), np.uint64), owner, content)
+            found = np.empty(len(owner), bool)
+            found[order] = owner[order] > owner[order[head]][np.cumsum(head) - 1]
+        else:
+            found = resolve(owner, content)
         cuts = np.cumsum([0, *map(len, owners)]).tolist()
-        masks = [np.packbits(smaller[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
+        masks = [np.packbits(found[a:b]).tobytes() if whole else blobs.deflate(found[a:b]) for a, b in zip(cuts, cuts[1:])]
         return pa.table({"batch": parts["batch"], "bucket": parts["bucket"], "mask": pa.array(masks, pa.binary())})
 
-    hot_only = with_masks(batches, *shared).where("masks1 IS NOT NULL")
-    return hot_only.mapInArrow(announce, KEYS).groupBy("bucket").applyInArrow(meet, MASKS)
+    return with_masks(batches, shared).mapInArrow(announce, KEYS).groupBy("bucket").applyInArrow(meet, MASKS)
 
 
 def removals(docs: DataFrame, id: str, text: str, finish: Callable[[Batch, np.ndarray], pa.RecordBatch], schema) -> DataFrame:
@@ -429,37 +427,33 @@ def removals(docs: DataFrame, id: str, text: str, finish: Callable[[Batch, np.nd
     batches = blobs.write_batches(docs, text)
     raw = batches.agg(F.sum("raw")).first()[0] or 0
     buckets, bits = blobs.bucket_count(batches), key_bits(raw)
-    known = blobs.settle(shared_masks(batches, lambda blob: Batch(blob, id, text, bits).key_facts(), buckets, HOT_ROWS))
-    hot_rows = known.agg(F.sum("hot_rows")).first()[0] or 0
-    shared: tuple[DataFrame, ...] = (known.select("batch", "bucket", "mask"),)
-    parts_of = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hot_rows * (BEFORE + 1) // HOT_BUCKET_STRINGS))
-    if hot_rows:
-        shared += (known.where("hot IS NOT NULL").select("batch", "bucket", F.col("hot").alias("mask")),)
-    found = (string_masks(batches, shared, id, text, buckets, bits),)
-    if hot_rows:
-        found += (hot_masks(batches, shared, id, text, buckets, bits, parts_of),)
+    known = blobs.settle(shared_masks(batches, lambda blob: Batch(blob, id, text, bits).key_facts(), buckets, HOT_HEADS))
+    hot_heads = known.agg(F.sum("hot_heads")).first()[0] or 0
+    strings = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hot_heads * (BEFORE + 1) // HOT_BUCKET_STRINGS))
+    shared = known.select("batch", "bucket", "mask", "hot")
+    found = string_masks(batches, shared, id, text, buckets, strings, bits)
 
     def apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for r in part.to_pylist():
                 batch = Batch(r["blob"], id, text, bits)
-                hot, cold, parted = (r["masks1"], r["masks2"], r["masks3"]) if hot_rows else (None, r["masks1"], None)
-                cool, warm = batch.share_cool(r["masks0"], hot, buckets)
+                cool, warm = batch.share_cool(r["masks0"], buckets)
                 heads = batch.keys[batch.head]
                 cut = blobs.bucket_edges(heads[cool], buckets)
                 strings_of = np.zeros(len(heads), np.uint32)
-                for m in cold or []:
-                    strings_of[cool[int(cut[m["bucket"]]) : int(cut[m["bucket"] + 1])]] = blobs.inflate(m["mask"], np.uint32)
-                marks = {m["bucket"]: m["mask"] for m in parted or []}
-                for b, head_of, distance, _, owner, order, head in batch.strings(warm, parts_of):
+                marks = {m["bucket"]: m["mask"] for m in r["masks1"] or []}
+                for b, m in marks.items():
+                    if b < buckets:
+                        strings_of[cool[int(cut[b]) : int(cut[b + 1])]] = blobs.inflate(m, np.uint32)
+                for b, head_of, distance, _, owner, order, head in batch.strings(warm, strings):
                     group = np.cumsum(head) - 1
                     least = owner[order[head]][group]
-                    smaller = np.unpackbits(np.frombuffer(marks[b], np.uint8))[: int(head.sum())].astype(bool)[group] | (owner[order] > least)
+                    smaller = np.unpackbits(np.frombuffer(marks[buckets + b], np.uint8))[: int(head.sum())].astype(bool)[group] | (owner[order] > least)
                     some = order[smaller]
                     np.bitwise_or.at(strings_of, head_of[some], np.uint32(1) << distance[some].astype(np.uint32))
                 yield finish(batch, batch.covered(strings_of))
 
-    return with_masks(batches, *shared, *found).mapInArrow(apply, schema)
+    return with_masks(batches, shared, found).mapInArrow(apply, schema)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -105,7 +105,7 @@ def test_hot_anchors_are_taken_apart(spark, small_batches, monkeypatch, most):
         return plain(owner, around)
 
     monkeypatch.setattr(suffixes, "resolve", bounded)
-    monkeypatch.setattr(suffixes, "HOT_ROWS", most)
+    monkeypatch.setattr(suffixes, "HOT_HEADS", most)
     got = sorted((tuple(r) for r in run(spark, rows, suffixes.dedup_digest).collect()), key=str)
     assert got == brute_digest(rows)
 
