@@ -23,7 +23,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsignal.llm import blobs
@@ -42,7 +42,7 @@ FLUSH_KEYS = 1 << 20
 BUCKET_BYTES = 40 << 20
 LEAST_BUCKETS = 128  # about the ranges of a text: more buckets do not repeat a pair more often
 
-META = "doc_id long, n long, h1 long, h2 long, text string"
+META = "doc_id long, n long, h1 long, h2 long, text string, id long"
 SIGNATURES = "bucket int, keys binary, docs binary"
 
 
@@ -285,16 +285,26 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, words: int
     return tasks.mapInArrow(link, "u long, v long")
 
 
-def set_facts(docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """``doc_id, n, h1, h2, text``, settled: the size of every document's set and two sums of hashes that stand for its
-    content. The text is kept where other documents have enough of the set's shingles for a link."""
-    batches = blobs.write_batches(docs.select("doc_id", "text"))
+def row_numbers(batch: int, rows: int) -> np.ndarray:
+    """Numbers of a batch's rows that no other row has: the task that wrote the batch, the batch in it, and the row."""
+    return (((batch >> 32) << 40) | ((batch & 0x3FFFFF) << 18)) + np.arange(rows, dtype=np.int64)
+
+
+def batch_of(number: Column) -> Column:
+    """The batch of a ``row_numbers`` number."""
+    return F.shiftleft(F.shiftright(number, 40), 32).bitwiseOR(F.shiftright(number, 18).bitwiseAND(F.lit(0x3FFFFF).cast("long")))
+
+
+def set_facts(batches: DataFrame, percent: int, words: int, id: str = "doc_id", text: str = "text", by_row: bool = False) -> DataFrame:
+    """``doc_id, n, h1, h2, text, id``, settled: the size of every document's set and two sums of hashes that stand for its
+    content. The text is kept where other documents have enough of the set's shingles for a link. ``doc_id`` is the id, or
+    with ``by_row`` a number of the row, which no other row has."""
     raw = batches.agg(F.sum("raw")).first()[0] or 0
     buckets, bits = blobs.bucket_count(batches), key_bits(raw)
 
     def opened(blob: bytes) -> tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray]:
         table = blobs.unseal(blob)
-        sets = sets_of(table, 1, words)
+        sets = sets_of(table, table.schema.get_field_index(text), words)
         keys = cut_keys(mix(np.concatenate([*sets, np.zeros(0, np.uint64)])), bits)
         return table, sets, *np.unique(keys, return_inverse=True)
 
@@ -311,10 +321,12 @@ def set_facts(docs: DataFrame, percent: int, words: int) -> DataFrame:
                 ends = np.cumsum(sizes)
                 enough = (sizes > 0) & (100 * (shared[ends] - shared[ends - sizes]) >= percent * sizes)
                 total = lambda salt: [int(np.sum(mix(s ^ np.uint64(salt)), dtype=np.uint64).astype(np.int64)) for s in sets]  # noqa: B023, E731
-                kept = pc.if_else(pa.array(enough), table["text"].combine_chunks(), pa.scalar(None, pa.string()))
+                kept = pc.if_else(pa.array(enough), pc.cast(table[text].combine_chunks(), pa.string()), pa.scalar(None, pa.string()))
+                ids = pc.cast(table[id].combine_chunks(), pa.int64())
+                node = pa.array(row_numbers(r["batch"], len(sizes))) if by_row else ids
                 yield pa.RecordBatch.from_arrays(
-                    [pc.cast(table["doc_id"].combine_chunks(), pa.int64()), pa.array(sizes), pa.array(total(0x1234567), pa.int64()), pa.array(total(0x89ABCDE), pa.int64()), kept],
-                    names=["doc_id", "n", "h1", "h2", "text"],
+                    [node, pa.array(sizes), pa.array(total(0x1234567), pa.int64()), pa.array(total(0x89ABCDE), pa.int64()), kept, ids],
+                    names=["doc_id", "n", "h1", "h2", "text", "id"],
                 )
 
     return settle(with_masks(batches, shared_masks(batches, keys_of, buckets)).mapInArrow(run, META))
@@ -327,8 +339,13 @@ def join_components(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     an id has neither component nor links. ``doc_id`` names a document: rows that repeat an id repeat its text. No
     documents give no rows. Other columns are ignored.
     """
-    given = texts_of(docs, id, text)
-    facts = set_facts(given, percent, words)
+    facts = set_facts(blobs.write_batches(texts_of(docs, id, text)), percent, words)
+    placed = with_components(facts.drop("id"), percent, words)
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def with_components(facts: DataFrame, percent: int, words: int) -> DataFrame:
+    """The rows of ``facts`` (less ``text``) with their ``component``, the smallest ``doc_id`` reachable by links."""
     known = facts.where("n > 0 AND doc_id IS NOT NULL")
     first = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = settle(known.join(first, ["h1", "h2", "n"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "first").distinct())
@@ -341,12 +358,23 @@ def join_components(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     )
     found = components(verified_links(likely, settle(members), percent, words))
     sure = facts.drop("text").join(copies, "doc_id", "left").withColumn("node", F.coalesce("first", "doc_id"))
-    placed = sure.join(found, "node", "left")
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    return sure.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node", "first")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """The documents with the smallest id of their component, with all their columns; rows without an id stay."""
-    placed = join_components(docs, id, text, percent, words)
-    others = placed.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id)).distinct()
-    return docs.join(others.hint("shuffle_merge"), id, "left_anti").select(*docs.columns)
+    """One document of each component, with all its columns: that with the smallest id, or any where none has one.
+
+    Every row is a document of its own: of rows that repeat id and text one stays, and a text whose id another text has, too,
+    goes only if it is a copy itself. Texts without words are no copies of each other and all stay.
+    """
+    batches = blobs.write_batches(docs, text)
+    placed = with_components(set_facts(batches, percent, words, id, text, by_row=True), percent, words)
+    best = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id"))["doc_id"].alias("number"))
+    chosen = best.groupBy(batch_of(F.col("number")).alias("batch")).agg(F.collect_list(F.col("number").bitwiseAND(F.lit((1 << 18) - 1).cast("long"))).alias("rows"))
+
+    def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for r in part.to_pylist():
+                yield from blobs.unseal(r["blob"]).take(pa.array(sorted(r["rows"]), pa.int64())).combine_chunks().to_batches()
+
+    return batches.select("batch", "blob").join(chosen.hint("shuffle_hash"), "batch").select("blob", "rows").mapInArrow(pick, docs.schema)

@@ -108,12 +108,38 @@ def test_odd_rows(spark):
     assert jaccard.join_components(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_keep_one_keeps_columns_and_rows_without_id(spark):
-    text = "one two three four five six"
-    rows = [(5, text, "a", "b", 1), (3, text, "c", "d", 2), (None, text, "e", "f", 3), (6, None, "g", "h", 4)]
-    got = jaccard.keep_one(spark.createDataFrame(rows, SCHEMA))
+def test_keep_one_keeps_columns_and_one_row_of_each_text(spark):
+    text, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [
+        (5, text, "a", "b", 1), (3, text, "c", "d", 2), (None, text, "e", "f", 3), (6, None, "g", "h", 4), (7, None, "g", "h", 4), (8, "", "i", "j", 5), (8, "", "i", "j", 5),
+        (5, other, "k", "l", 6), (9, other + " more words", "m", "n", 7), (9, other + " more words", "m", "n", 7),
+        (None, "no id but words enough for a set", "o", "p", 8), (None, "no id but words enough for a set", "o", "p", 8),
+    ]
+    got = jaccard.keep_one(spark.createDataFrame(rows, SCHEMA).repartition(3))
     assert got.columns == ["doc_id", "text", "n_shingles", "family", "u"]
-    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(rows[1:], key=str)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([rows[1], *rows[3:8], rows[8], rows[10]], key=str)
+    assert jaccard.keep_one(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_keep_one_keeps_a_document_of_each_component(spark):
+    rows = corpus(21, 50, 8, 40, 4)
+    chance = random.Random(4)
+    # ids that stand on several texts: rows are told apart by their place
+    docs = [(chance.choice([i, i % 11, None]), t, str(k), "", k) for k, (i, t) in enumerate(rows)]
+    component = {k: c for k, (_, c) in brute([(k, t) for k, (_, t) in enumerate(rows)]).items()}
+    got = [r["u"] for r in jaccard.keep_one(spark.createDataFrame(docs, SCHEMA).repartition(4)).collect()]
+    assert sorted(component[k] for k in got) == sorted(set(component.values()))
+    for k in got:
+        same = [docs[j][0] for j in component if component[j] == component[k] and docs[j][0] is not None]
+        assert docs[k][0] == min(same, default=None)
+
+
+def test_numbers_of_rows_name_their_batch(spark):
+    batches = [0, 1, 5, (3 << 32) + 7, (9000 << 32) + (1 << 20)]
+    numbers = [int(n) for b in batches for n in jaccard.row_numbers(b, 3)]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    assert [r[0] for r in df.select(jaccard.batch_of(jaccard.F.col("n"))).collect()] == [b for b in batches for _ in range(3)]
+    assert len(set(numbers)) == len(numbers)
 
 
 @pytest.mark.parametrize("percent", [50, 80, 85, 100])
