@@ -44,6 +44,7 @@ BLOCKS = SPACED | names(
 TABLE_PARTS = names("table thead tbody tfoot tr")
 TABLE_TAGS = names("caption colgroup col thead tbody tfoot tr td th script style template")
 WALL = names("html table td th caption template button object marquee applet")
+HEADINGS = names("h1 h2 h3 h4 h5 h6")
 CLOSES_P = BLOCKS - names("body html td th tr thead tbody tfoot caption option optgroup legend")
 # of a drawing, only the text elements and the pages inside it show text
 UNDRAWN = names("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter")
@@ -52,6 +53,8 @@ LEAVES_SVG = names(
     "pre ruby s small span strong strike sub sup table tt u ul var"
 )
 HOLDS_PAGE = names("foreignobject desc title")
+TABLE, SVG, LISTS = names("table"), names("svg"), names("ul ol menu dir")
+BLOCKS_OR_WALL, PAGE_AGAIN = BLOCKS | WALL, HOLDS_PAGE | LEAVES_SVG
 OUTSIDE, DRAWING, DRAWN_TEXT = range(3)
 RELEVANT = re.compile(r"hidden|display|visibility|style|colspan|rowspan|start|value|open|reversed", re.I)
 
@@ -72,18 +75,51 @@ def attributes(text: str) -> dict[str, str]:
     return found
 
 
+class Path:
+    """Open elements from the root to the one that takes what comes next, with the places of each tag and of all walls."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+        self.groups = [(tags, []) for tags in (WALL, BLOCKS_OR_WALL, PAGE_AGAIN)]
+
+    def push(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        for tags, held in self.groups:
+            if node.tag in tags:
+                held.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.nodes) > at:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            for tags, held in self.groups:
+                if node.tag in tags:
+                    held.pop()
+
+    def last(self, tags: frozenset[str]) -> int:
+        """The place of the innermost open element called one of ``tags``, 0 for none but the root."""
+        for known, held in self.groups:
+            if known is tags:
+                return held[-1] if held else 0
+        return max((held[-1] for t in tags if (held := self.places.get(t))), default=0)
+
+
 class Builder:
-    """Tree of a page. ``opened`` is the path to the element that takes what comes next."""
+    """Tree of a page. Every tag finds its partner by the places of open elements, so the work is linear in the page."""
 
     def __init__(self) -> None:
         self.root = Node("html", {})
-        self.opened = [self.root]
-        self.drawings = False
+        self.path = Path(self.root)
+        self.opened = self.path.nodes
 
     def text(self, text: str) -> None:
         here = self.opened[-1]
         if here.tag == "head" and text.strip():
-            self.opened.pop()
+            self.path.cut(len(self.opened) - 1)
             here = self.opened[-1]
         if here.tag in TABLE_PARTS and text.strip():
             self.before_table(text)
@@ -92,70 +128,60 @@ class Builder:
 
     def before_table(self, child: Node | str) -> None:
         """What a table cannot hold stands before it."""
-        at = max(i for i, n in enumerate(self.opened) if n.tag == "table") if any(n.tag == "table" for n in self.opened) else 0
+        at = self.path.last(TABLE)
         parent = self.opened[at - 1] if at else self.opened[0]
         parent.children.insert(len(parent.children) - 1 if at else len(parent.children), child)
 
-    def close(self, tags: frozenset[str], wall: frozenset[str]) -> bool:
-        """Close the innermost open element called one of ``tags``, unless a ``wall`` stands before it."""
-        for i in range(len(self.opened) - 1, 0, -1):
-            tag = self.opened[i].tag
-            if tag in tags:
-                del self.opened[i:]
-                return True
-            if tag in wall:
-                return False
-        return False
+    def close(self, tags: frozenset[str], *walls: frozenset[str]) -> bool:
+        """Close the innermost open element called one of ``tags``, unless one of ``walls`` stands before it."""
+        at = self.path.last(tags)
+        if not at or any(self.path.last(wall) > at for wall in walls):
+            return False
+        self.path.cut(at)
+        return True
 
     def close_to(self, tags: frozenset[str]) -> None:
-        while len(self.opened) > 1 and self.opened[-1].tag not in tags:
-            self.opened.pop()
+        self.path.cut(max(1, self.path.last(tags) + 1))
 
     def drawing(self) -> int:
         """The place of the open drawing that takes what comes next, or 0."""
-        for i in range(len(self.opened) - 1, 0, -1) if self.drawings else ():
-            tag = self.opened[i].tag
-            if tag == "svg":
-                return i
-            if tag in HOLDS_PAGE or tag in LEAVES_SVG:
-                break
-        return 0
+        at = self.path.last(SVG)
+        return at if at and self.path.last(PAGE_AGAIN) < at else 0
 
     def start(self, tag: str, text: str) -> None:
         inside = self.drawing()
         if inside and tag in LEAVES_SVG:
-            del self.opened[inside:]
+            self.path.cut(inside)
             inside = 0
-        self.drawings = self.drawings or tag == "svg"
         if tag in ("html", "body"):
             self.close(names("head"), names("body"))
             if tag == "html" or any(n.tag == "body" for n in self.opened[:3]):
                 return
         if self.opened[-1].tag == "head" and tag not in HEAD_PARTS:
-            self.opened.pop()
+            self.path.cut(len(self.opened) - 1)
         if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup", "col"):
-            if not any(n.tag == "table" for n in reversed(self.opened)):
+            if not self.path.last(TABLE):
                 return
             self.table_part(tag)
         elif tag == "li":
-            self.close(names("li"), WALL | names("ul ol menu dir"))
+            self.close(names("li"), WALL, LISTS)
         elif tag in ("dt", "dd"):
-            self.close(names("dt dd"), WALL | names("dl"))
+            self.close(names("dt dd"), WALL, names("dl"))
         elif tag in ("option", "optgroup"):
-            self.close(names("option"), WALL | names("select optgroup"))
+            self.close(names("option"), WALL, names("select optgroup"))
             if tag == "optgroup":
-                self.close(names("optgroup"), WALL | names("select"))
+                self.close(names("optgroup"), WALL, names("select"))
         if tag in CLOSES_P:
             self.close(names("p"), WALL)
-            if tag[0] == "h" and tag[1:].isdigit() and self.opened[-1].tag[0] == "h" and self.opened[-1].tag[1:].isdigit():
-                self.opened.pop()
+            if tag in HEADINGS and self.opened[-1].tag in HEADINGS:
+                self.path.cut(len(self.opened) - 1)
         node = Node(tag, attributes(text))
         if self.opened[-1].tag in TABLE_PARTS and tag not in TABLE_TAGS:
             self.before_table(node)
         else:
             self.opened[-1].children.append(node)
         if tag not in VOID and not ((inside or tag == "svg") and CLOSED.search(text)):
-            self.opened.append(node)
+            self.path.push(node)
 
     def table_part(self, tag: str) -> None:
         if tag in ("td", "th"):
@@ -163,7 +189,7 @@ class Builder:
             if self.opened[-1].tag != "tr":
                 row = Node("tr", {})
                 self.opened[-1].children.append(row)
-                self.opened.append(row)
+                self.path.push(row)
         elif tag == "tr":
             self.close_to(names("table thead tbody tfoot"))
         else:
@@ -175,15 +201,15 @@ class Builder:
         if tag == "br":
             self.start("br", "")
         elif tag in TABLE_TAGS or tag == "table":
-            self.close(frozenset((tag,)), names("table") if tag != "table" else frozenset())
+            self.close(frozenset((tag,)), TABLE if tag != "table" else frozenset())
         elif tag in BLOCKS or tag in WALL:
-            if tag[0] == "h" and tag[1:].isdigit():
-                self.close(names("h1 h2 h3 h4 h5 h6"), WALL)
-            elif not self.close(frozenset((tag,)), WALL - {tag} | (names("ul ol menu dir") if tag == "li" else frozenset())) and tag == "p":
+            if tag in HEADINGS:
+                self.close(HEADINGS, WALL)
+            elif not self.close(frozenset((tag,)), WALL, LISTS if tag == "li" else frozenset()) and tag == "p":
                 self.start("p", "")
-                self.opened.pop()
+                self.path.cut(len(self.opened) - 1)
         else:
-            self.close(frozenset((tag,)), BLOCKS | WALL)
+            self.close(frozenset((tag,)), BLOCKS_OR_WALL)
 
 
 def build(page: str) -> Node:
@@ -220,7 +246,7 @@ def build(page: str) -> Node:
             end = size if end < 0 else end
             inner = page[at:end]
             tree.opened[-1].children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
-            tree.opened.pop()
+            tree.path.cut(len(tree.opened) - 1)
             close = page.find(">", end)
             at = size if close < 0 else close + 1
     return tree.root

@@ -1,5 +1,7 @@
 """Text of small pages, as a reader would expect it."""
 
+import time
+
 import pytest
 
 from gridsignal.llm.htmltext import extract, visible_text
@@ -56,6 +58,14 @@ def test_depth_and_length_are_not_limited():
     assert len(visible_text("<p>word " * 50000).split()) == 50000
 
 
+@pytest.mark.parametrize("part", ["<b></i>", "<svg><g><g>", "<div><td>", "<b><p></b>", "<li><b></ul>", "<table><i></b>"])
+def test_many_open_elements_take_linear_time(part):
+    """Tags that find no partner do not look through all that is open."""
+    started = time.process_time()
+    visible_text(part * (1_000_000 // len(part)) + "x")
+    assert time.process_time() - started < 30
+
+
 def test_extract_keeps_every_row(spark):
     rows = [(1, "u", "<p>a", "t"), (None, "u", "<p>b", "t"), (2, "u", None, None), (1, "u", "<p>a", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
