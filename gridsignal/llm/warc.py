@@ -25,6 +25,8 @@ from gridsignal.session import settle, shared_path
 FILE_BYTES = 256 << 20
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+TASK_BYTES = 16 << 20  # of archives, compressed, for one reading task
+TASK_RECORDS = 1000  # no more tasks than this gives, where archives are small
 REVISIT_BYTES = 1000
 
 INDEX = (
@@ -188,4 +190,8 @@ def read_records(index: DataFrame, keep_payload: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(found, RECORD_SCHEMA)
 
     chosen = index.select("path", "offset", "length")
-    return chosen.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset").mapInArrow(read, RECORD)
+    facts = chosen.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("records")).first()
+    # an index is small beside its archives: they, not its own size, say how many tasks read
+    least = min(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-facts.records // TASK_RECORDS))
+    tasks = max(1, least, -(-facts.bytes // TASK_BYTES))
+    return chosen.repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset").mapInArrow(read, RECORD)

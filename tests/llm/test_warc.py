@@ -44,6 +44,20 @@ def test_selected_records_only(spark):
     assert sorted(r["page_id"] for r in got.collect()) == list(range(0, 60, 7))
 
 
+def test_archives_are_read_by_as_many_tasks_as_they_need(spark, monkeypatch):
+    index = write(spark, [(i, "u", f"page {i} " * 500) for i in range(60)])
+    monkeypatch.setattr(warc, "TASK_BYTES", index.agg(F.sum("length")).first()[0] // 6)
+    tasks = warc.read_records(index).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert 5 <= tasks <= 7
+
+
+def test_a_very_long_payload(spark):
+    long = "é<p>x" * 3_000_000
+    got = {r["page_id"]: r for r in warc.read_records(write(spark, [(1, "u", long), (2, "u", long), (3, "u", "short")])).collect()}
+    assert got[2]["payload"].decode() == long and got[1]["refers_to"] == 2
+    assert got[1]["payload_digest"] == hashlib.sha1(long.encode()).hexdigest()
+
+
 def test_ranges_join_near_records_only():
     rows = [{"path": p, "offset": o, "length": 10} for p, o in (("a", 0), ("a", 10), ("a", 25), ("a", 500), ("b", 510))]
     joined = [(p, b, e, len(r)) for p, b, e, r in warc.ranges(rows, gap=20, most=1000)]
