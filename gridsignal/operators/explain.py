@@ -1,75 +1,184 @@
-"""Shapley attributions for tree ensembles, and their summaries."""
+"""Shapley attributions for tree ensembles, and their summaries.
+
+Per leaf the value of a set of known features is a product over the features of its path: one factor where the row (or the
+background) is inside the leaf's bounds. A feature's attribution is a weighted sum of such products over all sets, which is
+an integral of one product over a line from "all unknown" to "all known". It is a polynomial, so a Gauss-Legendre rule with
+half as many nodes as the path has features gives it exactly; against background rows it has a closed form.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import partial
+from collections.abc import Iterator, Sequence
+from functools import lru_cache, partial
 from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsignal.operators.models import SMALL_FOREST_TREES, side_by_side, train_forest, union_all
 from gridsignal.operators.resample import FOLDS
 from gridsignal.session import settle, shared_path
 
-MAX_NODES = 2_000_000  # nodes of a model that is sent to the tasks
+PART_NODES = 1 << 20  # nodes of the trees that are sent to the tasks together, about 40 MB; a larger tree goes alone
+BLOCK_CELLS = 1 << 18  # rows x leaves x path features that are worked on together
+ROWS = 256
 
 # Background rows of the sampled explainer, features shown in the stability plot.
 BACKGROUND_ROWS = 100
 TOP_FEATURES = 20
 
+Tree = dict[str, np.ndarray]
+Leaves = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+# ---- trees ---------------------------------------------------------------------------------------------------------
 
-def leaf_table(spark, model) -> pd.DataFrame:
-    """Every leaf of the ensemble with its path, from the stored node table: one row per leaf.
 
-    ``value`` is the leaf's part of the model output: probability of class 1 for a forest, log-odds for boosted trees.
-    ``features``, ``low`` and ``high`` hold the box of the leaf, ``share`` the part of the training rows that follow
-    the path when a feature is unknown. The model itself lives on the driver, so does this table.
+def tree_parts(spark: SparkSession, model) -> Iterator[list[Tree]]:
+    """The trees of an ensemble as node arrays, some whole trees of about ``PART_NODES`` nodes at a time.
+
+    ``value`` is a node's part of the model output: probability of class 1 for a forest, log-odds for boosted trees.
     """
-    if model.totalNumNodes > MAX_NODES:
-        raise ValueError(f"{model.totalNumNodes} nodes are more than the {MAX_NODES} sent to the tasks")
     path = shared_path(spark, "model")
     model.write().save(path)
-    fields = ["id", "prediction", "impurityStats", "rawCount", "leftChild", "rightChild"]
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", *[f"nodeData.{f}" for f in fields],
-        "nodeData.split.featureIndex", F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"),
-    ).toPandas()
     boosted = "GBT" in type(model).__name__
     weights = list(model.treeWeights)
     scale = [2.0 * w if boosted else 1.0 / len(weights) for w in weights]
-    leaves = []
-    for tree, rows in nodes.groupby("treeID"):
-        by_id = {r.id: r for r in rows.itertuples(index=False)}
-        stack = [(0, {})]
-        while stack:
-            node_id, box = stack.pop()
-            node = by_id[node_id]
-            if node.leftChild < 0:
-                stats = np.asarray(node.impurityStats, dtype="float64")
-                raw = node.prediction if boosted else stats[1] / stats.sum()
-                leaves.append((scale[tree] * raw, *map(list, zip(*[(f, *b) for f, b in sorted(box.items())]))) if box
-                              else (scale[tree] * raw, [], [], [], []))
-                continue
-            feature, cut = node.featureIndex, node.cut
-            low, high, share = box.get(feature, (-np.inf, np.inf, 1.0))
-            for child, bounds in ((node.leftChild, (low, min(high, cut))), (node.rightChild, (max(low, cut), high))):
-                part = by_id[child].rawCount / node.rawCount
-                stack.append((child, {**box, feature: (*bounds, share * part)}))
-    return pd.DataFrame(leaves, columns=["value", "features", "low", "high", "share"])
-
-
-def _grouped(leaves: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
-    """Leaves with the same number of path features as dense arrays."""
-    groups = []
-    for d, rows in leaves.groupby(leaves.features.map(len)):
-        stack = lambda c, t: np.array(rows[c].tolist(), dtype=t).reshape(len(rows), d)
-        groups.append((rows.value.to_numpy(dtype="float64"), stack("features", "int64"), stack("low", "float64"),
-                       stack("high", "float64"), stack("share", "float64")))
-    return groups
+    stats = F.col("nodeData.impurityStats")
+    value = F.col("nodeData.prediction") if boosted else stats[1] / F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
+    nodes = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), "nodeData.id", value.alias("value"), F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+        F.col("nodeData.rawCount").cast("double").alias("count"), F.col("nodeData.split.featureIndex").alias("feature"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"),
+    )
+    sizes = [tree.numNodes for tree in model.trees]
+    begin = 0
+    while begin < len(sizes):
+        end = begin + 1
+        while end < len(sizes) and sum(sizes[begin : end + 1]) <= PART_NODES:
+            end += 1
+        rows = nodes.where(F.col("tree").between(begin, end - 1)).toPandas().sort_values(["tree", "id"])
+        # nodes are numbered from 0 in each tree
+        yield [{c: t[c].fillna(0).to_numpy() for c in ("left", "right", "count", "feature", "cut")} | {"value": scale[i] * t["value"].to_numpy()} for i, t in rows.groupby("tree")]
+        begin = end
+
+
+def leaves_of(tree: Tree) -> list[Leaves]:
+    """Leaves of a tree by the number of features on their path: values, and for each feature its number, the bounds of the
+    leaf and the share of the training rows that follow the path when the feature is unknown."""
+    at = np.zeros(1, np.int64)
+    feature, low, high, share = np.full((1, 0), -1), np.zeros((1, 0)), np.zeros((1, 0)), np.zeros((1, 0))
+    done = []
+    while len(at):
+        ends = tree["left"][at] < 0
+        known = (feature >= 0).sum(axis=1)
+        for d in np.unique(known[ends]):
+            rows = ends & (known == d)
+            done.append((tree["value"][at[rows]], *(a[rows, :d] for a in (feature, low, high, share))))
+        inner = np.flatnonzero(~ends)
+        # a column more, for a feature that the path has not met; features fill the columns from the left
+        add = lambda a, fill: np.column_stack([a[inner], np.full(len(inner), fill)])
+        feature, low, high, share, at = add(feature, -1), add(low, -np.inf), add(high, np.inf), add(share, 1.0), at[inner]
+        met, cut, every = tree["feature"][at].astype(np.int64), tree["cut"][at], np.arange(len(at))
+        same = feature == met[:, None]
+        slot = np.where(same.any(axis=1), same.argmax(axis=1), (feature >= 0).sum(axis=1))
+        feature[every, slot] = met
+        sides = []
+        for child, bounds, tighten in ((tree["left"][at], high, np.minimum), (tree["right"][at], low, np.maximum)):
+            of, part = bounds.copy(), share.copy()
+            of[every, slot] = tighten(bounds[every, slot], cut)
+            part[every, slot] *= tree["count"][child] / tree["count"][at]
+            sides.append((child.astype(np.int64), *((low, of) if bounds is high else (of, high)), part))
+        at, low, high, share = (np.concatenate([x, y]) for x, y in zip(*sides))
+        feature = np.concatenate([feature, feature])
+    by_size: dict[int, list[Leaves]] = {}
+    for leaves in done:
+        by_size.setdefault(leaves[1].shape[1], []).append(leaves)
+    return [tuple(np.concatenate(c) for c in zip(*group)) for group in by_size.values()]
+
+
+# ---- attributions of some rows -------------------------------------------------------------------------------------
+
+
+def inside(x: np.ndarray, leaves: Leaves) -> np.ndarray:
+    """Whether rows are inside the bounds of each path feature: leaves x rows x features, as numbers."""
+    _, feature, low, high, _ = leaves
+    v = x.T[feature].transpose(0, 2, 1)
+    return ((v > low[:, None, :]) & (v <= high[:, None, :])).astype(np.float64)
+
+
+def by_shares(o: np.ndarray, leaves: Leaves) -> tuple[np.ndarray, float]:
+    """Attributions (leaves x rows x features) and expected output where unknown features follow the training shares.
+
+    The product over all path features at a point ``t`` of the line is a matrix product of logarithms; divided by the
+    feature's own factor and summed over the nodes of the rule, it gives one number for inside and one for outside.
+    """
+    value, share = leaves[0], leaves[4]
+    node, weight = np.polynomial.legendre.leggauss((share.shape[1] + 1) // 2)
+    t, weight = (node + 1) / 2, weight / 2
+    out = share[:, :, None] * (1 - t)  # factor outside the bounds: leaves x features x nodes
+    within = out + t
+    product = np.exp(o @ (np.log(within) - np.log(out)) + np.log(out).sum(axis=1)[:, None, :])
+    product *= value[:, None, None] * weight
+    gain = product @ ((1 - share)[:, :, None] / within).transpose(0, 2, 1)
+    loss = product @ (share[:, :, None] / out).transpose(0, 2, 1)
+    return np.where(o > 0, gain, -loss), float(share.prod(axis=1) @ value)
+
+
+@lru_cache
+def line_weights(d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Integrals over the line for ``p`` features that only the row and ``q`` that only the background has inside: for one of
+    the ``p``, and for one of the ``q``."""
+    own, other = np.zeros((d + 1, d + 1)), np.zeros((d + 1, d + 1))
+    for p in range(d + 1):
+        for q in range(d + 1 - p):
+            if p:
+                own[p, q] = factorial(p - 1) * factorial(q) / factorial(p + q)
+            if q:
+                other[p, q] = factorial(p) * factorial(q - 1) / factorial(p + q)
+    return own, other
+
+
+def by_background(o: np.ndarray, z: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, float]:
+    """Attributions and expected output where unknown features take the values of background rows (``z`` like ``o``)."""
+    d = o.shape[2]
+    both = o @ z.transpose(0, 2, 1)  # leaves x rows x background rows
+    p, q = o.sum(axis=2)[:, :, None] - both, z.sum(axis=2)[:, None, :] - both
+    # a feature that neither has inside leaves nothing of the product
+    met = p + q + both == d
+    own, other = line_weights(d)
+    p, q = p.astype(np.int64), q.astype(np.int64)
+    gain = np.where(met, own[p, q], 0.0) @ (1 - z)
+    loss = np.where(met, other[p, q], 0.0) @ z
+    scale = value[:, None, None] / z.shape[1]
+    return np.where(o > 0, gain, -loss) * scale, float(z.prod(axis=2).mean(axis=1) @ value)
+
+
+def attribute(x: np.ndarray, tree: list[Leaves], width: int, background: np.ndarray | None) -> tuple[np.ndarray, float, np.ndarray]:
+    """Attributions by row and feature, expected output, and output by row of one tree."""
+    phi, base, output = np.zeros((len(x), width)), 0.0, np.zeros(len(x))
+    for leaves in tree:
+        d = leaves[1].shape[1]
+        if d == 0:
+            base, output = base + leaves[0].sum(), output + leaves[0].sum()
+            continue
+        step = max(1, BLOCK_CELLS // (len(x) * max(d, 0 if background is None else len(background))))
+        for i in range(0, len(leaves[0]), step):
+            some = tuple(a[i : i + step] for a in leaves)
+            o = inside(x, some)
+            output += some[0] @ o.prod(axis=2)
+            part, expected = by_shares(o, some) if background is None else by_background(o, inside(background, some), some[0])
+            base += expected
+            # add up the leaves' parts feature by feature
+            names = some[1].ravel()
+            order = np.argsort(names, kind="stable")
+            first = np.flatnonzero(np.append(True, names[order][1:] != names[order][:-1]))
+            lines = part.transpose(0, 2, 1).reshape(len(names), len(x))[order]
+            phi[:, names[order][first]] += np.add.reduceat(lines, first, axis=0).T
+    return phi, base, output
 
 
 def tree_shap(
@@ -77,68 +186,42 @@ def tree_shap(
 ) -> DataFrame:
     """Exact Shapley values of each row: ``(row_id, base, output, phi ARRAY<DOUBLE>)``, ``base + sum(phi) = output``.
 
-    Without ``background`` unknown features follow the training shares of the tree; with it (a few rows) they take the
-    values of the background rows, averaged. Per leaf the value of a feature set is a product over the path features,
-    so the Shapley sum is read off the coefficients of a polynomial with one factor per path feature. Rows are
-    independent: the leaf arrays go to every task, nothing is shuffled.
+    Without ``background`` unknown features follow the training shares of the tree; with it (a few rows, which every task
+    gets) they take the values of the background rows, averaged. Rows are independent: they are dealt out evenly, as
+    explaining a row costs far more than moving it. The nodes of the trees go to the tasks in parts of bounded size, and a
+    task expands one tree at a time into its leaves.
     """
-    groups = _grouped(leaf_table(df.sparkSession, model))
-    width = model.numFeatures
+    spark, width = df.sparkSession, model.numFeatures
+    parts = [spark.sparkContext.broadcast(part) for part in tree_parts(spark, model)]
     reference = None if background is None else np.asarray(background, dtype="float64")
 
-    def explain(batches):
-        def inside(x, feature, low, high):
-            v = x[:, feature]  # rows x leaves x path features
-            return ((v > low) & (v <= high)).astype("float64")
-
-        def shapley(o, z):
-            d = o.shape[2]
-            weight = [factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)]
-            out = np.empty_like(o)
-            for i in range(d):
-                poly = np.zeros((*o.shape[:2], d))
-                poly[..., 0] = 1.0
-                for j in range(d):
-                    if j != i:
-                        shifted = poly[..., :-1] * o[..., j, None]
-                        poly = poly * z[..., j, None]
-                        poly[..., 1:] += shifted
-                out[..., i] = (poly @ np.array(weight)) * (o[..., i] - z[..., i])
-            return out
+    def trees(part: Broadcast) -> list[Tree]:
+        # read from the worker's copy on disk, without keeping it: a worker holds one part at a time
+        found = part.value
+        part.__dict__.pop("_value", None)
+        return found
 
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if not len(batch):
+                continue
             ids = batch[row_id].to_numpy()
-            x_all = np.stack(batch[features].to_numpy()).astype("float64")
-            for lo in range(0, len(x_all), 256):
-                x = x_all[lo:lo + 256]
-                phi, base, output = np.zeros((len(x), width)), 0.0, np.zeros(len(x))
-                for value, feature, low, high, share in groups:
-                    d = feature.shape[1]
-                    if d == 0:
-                        base, output = base + value.sum(), output + value.sum()
-                        continue
-                    step = max(1, 2_000_000 // (len(x) * d * d))
-                    for a in range(0, len(value), step):
-                        cut = slice(a, a + step)
-                        o = inside(x, feature[cut], low[cut], high[cut])
-                        output = output + o.prod(axis=2) @ value[cut]
-                        if reference is None:
-                            z = np.broadcast_to(share[cut], o.shape)
-                            base = base + float(share[cut].prod(axis=1) @ value[cut])
-                            part = shapley(o, z)
-                        else:
-                            seen = inside(reference, feature[cut], low[cut], high[cut])
-                            base = base + float((seen.prod(axis=2) @ value[cut]).mean())
-                            part = sum(shapley(o, np.broadcast_to(b, o.shape)) for b in seen) / len(seen)
-                        flat = (part * value[cut][None, :, None]).reshape(len(x), -1)
-                        names = feature[cut].ravel()
-                        for f in np.unique(names):
-                            phi[:, f] += flat[:, names == f].sum(axis=1)
-                yield pd.DataFrame({row_id: ids[lo:lo + 256], "base": base, "output": output, "phi": list(phi)})
+            x = np.stack(batch[features].to_numpy()).astype("float64")
+            phi, base, output = np.zeros((len(x), width)), 0.0, np.zeros(len(x))
+            for part in parts:
+                for tree in map(leaves_of, trees(part)):
+                    expected = 0.0
+                    for i in range(0, len(x), ROWS):
+                        rows = slice(i, i + ROWS)
+                        more, expected, out = attribute(x[rows], tree, width, reference)
+                        phi[rows] += more
+                        output[rows] += out
+                    base += expected
+            yield pd.DataFrame({row_id: ids, "base": base, "output": output, "phi": list(phi)})
 
     kind = df.schema[row_id].dataType.simpleString()
     rows = df.select(row_id, F.col(features).cast("array<double>").alias(features))
-    return rows.mapInPandas(explain, f"{row_id} {kind}, base double, output double, phi array<double>")
+    return rows.repartition(2 * spark.sparkContext.defaultParallelism).mapInPandas(explain, f"{row_id} {kind}, base double, output double, phi array<double>")
 
 
 def shap_long(explained: DataFrame, row_id: str = "row_id", keys: Sequence[str] = ()) -> DataFrame:

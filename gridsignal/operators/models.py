@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from gridsignal.operators.metrics import binary_metrics
-from gridsignal.operators.ordering import with_position
+from gridsignal.operators.ordering import HASH_SPAN, hash_draw, with_position
 from gridsignal.operators.resample import FOLDS, SEED, smote, time_series_folds, with_class_weight
 from gridsignal.operators.windows import persistence_baseline
 from gridsignal.session import settle
@@ -31,7 +31,9 @@ BOOST_STEP = 0.3
 LOGISTIC_ITERATIONS = 500
 COMPONENT_GROUPS = {"sst": 10, "sss": 8, "ssh": 6, "runoff": 5}
 
-DEEPEST = 30  # trees grow until their leaves are pure; this is the deepest Spark allows
+DEEPEST = 30  # trees grow until their leaves are pure or of the least size; this is the deepest Spark allows
+FIT_ROWS = 200_000  # rows that a tree model learns from
+LEAVES = 1 << 14  # leaves that a tree can have: a leaf holds at least the fitted rows over this
 
 Fit = Callable[[DataFrame], object]
 
@@ -40,25 +42,43 @@ def _vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("_x", array_to_vector(F.col("features").cast("array<double>")))
 
 
-def train_forest(df: DataFrame, trees: int = FOREST_TREES, seed: int = SEED, depth: int = DEEPEST, weight: str | None = None):
-    """Random forest with square-root feature subsets."""
+def fitted_rows(df: DataFrame, rows: int = FIT_ROWS, seed: int = SEED) -> tuple[DataFrame, int]:
+    """About ``rows`` of the labelled rows, all where there are no more, and the least size of a leaf for so many.
+
+    Rows are chosen by the keyed hash of their id, so a row is in or out on its own, whatever the partitions. A model's
+    nodes are held by the driver and by every task that scores: this bounds them at any number of rows. Scoring, metrics
+    and counts are over all rows.
+    """
+    n = df.count()
+    share = min(1.0, rows / max(n, 1))
+    chosen = df.where(hash_draw(seed, "fit", F.col("row_id")) < F.lit(int(share * HASH_SPAN)))
+    return chosen, max(1, -(-min(n, rows) // LEAVES))
+
+
+def train_forest(
+    df: DataFrame, trees: int = FOREST_TREES, seed: int = SEED, depth: int = DEEPEST, weight: str | None = None,
+    rows: int = FIT_ROWS, subset: str = "sqrt", bootstrap: bool = True,
+):
+    """Random forest with square-root feature subsets, fitted to about ``rows`` of the rows at most."""
+    chosen, least = fitted_rows(df, rows, seed)
     rf = RandomForestClassifier(
-        featuresCol="_x", labelCol="y", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed,
-        maxMemoryInMB=512, cacheNodeIds=True,
+        featuresCol="_x", labelCol="y", numTrees=trees, maxDepth=depth, featureSubsetStrategy=subset, seed=seed, bootstrap=bootstrap,
+        minInstancesPerNode=least, maxMemoryInMB=512, cacheNodeIds=True,
     )
-    return (rf.setWeightCol(weight) if weight else rf).fit(_vectors(df))
+    return (rf.setWeightCol(weight) if weight else rf).fit(_vectors(chosen))
 
 
 def train_boosted(
     df: DataFrame, rounds: int = BOOST_ROUNDS, depth: int = BOOST_DEPTH, step: float = BOOST_STEP, seed: int = SEED,
-    weight: str | None = None,
+    weight: str | None = None, rows: int = FIT_ROWS,
 ):
-    """Gradient-boosted trees with logistic loss."""
+    """Gradient-boosted trees with logistic loss, fitted to about ``rows`` of the rows at most."""
+    chosen, least = fitted_rows(df, rows, seed)
     gbt = GBTClassifier(
         featuresCol="_x", labelCol="y", lossType="logistic", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed,
-        maxMemoryInMB=512,
+        minInstancesPerNode=least, maxMemoryInMB=512,
     )
-    return (gbt.setWeightCol(weight) if weight else gbt).fit(_vectors(df))
+    return (gbt.setWeightCol(weight) if weight else gbt).fit(_vectors(chosen))
 
 
 def train_logistic(df: DataFrame, iterations: int = LOGISTIC_ITERATIONS, n: int | None = None):
@@ -119,10 +139,7 @@ def out_of_fold(folds: DataFrame, k: int, fit: Fit, prepare: Callable[[DataFrame
 
 
 def balanced(train: DataFrame, seed: int = SEED) -> DataFrame:
-    """Training rows brought to class parity; unchanged when the smaller class has fewer than two rows."""
-    counts = {r.y: r.n for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if min(counts.get(0, 0), counts.get(1, 0)) < 2:
-        return train
+    """Training rows brought to class parity by ``smote``, written once."""
     return settle(smote(train, seed=seed).drop("synthetic"))
 
 
@@ -135,11 +152,11 @@ def time_cv(
     return binary_metrics(out_of_fold(folds, k, fit, balanced if balance else None), by=["fold"])
 
 
-def baseline_table(
+def baseline_scores(
     df: DataFrame, groups: dict[str, list[int]], k: int = FOLDS, in_sample: bool = False,
     order: Sequence[str] = ("ts", "row_id"), grain: str | float | None = None,
-) -> DataFrame:
-    """Persistence, logistic and runoff-only logistic baselines: ``(model, auc, ap, precision, recall, f1)``.
+) -> dict[str, DataFrame]:
+    """Scored rows of the persistence, logistic and runoff-only logistic baselines.
 
     ``groups`` maps feature groups to feature positions. Scores are out of fold unless ``in_sample``.
     """
@@ -157,14 +174,19 @@ def baseline_table(
         else:
             mine = folds if name == "Logistic" else folds.withColumn("features", picked)
             scored[name] = out_of_fold(mine, k, train_logistic)
-    return _table(scored, "model")
+    return scored
+
+
+def baseline_table(df: DataFrame, groups: dict[str, list[int]], *args, **options) -> DataFrame:
+    """Metrics of ``baseline_scores``: ``(model, auc, ap, precision, recall, f1)``."""
+    return _table(baseline_scores(df, groups, *args, **options), "model")
 
 
-def rebalancing_table(
+def rebalancing_scores(
     df: DataFrame, k: int = FOLDS, in_sample: bool = False, rounds: int = BOOST_ROUNDS,
     order: Sequence[str] = ("ts", "row_id"), grain: str | float | None = None,
-) -> DataFrame:
-    """Boosted trees with class weights against boosted trees on oversampled rows."""
+) -> dict[str, DataFrame]:
+    """Scored rows of boosted trees with class weights, and of boosted trees on oversampled rows."""
 
     def weighted(train):
         return train_boosted(with_class_weight(train), rounds, weight="weight")
@@ -174,20 +196,21 @@ def rebalancing_table(
 
     if in_sample:
         rows = settle(df.select("row_id", "y", "features"))
-        return _table(
-            {"Weights": score(weighted(rows), rows), "SMOTE": score(plain(balanced(rows)), rows)}, "strategy"
-        )
+        return {"Weights": score(weighted(rows), rows), "SMOTE": score(plain(balanced(rows)), rows)}
     folds = folds_of(df, k, order, grain)
-    return _table(
-        {"Weights": out_of_fold(folds, k, weighted), "SMOTE": out_of_fold(folds, k, plain, balanced)}, "strategy"
-    )
+    return {"Weights": out_of_fold(folds, k, weighted), "SMOTE": out_of_fold(folds, k, plain, balanced)}
+
+
+def rebalancing_table(df: DataFrame, *args, **options) -> DataFrame:
+    """Metrics of ``rebalancing_scores`` by strategy."""
+    return _table(rebalancing_scores(df, *args, **options), "strategy")
 
 
-def ablation_table(
+def ablation_scores(
     rows_without: dict[str, DataFrame], k: int = FOLDS, in_sample: bool = False, trees: int = SMALL_FOREST_TREES,
     order: Sequence[str] = ("ts", "row_id"), grain: str | float | None = None,
-) -> DataFrame:
-    """Forest metrics with one feature block removed: ``rows_without`` maps the block to the rows lacking it."""
+) -> dict[str, DataFrame]:
+    """Rows scored by forests with one feature block removed: ``rows_without`` maps the block to the rows lacking it."""
     scored = {}
     for block, rows in rows_without.items():
         if in_sample:
@@ -196,7 +219,12 @@ def ablation_table(
         else:
             folds = folds_of(rows, k, order, grain)
             scored[block] = out_of_fold(folds, k, lambda t: train_forest(t, trees))
-    return _table(scored, "removed")
+    return scored
+
+
+def ablation_table(rows_without: dict[str, DataFrame], *args, **options) -> DataFrame:
+    """Metrics of ``ablation_scores`` by the block that is removed."""
+    return _table(ablation_scores(rows_without, *args, **options), "removed")
 
 
 def importance_by_group(df: DataFrame, model, groups: dict[str, int] | None = None) -> DataFrame:

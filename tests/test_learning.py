@@ -12,7 +12,8 @@ from gridsignal.operators import features as X
 from gridsignal.operators import metrics as M
 from gridsignal.operators import models, reduce
 from gridsignal.operators import resample as R
-from gridsignal.operators.neighbours import nearest
+from gridsignal.operators import neighbours
+from gridsignal.operators.neighbours import nearest, search_effort
 from gridsignal.session import settle
 
 
@@ -97,19 +98,41 @@ def test_time_folds(spark):
         assert sorted(fold[fold.role == "train"].pos) == list(range(first))
 
 
-@pytest.mark.parametrize("part_rows", [8, 50, 4096])
-def test_neighbours_equal_brute_force(spark, part_rows):
-    rng = np.random.default_rng(part_rows)
+@pytest.mark.parametrize("block_points", [8, 50, 4096])
+def test_neighbours_equal_brute_force(spark, block_points, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_POINTS", 8)
+    rng = np.random.default_rng(block_points)
     x = rng.normal(size=(150, 3))
     x[20:90] = x[20]  # nearly half of the rows are copies of one vector
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
-    got = {(r.id, r["rank"]): r.neighbour for r in nearest(df, 4, part_rows=part_rows).collect()}
+    got = {(r.id, r["rank"]): r.neighbour for r in nearest(df, 4, block_points=block_points).collect()}
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     for i in range(150):
         order = sorted((j for j in range(150) if j != i), key=lambda j: (d[i, j], j))[:4]
         assert [got[(i, r)] for r in range(1, 5)] == order
 
 
+def test_neighbours_on_a_lattice_and_far_from_the_origin(spark, monkeypatch):
+    """Many equal distances, and coordinates whose squares swallow their differences."""
+    monkeypatch.setattr(neighbours, "LEAST_POINTS", 16)
+    x = np.array([[a, b, c] for a in range(5) for b in range(5) for c in range(5)], dtype="float64") * 1e-3 + 1e5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    got = {(r.id, r["rank"]): (r.neighbour, r.dist) for r in nearest(df, 3, block_points=16).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for i in range(len(x)):
+        order = sorted((j for j in range(len(x)) if j != i), key=lambda j: (d[i, j], j))[:3]
+        assert [got[(i, r)] for r in range(1, 4)] == [(j, pytest.approx(d[i, j], abs=0)) for j in order]
+
+
+def test_bounds_skip_most_pairs_of_grouped_points(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_POINTS", 32)
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(8, 64)) * 20, 40, axis=0) + rng.normal(size=(320, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    effort = search_effort(df, 5, block_points=40).first()
+    assert effort.pairs == 320 * 320 and effort.skipped > 0.5
+
+
 def test_smote_balances_with_points_on_segments(spark):
     rng = np.random.default_rng(1)
     rows = [(i, int(i < 12), rng.normal(size=2).tolist()) for i in range(60)]
@@ -188,16 +211,33 @@ def training(spark, n=120, d=4, seed=0):
     return x, y, settle(spark.createDataFrame(rows, "row_id long, y int, features array<double>"))
 
 
+def leaves_one_by_one(spark, model):
+    """Leaves by walking every path."""
+    out = []
+    for tree in (t for part in E.tree_parts(spark, model) for t in part):
+        stack = [(0, {})]
+        while stack:
+            node, box = stack.pop()
+            if tree["left"][node] < 0:
+                out.append((tree["value"][node], [(f, *b) for f, b in box.items()]))
+                continue
+            feature, cut = int(tree["feature"][node]), tree["cut"][node]
+            low, high, share = box.get(feature, (-np.inf, np.inf, 1.0))
+            for child, bounds in ((int(tree["left"][node]), (low, min(high, cut))), (int(tree["right"][node]), (max(low, cut), high))):
+                stack.append((child, {**box, feature: (*bounds, share * tree["count"][child] / tree["count"][node])}))
+    return out
+
+
 def brute_shapley(leaves, x, width, background=None):
     """Shapley values from the definition: every subset of features."""
 
     def value(present):
         total = 0.0
-        for leaf in leaves.itertuples():
+        for leaf, path in leaves:
             weights = []
             for b in [None] if background is None else background:
-                part = leaf.value
-                for f, low, high, share in zip(leaf.features, leaf.low, leaf.high, leaf.share):
+                part = leaf
+                for f, low, high, share in path:
                     if f in present:
                         part *= float(low < x[f] <= high)
                     else:
@@ -220,7 +260,7 @@ def brute_shapley(leaves, x, width, background=None):
 def test_attributions_equal_the_definition(spark, kind):
     x, _, df = training(spark)
     model = models.train_forest(df, 5, depth=4) if kind == "forest" else models.train_boosted(df, 4, 3)
-    leaves = E.leaf_table(spark, model)
+    leaves = leaves_one_by_one(spark, model)
     for background in (None, x[:3].tolist()):
         got = E.tree_shap(model, df.where("row_id < 4"), background=background).orderBy("row_id").toPandas()
         for r in got.itertuples():
