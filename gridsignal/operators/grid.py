@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsignal.functions.columns import MEGA, null_if_nan
 from gridsignal.operators.asof import asof_nearest, neighbours
 from gridsignal.operators.windows import cumulative_offsets
 
+MAX_AXIS = 200_000  # weights of one axis that every row can look up
+
 
 def with_cell_id(df: DataFrame, nlon: int, lat_idx: str = "lat_idx", lon_idx: str = "lon_idx") -> DataFrame:
     """Row-major cell number."""
@@ -97,6 +99,20 @@ def axis_weights(
     )
 
 
+def axis_lookup(weights: DataFrame) -> tuple[Column, Column]:
+    """The weights of an axis as one value that every row can carry: where a source position stands in the list of targets
+    ``(_to, _w, _of)``. An axis has at most ``MAX_AXIS`` positions (checked), whatever the size of the field."""
+    rows = weights.limit(MAX_AXIS + 1).collect()
+    if len(rows) > MAX_AXIS:
+        raise ValueError(f"more than {MAX_AXIS} weights of one axis; a field is regridded between axes, not lists of points")
+    first = min((r["_from"] for r in rows), default=0)
+    targets: list[list] = [[] for _ in range(max((r["_from"] for r in rows), default=first - 1) - first + 1)]
+    for r in sorted(rows, key=lambda r: r["_to"]):
+        targets[r["_from"] - first].append((r["_to"], float(r["_w"]), r["_of"]))
+    one = weights.sparkSession.createDataFrame([(targets,)], "at array<array<struct<_to:int,_w:double,_of:int>>>")
+    return one.agg(F.first("at")).scalar(), F.lit(first)
+
+
 def regrid(
     field: DataFrame,
     source_lat: DataFrame,
@@ -108,28 +124,26 @@ def regrid(
 ) -> DataFrame:
     """Interpolate a field ``(by, lat_idx, lon_idx, value)`` to the target axes, one axis at a time.
 
-    The weights are worked out on the 1-D axes; the field only meets them in two equi-joins. Nearest keeps the lower
-    coordinate at equal distance. Cells outside the source range, or with a missing corner, have no value.
+    The weights are worked out on the 1-D axes when this is called, and every row looks up its targets where it is: nearest
+    moves nothing, linear only adds up the corners of each target cell. Nearest keeps the lower coordinate at equal
+    distance. Cells outside the source range, or with a missing corner, have no value.
     """
-    wlat = axis_weights(source_lat, target_lat, "lat_idx", "lat", method)
-    wlon = axis_weights(source_lon, target_lon, "lon_idx", "lon", method)
+    lat, lat_first = axis_lookup(axis_weights(source_lat, target_lat, "lat_idx", "lat", method))
+    lon, lon_first = axis_lookup(axis_weights(source_lon, target_lon, "lon_idx", "lon", method))
     by = list(by)
-    along_lat = field.join(
-        wlat.select(F.col("_from").alias("lat_idx"), F.col("_to").alias("_tlat"), F.col("_w").alias("_wlat"),
-                    F.col("_of").alias("_oflat")),
-        "lat_idx",
-    )
-    both = along_lat.join(
-        wlon.select(F.col("_from").alias("lon_idx"), F.col("_to").alias("_tlon"), F.col("_w").alias("_wlon"),
-                    F.col("_of").alias("_oflon")),
-        "lon_idx",
-    )
-    keys = [*by, F.col("_tlat").alias("lat_idx"), F.col("_tlon").alias("lon_idx")]
+
+    def targets(table: Column, first: Column, idx: str) -> Column:
+        at = F.col(idx) - first
+        return F.explode(F.when(at >= 0, F.get(table, at.cast("int"))))
+
+    along = field.select(*by, "lon_idx", "value", targets(lat, lat_first, "lat_idx").alias("_lat"))
+    both = along.select(*by, "value", "_lat", targets(lon, lon_first, "lon_idx").alias("_lon"))
+    keys = [*by, F.col("_lat._to").alias("lat_idx"), F.col("_lon._to").alias("lon_idx")]
     if method == "nearest":
         return both.select(*keys, "value")
-    corners = F.max(F.col("_oflat") * F.col("_oflon"))
+    corners = F.max(F.col("_lat._of") * F.col("_lon._of"))
     blended = both.groupBy(*keys).agg(
-        F.sum(F.col("_wlat") * F.col("_wlon") * F.col("value")).alias("_v"),
+        F.sum(F.col("_lat._w") * F.col("_lon._w") * F.col("value")).alias("_v"),
         (F.count("value") == corners).alias("_whole"),
     )
     return blended.select(*by, "lat_idx", "lon_idx", F.when(F.col("_whole"), F.col("_v")).alias("value"))

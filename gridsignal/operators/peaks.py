@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,25 +59,66 @@ def find_peaks(
 def _thin(peaks: DataFrame, distance: int, by: Sequence[str], pos: str) -> DataFrame:
     """Keep peaks at least ``distance`` apart, higher ones first (equal heights: later ones first).
 
-    In each round every undecided peak that beats all undecided peaks near it is kept and the ones near it are
-    dropped. This gives the same set as going through the peaks one by one from the highest down.
+    A peak above all others nearer than ``distance`` stays, and these go. What is left falls into islands: peaks that are
+    ``distance`` apart say nothing about each other. Each island is resolved on its own, from its highest peak down. No
+    island reaches over a peak that dominates its neighbourhood, so islands are short unless heights rise or fall all along.
     """
+    reach = distance - 1
     order = F.struct(F.col("value"), F.col(pos))
-    state = settle(peaks.withColumn("_state", F.lit("open")))
-    while not state.where("_state = 'open'").isEmpty():
-
-        def decide(block, w):
-            near = w.rangeBetween(-(distance - 1), distance - 1)
-            is_open = F.col("_state") == "open"
-            best = F.max(F.when(is_open, order)).over(near)
-            block = block.withColumn("_won", is_open & (best == order))
-            beaten = F.max(F.col("_won")).over(near)
-            state = F.when(F.col("_won"), "kept").when(is_open & beaten, "dropped").otherwise(F.col("_state"))
-            return block.withColumn("_state", state).drop("_won")
-
-        reach = 2 * (distance - 1)
-        state = settle(over_blocks(state, by, pos, reach, reach, decide))
-    return state.where("_state = 'kept'").drop("_state")
+
+    def dominate(block, w):
+        near = w.rangeBetween(-reach, reach)
+        block = block.withColumn("_won", F.max(order).over(near) == order)
+        return block.withColumn("_beaten", F.max("_won").over(near))
+
+    first = settle(over_blocks(peaks, by, pos, 2 * reach, 2 * reach, dominate))
+
+    def begins(block, w):
+        return block.withColumn("_first", F.count(F.lit(1)).over(w.rangeBetween(-reach, -1)) == 0)
+
+    undecided = over_blocks(first.where("NOT _won AND NOT _beaten"), by, pos, reach, 0, begins)
+    chunked = undecided.withColumn("_chunk", F.floor(F.col(pos) / BLOCK_ROWS))
+    islands = running_totals(chunked, by, "_chunk", [pos], {"_island": F.col("_first").cast("long")})
+    placed = islands.repartition(*by, "_island").sortWithinPartitions(*by, "_island", pos)
+    columns = [*by, pos, "value"]
+    rows = placed.select(*columns, "_first")
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            starts = np.flatnonzero(table["_first"].to_numpy())
+            # the last island may go on in the next batch
+            whole = int(starts[-1]) if len(starts) else 0
+            yield from kept_in(table.slice(0, whole)).to_batches()
+            held = table.slice(whole)
+        if held is not None:
+            yield from kept_in(held).to_batches()
+
+    def kept_in(table: pa.Table) -> pa.Table:
+        at, height = table[pos].to_numpy(), table["value"].to_numpy()
+        kept = highest_apart(np.append(np.flatnonzero(table["_first"].to_numpy()), table.num_rows), at, height, distance)
+        return table.select(columns).filter(pa.array(kept))
+
+    resolved = rows.mapInArrow(resolve, rows.select(*columns).schema)
+    return first.where("_won").select(*columns).unionByName(resolved)
+
+
+def highest_apart(edges: np.ndarray, at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """For islands of ascending positions between ``edges``: which peaks stay, going from the highest (of equals the later
+    one) down and dropping what is nearer than ``distance`` to one that stays."""
+    kept = np.zeros(len(at), bool)
+    size = np.diff(edges)
+    kept[edges[:-1][size == 1]] = True
+    for begin, end in zip(edges[:-1][size > 1].tolist(), edges[1:][size > 1].tolist()):
+        open_ = np.ones(end - begin, bool)
+        places = at[begin:end]
+        for i in np.lexsort((places, height[begin:end]))[::-1].tolist():
+            if open_[i]:
+                kept[begin + i] = True
+                low, high = np.searchsorted(places, (places[i] - distance + 1, places[i] + distance))
+                open_[low:high] = False
+    return kept
 
 
 def lead_times(

@@ -5,16 +5,16 @@ Random choices are keyed hashes of (seed, row, replicate), so they do not depend
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gridsignal.operators.groups import attach
+from gridsignal.operators.groups import attach, join_groups
 from gridsignal.operators.metrics import ranking_metrics
 from gridsignal.operators.neighbours import nearest
-from gridsignal.operators.ordering import BLOCK_ROWS, HASH_SPAN, hash_draw, smallest_draws, with_position
+from gridsignal.operators.ordering import BLOCK_ROWS, HASH_SPAN, hash_draw, range_chunks, running_totals, smallest_draws, with_position
 from gridsignal.session import settle
 
 # Seed, test share, folds, neighbours, replicates.
@@ -82,16 +82,15 @@ def smote(
 ) -> DataFrame:
     """Oversample the smaller class to parity with points between a row and one of its ``k`` nearest class mates.
 
-    ``features`` is an array of doubles. New rows have ``synthetic = true`` and count up from 0 in ``row_id``.
+    ``features`` is an array of doubles. New rows have ``synthetic = true`` and count up from 0 in ``row_id``. A smaller
+    class of fewer than two rows has no neighbours: the rows then stay as they are, without new ones.
     """
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     small, large = sorted((0, 1), key=lambda c: (counts.get(c, 0), c))
     have, need = counts.get(small, 0), counts.get(large, 0) - counts.get(small, 0)
     real = df.select(row_id, label, F.col(features).cast("array<double>").alias(features), F.lit(False).alias("synthetic"))
-    if need == 0:
+    if need == 0 or have < 2:
         return real
-    if have < 2:
-        raise ValueError("the smaller class needs at least two rows")
     k = min(k, have - 1)
     members = real.where(F.col(label) == small).select(F.col(row_id).alias("id"), F.col(features).alias("x"))
     near = nearest(members, k, seed)
@@ -138,24 +137,63 @@ def bootstrap_auc(
     return ranking_metrics(drawn, "_score", "_label", ["replicate"], "_times").select("replicate", "auc")
 
 
+def draw_cuts(fanned: Callable[[], DataFrame], row_id: str, n: int, rows: int, quota: int, sigmas: float = 8.0) -> DataFrame:
+    """``permutation, cut``: the ``quota``-th smallest ``(draw, row_id)`` of each permutation, settled.
+
+    Draws are uniform, so it lies near the same share of their span: what is below a band around it is counted, and only the
+    draws in the band, some multiples of the square root of ``rows``, are put in order. A band that misses is widened.
+    """
+    share = quota / rows
+    spread = sigmas * (rows * share * (1 - share)) ** 0.5 / rows + 16.0 / rows
+    low, high = int(max(0.0, share - spread) * HASH_SPAN), int(min(1.0, share + spread) * HASH_SPAN)
+    draw = F.col("_draw")
+    counted = fanned().where(draw <= high).groupBy("permutation").agg(
+        F.count_if(draw < low).alias("_below"),
+        F.array_sort(F.collect_list(F.when(draw >= low, F.struct("_draw", row_id)))).alias("_band"),
+    )
+    cuts = settle(counted.select("permutation", F.when(F.col("_below") < quota, F.get("_band", (F.lit(quota - 1) - F.col("_below")).cast("int"))).alias("cut")))
+    whole = cuts.agg(F.count("cut")).first()[0] == n
+    return cuts if whole or spread >= 1 else draw_cuts(fanned, row_id, n, rows, quota, 8 * sigmas)
+
+
 def permutation_metrics(
     df: DataFrame, score: str = "p", label: str = "y", row_id: str = "row_id", n: int = PERMUTATIONS, seed: int = SEED
 ) -> DataFrame:
     """AUC and AP under ``n`` label permutations: ``(permutation, auc, ap)``.
 
-    A permutation gives the positive label to as many rows as have it now, those with the smallest hash draws.
+    A permutation gives the positive label to as many rows as have it now, those with the smallest hash draws. The order of
+    the scores is the same in all of them: it is worked out once, and a permutation only adds up its positive rows. Rows
+    are multiplied twice, to find the last of these draws and to label, and never sorted.
     """
-    rows = settle(df.select(row_id, score, label))
-    positives = rows.agg(F.sum(F.col(label).cast("long"))).first()[0] or 0
-    # Spread the rows before they are multiplied: a small table would otherwise be fanned out by one task.
-    rows = rows.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // BLOCK_ROWS)), row_id)
-    fanned = rows.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    fanned = fanned.withColumn("_draw", hash_draw(seed, F.col("permutation"), F.col(row_id)))
-    quota = df.sparkSession.range(n).select(F.col("id").cast("int").alias("permutation"), F.lit(positives).alias("_quota"))
-    relabelled = smallest_draws(fanned, ["permutation"], "_draw", [row_id], quota, "_y")
-    return ranking_metrics(relabelled.withColumn("_y", F.col("_y").cast("int")), score, "_y", ["permutation"]).select(
-        "permutation", "auc", "ap"
+    spark = df.sparkSession
+    rows = settle(df.select(row_id, F.col(score).alias("_score"), F.col(label).cast("long").alias("_y")))
+    facts = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("_y"), F.lit(0)).alias("quota"), F.count("_score").alias("scored")).first()
+    every = spark.range(n).select(F.col("id").cast("int").alias("permutation"))
+    if not facts.quota:
+        return every.select("permutation", F.lit(None).cast("double").alias("auc"), F.lit(None).cast("double").alias("ap"))
+    folded = range_chunks(rows.where("_score IS NOT NULL").groupBy("_score").agg(F.count(F.lit(1)).alias("_same")), ["_score"])
+    ranks = running_totals(folded, (), "_chunk", ["_score"], {"_upto": F.col("_same")}, descending=True)
+    # rows are spread before they are multiplied: a small table would otherwise be fanned out by one task
+    tasks = max(spark.sparkContext.defaultParallelism, -(-facts.rows // BLOCK_ROWS))
+    placed = settle(join_groups(rows.select(row_id, "_score"), ranks, ["_score"], "left").repartition(tasks, row_id))
+
+    def fanned() -> DataFrame:
+        many = placed.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        return many.withColumn("_draw", hash_draw(seed, F.col("permutation"), F.col(row_id)))
+
+    cuts = draw_cuts(fanned, row_id, n, facts.rows, facts.quota)
+    chosen = fanned().join(cuts, "permutation").where((F.struct("_draw", row_id) <= F.col("cut")) & F.col("_upto").isNotNull())
+    table = settle(chosen.groupBy("permutation", "_chunk", "_score", "_upto", "_same").agg(F.count(F.lit(1)).alias("_pos")))
+    ranked = running_totals(table, ["permutation"], "_chunk", ["_score"], {"_tp": F.col("_pos")}, descending=True)
+    positives = F.sum("_pos")
+    negatives = F.lit(facts.scored) - positives
+    # negatives at higher scores and half of those at the same one
+    ahead = F.col("_upto") - F.col("_tp") - (F.col("_same") - F.col("_pos")) / 2.0
+    metrics = ranked.groupBy("permutation").agg(
+        F.when(negatives > 0, 1.0 - F.sum(F.col("_pos") * ahead) / (positives.cast("double") * negatives)).alias("auc"),
+        (F.sum(F.col("_pos") * F.col("_tp") / F.col("_upto")) / positives).alias("ap"),
     )
+    return every.join(metrics, "permutation", "left")
 
 
 def permutation_test(
