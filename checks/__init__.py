@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def catalogs():
-    from checks import grids, learning, missing, reports, samples, scores, series, times
+    from checks import fitted, grids, learning, missing, reports, samples, scores, series, times
 
-    return [c.catalog for c in (series, times, grids, scores, samples, learning, reports, missing)]
+    return [c.catalog for c in (series, times, grids, scores, samples, learning, reports, missing, fitted)]

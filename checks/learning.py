@@ -184,6 +184,60 @@ def tree_attributions(spark, d):
     return explained.select("row_id", "base", "output", (F.col("base") + total).alias("rebuilt"))
 
 
+ALL_HOLD = "SELECT vec_id AS row_id, true AS adds_up, true AS is_score, true AS base_is_mean FROM embeddings"
+
+
+def attribution_facts(explained, scored, base, to_output):
+    """Whether base and attributions add up to the output, the output is the model's, and the base is what it must be."""
+    near = lambda a, b: F.abs(a - b) < 1e-8
+    total = F.aggregate("phi", F.col("base"), lambda a, x: a + x)
+    return explained.join(scored.select("row_id", to_output(F.col("p")).alias("want")), "row_id").select(
+        "row_id", near(total, F.col("output")).alias("adds_up"), near(F.col("output"), F.col("want")).alias("is_score"),
+        near(F.col("base"), F.lit(base)).alias("base_is_mean"))
+
+
+@add("tree_attributions_hold", ALL_HOLD)
+def tree_attributions_hold(spark, d):
+    """Expectation by training shares: the forest's root share of class 1, averaged over its trees."""
+    v = labelled(spark, d)
+    model = models.train_forest(v)
+    roots = [tree["value"][0] for part in E.tree_parts(spark, model) for tree in part]
+    return attribution_facts(E.tree_shap(model, v), models.score(model, v), float(sum(roots)), lambda p: p)
+
+
+@add("background_attributions", ALL_HOLD)
+def background_attributions(spark, d):
+    """Boosted trees against the background rows: the base is their mean log-odds."""
+    v = labelled(spark, d)
+    model = models.train_boosted(v)
+    chosen = v.orderBy("row_id").limit(E.BACKGROUND_ROWS)  # the size of the background is the feature
+    odds = lambda p: F.ln(p / (1 - p))
+    base = models.score(model, chosen).agg(F.avg(odds(F.col("p")))).first()[0]
+    explained = E.tree_shap(model, v, background=[r.features for r in chosen.select("features").collect()])
+    return attribution_facts(explained, models.score(model, v), base, odds)
+
+
+STUMPS = """f AS (SELECT event_id AS row_id, CASE WHEN value >= 60 THEN 1 ELSE 0 END AS y, extract(hour FROM ts) AS x0, extract(day FROM ts) AS x1, floor(value / 25) AS x2 FROM events),
+long AS (SELECT row_id, y, 0 AS feature, x0 AS x FROM f UNION ALL SELECT row_id, y, 1, x1 FROM f UNION ALL SELECT row_id, y, 2, x2 FROM f),
+vals AS (SELECT feature, x, count(*) AS n, sum(y) AS s FROM long GROUP BY ALL),
+cuts AS (SELECT feature, (x + lead(x) OVER w) / 2.0 AS cut, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY feature) AS n, sum(s) OVER (PARTITION BY feature) AS s FROM vals WINDOW w AS (PARTITION BY feature ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+gains AS (SELECT *, sl * (1.0 - sl / nl) + (s - sl) * (1.0 - (s - sl) / (n - nl)) AS spread FROM cuts WHERE cut IS NOT NULL AND n > nl),
+best AS (SELECT feature, cut, sl / nl AS low, (s - sl) / (n - nl) AS high FROM gains ORDER BY spread, feature, cut LIMIT 1),
+sided AS (SELECT row_id, CASE WHEN CASE feature WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END <= cut THEN low ELSE high END AS q FROM f, best)"""
+
+
+@add("shallow_trees", final(STUMPS.replace("lead(x) OVER w", "lead(x) OVER (PARTITION BY feature ORDER BY x)"), "SELECT row_id, q AS forest_p, 1 / (1 + exp(-2 * (2 * q - 1))) AS boosted_p FROM sided", ["forest_p", "boosted_p"]))
+def shallow_trees(spark, d):
+    """One split, where SQL can search all of them: the fit finds the best, in a forest and in boosted trees."""
+    e = table(spark, d, "events").select(
+        F.col("event_id").alias("row_id"), (F.col("value") >= 60).cast("int").alias("y"),
+        F.array(F.hour("ts").cast("double"), F.dayofmonth("ts").cast("double"), F.floor(F.col("value") / 25).cast("double")).alias("features"))
+    forest = models.train_forest(e, 1, depth=1, subset="all", bootstrap=False)
+    boosted = models.train_boosted(e, 1, depth=1)
+    return models.score(forest, e).select("row_id", F.col("p").alias("forest_p")).join(
+        models.score(boosted, e).select("row_id", F.col("p").alias("boosted_p")), "row_id")
+
+
 @add("attribution_summary")
 def attribution_summary(spark, d):
     v = labelled(spark, d)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.common import GRID, SCORED_EVENTS, SCORED_HOURS, TYPED, Catalog, final, grid, scored_events, scored_hours, table, typed
 from checks.grids import ALL, DIM, feature_dim
 from checks.learning import FEATURES, feature_rows, loadings
+from checks.samples import catalog as samples
 from checks.scores import CURVE
 from checks.series import LEADS
 from checks.times import WIDE, transports
@@ -152,6 +153,11 @@ def significance_class_balance(spark, d):
     return significance(spark, d)["class_balance"]
 
 
+@add("significance_permutation", samples.sql["permutation_test"])
+def significance_permutation(spark, d):
+    return significance(spark, d)["permutation"]
+
+
 @add("significance_false_alarms", final(f"{SCORED_HOURS}, a AS (SELECT *, coalesce(lead(CAST(p > 0.5 AS INTEGER), 36) OVER (ORDER BY pos), 0) AS alarm FROM prob)",
  """SELECT count(*) FILTER (WHERE label = 1 AND alarm = 1) AS true_events, count(*) FILTER (WHERE label = 0 AND alarm = 1) AS false_alarms,
  round(count(*) FILTER (WHERE label = 0 AND alarm = 1) / (count(*) / 12.0 / 10.0), 2) AS false_alarms_per_decade FROM a""", ["false_alarms_per_decade"]))

@@ -158,7 +158,11 @@ def find_peaks(spark, d):
     return peaks.find_peaks(scored_hours(spark, d))
 
 
-@add("find_peaks_spaced")
+SPACED = f"""RECURSIVE {PEAKS}, taken AS (SELECT series_id, list_sort(list(struct_pack(v := value, place := pos)), 'DESC') AS left_, NULL::STRUCT(v DOUBLE, place BIGINT) AS best FROM peaks GROUP BY series_id
+ UNION ALL SELECT series_id, [x FOR x IN left_ IF abs(x.place - left_[1].place) >= 6], left_[1] FROM taken WHERE len(left_) > 0)"""
+
+
+@add("find_peaks_spaced", final(SPACED, "SELECT series_id, best.place AS pos, best.v AS value FROM taken WHERE best IS NOT NULL", ["value"]))
 def find_peaks_spaced(spark, d):
     return peaks.find_peaks(scored_hours(spark, d), distance=6)
 

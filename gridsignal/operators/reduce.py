@@ -70,6 +70,43 @@ def wide_pca(features: DataFrame, mask: Column | None = None, k: int = COMPONENT
     )
 
 
+def component_residuals(features: DataFrame, pca: WidePca, mask: Column | None = None, series: str = "z") -> DataFrame:
+    """How well the components solve the eigenproblem: ``(pc, variance, ratio, norm, overlap, residual)`` from 0.
+
+    ``norm`` is a component's length, ``overlap`` its largest product with another one, ``residual`` the largest entry of
+    (Gram matrix x component - eigenvalue x component) relative to the largest eigenvalue. Features and components meet
+    by id; tasks add up products of components and look at residuals where the features are.
+    """
+    rows = features
+    if mask is not None:
+        rows = rows.withColumn("_mask", mask)
+        rows = rows.withColumn(series, F.filter(F.zip_with(series, "_mask", lambda v, m: F.when(m, v)), lambda v: v.isNotNull()))
+    pairs = rows.select("feature_id", F.col(series).alias("z")).join(pca.loadings.select("feature_id", "w"), "feature_id").select("z", "w")
+    steps = rows.select(F.max(F.size(series))).first()[0]
+    # one row per fitted step, checked by wide_pca
+    scores = {r["pos"]: r["pcs"] for r in pca_project(rows.select("feature_id", series), pca.loadings, series).collect()}
+    scored = np.array([scores[i] for i in range(steps)])
+    values, k = np.array(pca.explained_variance) * max(steps - 1, 1), pca.k
+
+    def partial(batches):
+        products, worst = np.zeros((k, k)), np.zeros(k)
+        for batch in batches:
+            if len(batch):
+                z, w = np.stack(batch.z.to_numpy()), np.stack(batch.w.to_numpy())
+                products += w.T @ w
+                worst = np.maximum(worst, np.abs(z @ scored - w * values).max(axis=0))
+        yield pd.DataFrame({"pc": np.arange(k, dtype="int32"), "worst": worst, "line": list(products)})
+
+    lines = pairs.mapInPandas(partial, "pc int, worst double, line array<double>")
+    cells = lines.select("pc", F.posexplode("line").alias("other", "v")).groupBy("pc", "other").agg(F.sum("v").alias("v"))
+    shape = cells.groupBy("pc").agg(F.sqrt(F.sum(F.when(F.col("pc") == F.col("other"), F.col("v")))).alias("norm"),
+                                    F.coalesce(F.max(F.when(F.col("pc") != F.col("other"), F.abs("v"))), F.lit(0.0)).alias("overlap"))
+    facts = features.sparkSession.createDataFrame(
+        [(i, float(v), float(r)) for i, (v, r) in enumerate(zip(pca.explained_variance, pca.explained_ratio))], "pc int, variance double, ratio double")
+    residual = lines.groupBy("pc").agg((F.max("worst") / F.lit(float(values.max()))).alias("residual"))
+    return facts.join(shape, "pc").join(residual, "pc")
+
+
 def pca_project(features: DataFrame, loadings: DataFrame, series: str = "z") -> DataFrame:
     """Component scores of every time step: ``(pos, pcs ARRAY<DOUBLE>)``.
 

@@ -262,7 +262,9 @@ def robustness_tables(
 ) -> dict[str, DataFrame]:
     """Cross-validation, baselines, rebalancing, bootstrap, hit rate, ablation and attribution stability.
 
-    All tables score rows that the model has not seen. Ablation removes a block before the decomposition.
+    All tables score rows that the model has not seen. Ablation removes a block before the decomposition. ``scored`` holds
+    the rows that the tables of metrics share, ``(table, key, row_id, y, p, pred)``, written once; their metrics come from
+    one job.
     """
     rows = reduced.rows.select("row_id", "ts", "y", "features")
     times = split_times(prepared)
@@ -277,15 +279,24 @@ def robustness_tables(
     }
     groups = {"runoff": list(runoff_components)} if runoff_components else {}
     series = prepared.times.withColumn("series_id", F.lit("t"))
+    named = {
+        "baselines": ("model", models.baseline_scores(rows, groups, folds)),
+        "rebalancing": ("strategy", models.rebalancing_scores(rows, folds, rounds=rounds)),
+        "ablation": ("removed", models.ablation_scores(without, folds, trees=small)),
+    }
+    cells = ["row_id", "y", "p", "pred"]
+    parts = [out_of_fold.select(F.lit("time_cv").alias("table"), F.col("fold").cast("string").alias("key"), *cells)]
+    parts += [s.select(F.lit(t).alias("table"), F.lit(key).alias("key"), *cells) for t, (_, found) in named.items() for key, s in found.items()]
+    scored = settle(union_all(parts))
+    measured = settle(metrics.binary_metrics(scored, by=["table", "key"]))
+    of = lambda table: measured.where(F.col("table") == table).drop("table")
     return {
-        "time_cv": metrics.binary_metrics(out_of_fold, by=["fold"]),
-        "baselines": models.baseline_table(rows, groups, folds),
-        "rebalancing": models.rebalancing_table(rows, folds, rounds=rounds),
+        "scored": scored,
+        "time_cv": of("time_cv").withColumn("key", F.col("key").cast("int")).withColumnRenamed("key", "fold"),
         "bootstrap": resample.bootstrap_auc(positioned),
         "hit_rate": stats.hit_rate(series),
-        "ablation": models.ablation_table(without, folds, trees=small),
         "shap": explain.shap_stability(cv_folds, folds, small),
-    }
+    } | {t: of(t).withColumnRenamed("key", name) for t, (name, _) in named.items()}
 
 
 def significance_tables(
