@@ -297,13 +297,13 @@ def train_and_evaluate_holds(spark, d):
 
 
 SWEEP = f"""{PREPARED}, ths AS (SELECT {INDEX_WEAK} * f AS threshold FROM (VALUES (0.8::DOUBLE), (0.9), (1.0), (1.1), (1.2)) v(f)),
-labs AS (SELECT threshold, sm.ts, CASE WHEN sum(CASE WHEN m < threshold THEN 1 ELSE 0 END) OVER (PARTITION BY threshold ORDER BY sm.ts ROWS 2 PRECEDING) >= 3 THEN 1 ELSE 0 END AS label FROM sm, ths),
-kinds AS (SELECT threshold, count(DISTINCT label) AS kinds, count(*) AS n FROM (SELECT l.* FROM labs l JOIN tm USING (ts)) GROUP BY threshold)"""
+labs AS (SELECT threshold, ts, CASE WHEN value < threshold THEN 1 ELSE 0 END AS label FROM near JOIN tm USING (ts), ths),
+kinds AS (SELECT threshold, count(DISTINCT label) AS kinds FROM labs GROUP BY threshold)"""
 
 
 @add("threshold_sensitivity_rows", final(SWEEP, "SELECT threshold, true AS in_range FROM kinds WHERE kinds = 2", ["threshold"]))
 def threshold_sensitivity_rows(spark, d):
-    """A row for every threshold that leaves two classes, with measures from 0 to 1 where the fit is possible."""
+    """A row for every threshold that leaves two classes on the steps with features, with measures from 0 to 1 where the fit is possible."""
     table = jobs.threshold_sweep(raw_field(spark, d), settle(order_index(spark, d)), labels.sweep_thresholds(INDEX_WEAK), trees=20, rounds=10)
     inside = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1_score")]
     ok = (F.col("status") == "ok") & inside[0] & inside[1] & inside[2] & inside[3]
