@@ -273,6 +273,56 @@ def test_attributions_equal_the_definition(spark, kind):
     assert np.allclose(out.loc[p.index], expected)
 
 
+def by_leaves(tree, x, width):
+    """Attributions by shares, leaf by leaf: the rule of the line, one product for each."""
+    phi = np.zeros((len(x), width))
+    for value, feature, low, high, share in (leaf for group in E.leaves_of(tree) for leaf in zip(*group)):
+        t, weight = E.line_rule(len(feature))
+        held = (x[:, feature] > low) & (x[:, feature] <= high)
+        out = share[:, None] * (1 - t)
+        factor = np.where(held[:, :, None], out + t, out)
+        for j, f in enumerate(feature):
+            own = np.where(held[:, j, None], (1 - share[j]) / (out[j] + t), -1 / (1 - t))
+            phi[:, f] += value * ((factor.prod(axis=1) * own) @ weight)
+    return phi
+
+
+@pytest.mark.parametrize("rows", [1, 50, 3000])
+def test_rows_share_the_work_of_a_tree(spark, rows, monkeypatch):
+    """Deep trees that meet few features again and again: fewer sums than nodes, and the same attributions."""
+    x, _, df = training(spark, 400, d=3)
+    many = np.concatenate([x] * 8)[:rows] + np.random.default_rng(1).normal(size=(rows, 3))
+    calls, own = [], E.Shares.sums
+    monkeypatch.setattr(E.Shares, "sums", lambda self, *args: (calls.append(1), own(self, *args))[1])
+    for tree in next(E.tree_parts(spark, models.train_forest(df, 3))):
+        calls.clear()
+        phi, base, output = E.Shares(many, tree, 3).run()
+        assert np.allclose(phi, by_leaves(tree, many, 3)) and np.allclose(base + phi.sum(axis=1), output)
+        assert rows == 1 or len(calls) < len(tree["left"])
+
+
+def test_background_parts_are_worked_out_once_a_pattern(spark, monkeypatch):
+    x, _, df = training(spark, 400)
+    tree = E.leaves_of(next(E.tree_parts(spark, models.train_boosted(df, 1, 4)))[0])
+    alone = np.concatenate([E.attribute(x[i : i + 1], tree, 4, x[:9])[0] for i in range(400)])
+    seen, own = [], E.by_background
+    monkeypatch.setattr(E, "by_background", lambda o, z, value: (seen.append(o.shape[1] <= 1 << o.shape[2]), own(o, z, value))[1])
+    assert np.allclose(E.attribute(x, tree, 4, x[:9])[0], alone) and all(seen)
+
+
+def test_attributions_keep_rows_with_the_same_or_no_id(spark, monkeypatch):
+    """Also where the rows are in several blocks and the trees are dealt out."""
+    x, _, df = training(spark)
+    monkeypatch.setattr(E, "TASK_CELLS", 4 * 40)
+    model = models.train_forest(df, 5, depth=4)
+    odd = df.withColumn("row_id", F.when(F.col("row_id") > 9, F.col("row_id") % 50))
+    got = E.tree_shap(model, odd)
+    want = E.tree_shap(model, df).select("row_id", F.round("output", 9).alias("o")).collect()
+    assert sorted((r.row_id % 50 if r.row_id > 9 else -1, r.o) for r in want) == sorted(
+        (-1 if r.row_id is None else r.row_id, r.o) for r in got.select("row_id", F.round("output", 9).alias("o")).collect())
+    assert got.where(F.abs(F.col("base") + F.aggregate("phi", F.lit(0.0), lambda a, v: a + v) - F.col("output")) > 1e-9).count() == 0
+
+
 def test_models_learn_and_tables_have_their_rows(spark):
     _, _, df = training(spark, 150)
     cv = models.time_cv(df, 3, lambda t: models.train_forest(t, 10, depth=5), order=("row_id",), grain=1000.0).toPandas()
