@@ -323,6 +323,24 @@ def test_attributions_keep_rows_with_the_same_or_no_id(spark, monkeypatch):
     assert got.where(F.abs(F.col("base") + F.aggregate("phi", F.lit(0.0), lambda a, v: a + v) - F.col("output")) > 1e-9).count() == 0
 
 
+def test_fits_of_many_rows_come_one_by_one_and_their_scores_are_written(spark, monkeypatch):
+    _, _, df = training(spark, 150)
+    folds = models.folds_of(df, 3, ("row_id",), 1000.0)
+    running, most = [], []
+
+    def fit(train):
+        running.append(1)
+        most.append(len(running))
+        model = models.train_forest(train, 3, depth=3)
+        running.pop()
+        return model
+
+    monkeypatch.setattr(models, "SIDE_ROWS", 10)
+    scored = models.out_of_fold(folds, 3, fit)
+    assert max(most) == 1 and scored.count() == 3 * (150 // 4)
+    assert "UDF" not in scored._jdf.queryExecution().toString()
+
+
 def test_models_learn_and_tables_have_their_rows(spark):
     _, _, df = training(spark, 150)
     cv = models.time_cv(df, 3, lambda t: models.train_forest(t, 10, depth=5), order=("row_id",), grain=1000.0).toPandas()
