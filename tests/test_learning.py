@@ -341,6 +341,16 @@ def test_fits_of_many_rows_come_one_by_one_and_their_scores_are_written(spark, m
     assert "UDF" not in scored._jdf.queryExecution().toString()
 
 
+def test_partitions_of_a_fit_do_not_grow_with_the_files(spark):
+    _, _, df = training(spark, 150)
+    cores = spark.sparkContext.defaultParallelism
+    for rows in (1000, 100):
+        chosen, _ = models.fitted_rows(df.repartition(5 * cores), rows)
+        assert chosen.rdd.getNumPartitions() <= cores
+        few, _ = models.fitted_rows(df.repartition(5 * cores), rows, task_rows=1000)
+        assert few.rdd.getNumPartitions() == 1 and few.count() == chosen.count()
+
+
 def test_models_learn_and_tables_have_their_rows(spark):
     _, _, df = training(spark, 150)
     cv = models.time_cv(df, 3, lambda t: models.train_forest(t, 10, depth=5), order=("row_id",), grain=1000.0).toPandas()
