@@ -351,6 +351,16 @@ def test_partitions_of_a_fit_do_not_grow_with_the_files(spark):
         assert few.rdd.getNumPartitions() == 1 and few.count() == chosen.count()
 
 
+def test_trees_learn_from_all_rows(spark):
+    """The few positive rows are in the fit wherever they stand, and the counts of the nodes are those of the table."""
+    n = 210_000
+    df = settle(spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % 20 == 0).cast("int").alias("y"), F.array((F.col("id") % 20).cast("double")).alias("features")))
+    assert models.fitted_rows(df)[0].count() == n
+    for model in (models.train_forest(df, 1, depth=1, bootstrap=False), models.train_boosted(df, 1, depth=1)):
+        tree = next(E.tree_parts(spark, model))[0]
+        assert sorted(tree["count"]) == [n // 20, n - n // 20, n] and set(tree["cut"]) == {0.0, 0.5}
+
+
 def test_models_learn_and_tables_have_their_rows(spark):
     _, _, df = training(spark, 150)
     cv = models.time_cv(df, 3, lambda t: models.train_forest(t, 10, depth=5), order=("row_id",), grain=1000.0).toPandas()
