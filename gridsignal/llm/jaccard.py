@@ -10,8 +10,8 @@ Two texts link when their sets of word shingles have a Jaccard similarity of at
 * Within a family, the numbers of shingles in 64 groups are a set's point in an R-tree. The sum of the smaller coordinates
   bounds the overlap of two sets, and with a node's largest coordinates that of a set and all sets below the node.
   Pairs that pass the bound are verified on the sets.
-* Equal sets are folded first. Large families are cut into blocks and every pair of blocks is a task; a task returns the
-  links that hold its parts together, not all pairs.
+* Equal sets are folded first. Large families are cut into blocks by the sizes of the sets, and every pair of blocks whose
+  sizes allow a link is a task; a task returns the links that hold its parts together, not all pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from gridsignal.llm import blobs
 from gridsignal.llm.blobs import bounded_records, mix, text_bytes
@@ -37,7 +38,8 @@ WORDS = 4
 PERCENT = 85
 GROUPS = 64
 LEAF = 32
-BLOCK = 4096
+BLOCK = 8192  # sets of a block, where these have ``SHINGLES`` shingles at most; fewer of larger ones
+SHINGLES = 1024
 FLUSH_KEYS = 1 << 20
 BUCKET_BYTES = 40 << 20
 LEAST_BUCKETS = 128  # about the ranges of a text: more buckets do not repeat a pair more often
@@ -251,15 +253,35 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     return links
 
 
+def placed_by_size(members: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, family, own, first, last``: the block of every member of a family, and the blocks it can link to.
+
+    ``members`` has ``doc_id, family, n``. A family is laid out by the sizes of its sets and cut into blocks, so that a block
+    meets only the few others whose sizes allow a link, and a text is sent that often.
+    """
+    weight, room = F.greatest("n", F.lit(SHINGLES)), F.lit(BLOCK * SHINGLES)
+    whole, below = W.partitionBy("family"), W.partitionBy("family").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    sizes = members.groupBy("family", "n").agg(F.count("*").alias("same")).withColumns({
+        "before": F.coalesce(F.sum(F.col("same") * weight).over(below), F.lit(0)), "members": F.sum("same").over(whole)}).where("members > 1")
+    block = lambda at: F.floor((F.col("before") + at * weight) / room).cast("int")
+    blocks = sizes.withColumn("own", F.explode(F.sequence(block(F.lit(0)), block(F.col("same") - 1))))
+    blocks = blocks.groupBy("family", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = blocks.select("family", F.col("own").alias("k"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    fits = (100 * F.col("high") >= percent * F.col("other_low")) & (100 * F.col("other_high") >= percent * F.col("low"))
+    reach = blocks.join(other, "family").where(fits).groupBy("family", "own").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    place = F.pmod(F.xxhash64("doc_id"), F.col("same"))
+    placed = members.join(sizes, ["family", "n"]).withColumn("own", block(place))
+    return placed.join(reach, ["family", "own"]).select("doc_id", "family", "own", "first", "last")
+
+
 def verified_links(docs: DataFrame, members: DataFrame, percent: int, words: int) -> DataFrame:
     """``u, v``: links within families. ``members`` has ``doc_id, family``."""
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
-    placed = members.join(sizes.drop("size"), "family").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    placed = placed_by_size(members.join(docs.select("doc_id", "n"), "doc_id").distinct(), percent).distinct()
+    alone = F.array(F.struct(F.col("own").alias("i"), F.col("own").alias("j")))
+    pairs = F.transform(F.sequence("first", "last"), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     pairs = F.filter(pairs, lambda p: p["i"] != p["j"])
     # the same plan at every size: Spark would broadcast the members of a small corpus only
-    tasks = docs.join(placed.hint("shuffle_merge"), "doc_id").withColumn("pair", F.explode(F.when(F.col("blocks") == 1, one).otherwise(pairs)))
+    tasks = docs.join(placed.hint("shuffle_merge"), "doc_id").withColumn("pair", F.explode(F.when(F.col("first") == F.col("last"), alone).otherwise(pairs)))
     tasks = tasks.select("family", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "doc_id", "text")
     tasks = tasks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
 
@@ -349,7 +371,7 @@ def with_components(facts: DataFrame, percent: int, words: int) -> DataFrame:
     known = facts.where("n > 0 AND doc_id IS NOT NULL")
     first = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = settle(known.join(first, ["h1", "h2", "n"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "first").distinct())
-    likely = facts.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text").join(copies.select("doc_id"), "doc_id", "left_anti")
+    likely = facts.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "n").join(copies.select("doc_id"), "doc_id", "left_anti")
     likely = settle(likely)
     families = components(candidate_edges(likely, percent, words))
     roots = families.select("component").distinct()

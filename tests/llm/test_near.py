@@ -93,6 +93,20 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert run(spark, rows) == sorted(((i, n, c) for i, (n, c) in want.items()), key=str)
 
 
+def test_blocks_of_a_family_meet_where_sizes_allow_a_link(spark, monkeypatch):
+    """A family of sets of all sizes: texts are sent to few of its blocks, and no pair that can link is left out."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    sizes = [round(12 * 1.02**i) for i in range(200)] + [100] * 50
+    members = spark.createDataFrame([(i, 0, n) for i, n in enumerate(sizes)], "doc_id long, family long, n long")
+    placed = {r.doc_id: r for r in jaccard.placed_by_size(members, 80).collect()}
+    assert len(placed) == 250 and max(r.own for r in placed.values()) > 20
+    for i, m in enumerate(sizes):
+        assert placed[i].first <= placed[i].own <= placed[i].last
+        assert all(placed[i].first <= placed[j].own <= placed[i].last for j, n in enumerate(sizes) if 80 * m <= 100 * n and 80 * n <= 100 * m)
+    blocks = max(r.own for r in placed.values()) + 1
+    assert sum(r.last - r.first + 1 for r in placed.values()) < 250 * blocks / 2
+
+
 def test_other_threshold_and_length(spark):
     rows = corpus(11, 50, 6, 60, 8)
     want = brute(rows, 80, 5)
