@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from gridsignal.operators import explain as E
 from gridsignal.operators import features as X
+from gridsignal.operators import forest
 from gridsignal.operators import metrics as M
 from gridsignal.operators import models, reduce
 from gridsignal.operators import resample as R
 from gridsignal.operators import neighbours
 from gridsignal.operators.neighbours import nearest, search_effort
 from gridsignal.session import settle
+from gridsignal.sources.models import load_model, save_model
 
 
 @pytest.fixture(params=["one block", "small blocks"])
@@ -361,6 +363,72 @@ def test_trees_learn_from_all_rows(spark):
         assert sorted(tree["count"]) == [n // 20, n - n // 20, n] and set(tree["cut"]) == {0.0, 0.5}
 
 
+def few_values(spark, n=600):
+    """Rows whose features have few values, so that all cuts between values are tried."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, size=(n, 3)).astype(float)
+    y = (x[:, 0] * 3 + x[:, 1] - x[:, 2] + rng.normal(size=n) * 4 > 20).astype(int)
+    return x, y, settle(spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(n)], "row_id long, y int, features array<double>"))
+
+
+def test_grown_trees_are_those_of_spark(spark, monkeypatch):
+    _, _, df = few_values(spark)
+    options = {"trees": 1, "depth": 6, "subset": "all", "bootstrap": False}
+    own = models.train_forest(df, **options)
+    monkeypatch.setattr(models, "GROWN_ROWS", 100)
+    for cells in (1 << 20, 1):  # of one node after the other, too
+        monkeypatch.setattr(forest, "HISTOGRAM_CELLS", cells)
+        grown = models.train_forest(df, **options)
+        assert isinstance(grown, forest.Forest) and not isinstance(own, forest.Forest)
+        score = lambda m: {r.row_id: r.p for r in models.score(m, df).select("row_id", "p").collect()}
+        assert score(grown) == pytest.approx(score(own)) and len(set(score(own).values())) > 5
+        a, b = (next(E.tree_parts(spark, m))[0] for m in (grown, own))
+        inner = [sorted(zip(t["feature"][t["left"] >= 0], t["cut"][t["left"] >= 0], t["count"][t["left"] >= 0])) for t in (a, b)]
+        assert inner[0] == inner[1] and sorted(a["value"]) == pytest.approx(sorted(b["value"]))
+        assert np.allclose(grown.featureImportances.toArray(), own.featureImportances.toArray())
+
+
+@pytest.mark.parametrize("how", ["grown", "by groups"])
+def test_forests_of_many_rows(spark, monkeypatch, tmp_path, how):
+    """Their nodes are a table; scores, attributions, importances and stored forests are those of other models."""
+    x, y, df = few_values(spark)
+    monkeypatch.setattr(models, "GROWN_ROWS", 100)
+    monkeypatch.setattr(forest, "PART_NODES", 150)
+    monkeypatch.setattr(forest, "SCORED_ROWS", 100)
+    if how == "by groups":
+        monkeypatch.setattr(forest, "GROWN_BYTES", 0)
+        monkeypatch.setattr(forest, "GROUP_NODES", 2 * 600 * 3)  # three trees at a time
+    model = models.train_forest(df, 7)
+    assert isinstance(model, forest.Forest) and len(model.sizes) == 7 and len(list(E.tree_parts(spark, model))) > 1
+    scored = models.score(model, df).toPandas().set_index("row_id")
+    assert (scored.pred == (scored.p > 0.5)).all() and (scored.pred == y[scored.index]).mean() > 0.8
+    assert model.numFeatures == 3 and model.featureImportances.toArray().sum() == pytest.approx(1)
+    for r in E.tree_shap(model, df).toPandas().itertuples():
+        assert r.output == pytest.approx(scored.p[r.row_id]) and r.base + sum(r.phi) == pytest.approx(r.output)
+    leaves = leaves_one_by_one(spark, model)
+    for i in (0, 17):
+        phi, base = brute_shapley(leaves, x[i], 3)
+        got = E.tree_shap(model, df.where(F.col("row_id") == i)).first()
+        assert np.allclose(got.phi, phi) and got.base == pytest.approx(base)
+    for again in range(2):
+        save_model(model, f"{tmp_path}/m")
+    loaded = load_model("forest", f"{tmp_path}/m")
+    assert models.score(loaded, df).toPandas().set_index("row_id").p.to_dict() == scored.p.to_dict()
+    save_model(models.train_forest(df.limit(50), 2), f"{tmp_path}/m")
+    assert not isinstance(load_model("forest", f"{tmp_path}/m"), forest.Forest)
+
+
+def test_cuts_come_from_all_values(monkeypatch):
+    """A value that few rows have is found, and cuts at quantiles hold up to the kept values."""
+    values, counts = forest.kept_values(np.append(np.zeros(100_000), [1.0]))
+    assert forest.cuts_of(values, counts).tolist() == [0.5]
+    x = np.random.default_rng(0).normal(size=50_000)
+    kept = [forest.kept_values(c) for c in np.split(x, 5)]
+    cuts = forest.cuts_of(np.concatenate([v for v, _ in kept]), np.concatenate([c for _, c in kept]))
+    assert len(cuts) == forest.BINS - 1 and sum(c.sum() for _, c in kept) == len(x)
+    assert np.abs((x[:, None] <= cuts).mean(axis=0) - np.arange(1, 32) / 32).max() < 0.002
+
+
 def test_models_learn_and_tables_have_their_rows(spark):
     _, _, df = training(spark, 150)
     cv = models.time_cv(df, 3, lambda t: models.train_forest(t, 10, depth=5), order=("row_id",), grain=1000.0).toPandas()
